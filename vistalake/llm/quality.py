@@ -114,17 +114,16 @@ def estimate(voted: DataFrame, rounds: int = ROUNDS) -> list[float]:
     return table.first()["w"]
 
 
-def judge_quality(docs: DataFrame) -> DataFrame:
-    """`docs` plus the measures, base_failed, p_good and kept.
+def keep_good(docs: DataFrame) -> DataFrame:
+    """`docs` without the rows that base_failed or the posterior rejects.
 
-    kept is false where base_failed is true, else whether the posterior reaches a half. With few or no
-    rows the smoothed rates are near even and the prior decides. Repeated rows count each time.
+    With few or no rows the smoothed rates are near even and the prior decides. Repeated rows count
+    each time; null texts have no words, which fails. All columns stay, whatever their names.
     """
-    judged = text_measures(docs).withColumn("base_failed", base_failed()).withColumns(votes())
-    judged = written(judged, "quality-votes")
-    weights = estimate(judged)
-    judged = judged.withColumn("p_good", 1 / (1 + F.exp(-log_odds(weights))))
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    voted = text_measures(packed).withColumn("base_failed", base_failed()).withColumns(votes())
+    judged = written(voted.select("row", "base_failed", *RULES), "quality-votes")
+    return judged.filter(~F.col("base_failed") & (log_odds(estimate(judged)) >= 0)).select("row.*")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,7 +99,7 @@ def redact_secrets(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
 
     Overlapping spans are masked once; texts without secrets, nulls included, stay as they are.
     """
-    found = scan_secrets(docs)
+    found = scan_secrets(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -107,10 +107,10 @@ def redact_secrets(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
 
     clean = F.aggregate("_all", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    found = found.withColumn("text", F.when(F.size("_all") > 0, clean).otherwise(F.col("text")))
+    row = F.col("row").withField("text", clean)
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.size("_all") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+        row = row.withField("n_chars", F.length(clean).cast(docs.schema["n_chars"].dataType))
+    return found.select(F.when(F.size("_all") > 0, row).otherwise(F.col("row")).alias("row")).select("row.*")
 
 
 def _joined(spans: str) -> Column:
