@@ -1,0 +1 @@
+"""Media catalogs and similarity analytics on Spark DataFrames."""
