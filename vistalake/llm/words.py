@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 BYTE_BASE, WORD_BASE = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 #: Texts are handled in chunks of about so many bytes (one text is never cut), and hashed in blocks that fit the CPU's cache.
-CHUNK_BYTES, BLOCK_BYTES = 16 << 20, 1 << 20
+CHUNK_BYTES, BLOCK_BYTES = 6 << 20, 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Everything but letters, digits and bytes above 0x7F.
