@@ -1,28 +1,10 @@
-"""Tables that outlive a job: written as Parquet where every executor can read them."""
+"""Tables of the test data, and what the rest of the library has for tables that outlive a job."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a scratch folder of our own only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """`df` written to the shared folder and read back: lineage is cut, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+from vistalake.sources.tables import fresh_path, shared_dir, written  # noqa: F401
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -243,4 +243,4 @@ def remove_passages(docs: DataFrame, window: int = 50) -> DataFrame:
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_passages(documents(spark, sf_dir))
     n = F.aggregate("removed", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
-    return found.select("doc_id", "n_words", n.alias("n_removed"), "kept_sha256", "removed")
+    return found.select("doc_id", "n_words", n.alias("n_removed"), "kept_sha256")
