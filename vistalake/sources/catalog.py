@@ -15,7 +15,7 @@ LABELLED_EXTENSIONS = (".jpg", ".jpeg", ".png", ".webp")
 
 SEGMENT = "struct<start:double,end:double,text:string>"
 FRAME_TEXT = "struct<timestamp:double,text:string>"
-MEDIA_SCHEMA = T.StructType.fromDDL(
+MEDIA_SCHEMA = (
     "id bigint, file_path string, file_hash string, file_size bigint, media_type string, created_at double, modified_at double, "
     "width int, height int, duration double, fps double, is_processed boolean, error_msg string, tags array<string>, "
     f"character_tags array<string>, series_tags array<string>, rating int, audio_transcription array<{SEGMENT}>, frame_descriptions array<{FRAME_TEXT}>")
@@ -116,7 +116,7 @@ def with_new_ids(df: DataFrame, order: str, parts: int = 256) -> DataFrame:
     return df.filter("id is not null").unionByName(given.select(*df.columns))
 
 
-def evolve_schema(df: DataFrame, target: T.StructType = MEDIA_SCHEMA) -> DataFrame:
+def evolve_schema(df: DataFrame, target: str | T.StructType = MEDIA_SCHEMA) -> DataFrame:
     """Columns that `target` has and `df` lacks are added as null; rows and other columns stay."""
     return df.unionByName(df.sparkSession.createDataFrame([], target), allowMissingColumns=True)
 
