@@ -53,7 +53,7 @@ def match_condition(catalog: DataFrame, kind: str, value: str) -> DataFrame:
 def facets(catalog: DataFrame) -> DataFrame:
     """(facet, value, n) of character and series tags over processed rows."""
     rows = catalog.filter("is_processed")
-    pairs = F.concat(*[F.transform(F.coalesce(c, F.array()), lambda x, c=c: F.struct(F.lit(name).alias("facet"), x.alias("value"))) for name, c in (("character", "character_tags"), ("series", "series_tags"))])
+    pairs = F.concat(*[F.transform(F.coalesce(c, F.array()), lambda x: F.struct(F.lit(name).alias("facet"), x.alias("value"))) for name, c in (("character", "character_tags"), ("series", "series_tags"))])
     return rows.select(F.inline(pairs)).groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
