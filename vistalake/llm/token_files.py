@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vistalake.llm.bpe import default_vocabulary, ship_file
-from vistalake.llm.shared import documents, shared_dir, written
+from vistalake.llm.shared import documents, fresh_path, written
 from vistalake.llm.words import chunks
 
 LIMIT, STEP, BLOCK_IDS = 20, 64, 1 << 16
-#: Entries of a worker's table of words and the longest word that goes there.
-CACHE, CACHED_LENGTH = 300_000, 64
-_WORD = re.compile(r"[^ \n]+")
+#: Entries of a generation of a worker's table of words, and the longest word (bytes) that goes there.
+CACHE, CACHED_LENGTH = 500_000, 64
+_ENDS = re.compile(rb"([a-z0-9])([.,])(?=[ \n]|\Z)")
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -99,11 +99,15 @@ class Decoder:
         return out.reshape(-1)[:n]
 
 
-class WordIds(dict):
-    """Words (what stands between spaces and line feeds) to ids, by the tokenizers library; no token runs over a space."""
+class WordIds:
+    """Words to ids by the tokenizers library; a word is what stands between spaces, since no token runs over one.
+
+    Words are looked up with A-Z lower-cased, as the tokenizer does itself, and with a comma or full
+    stop at their end set apart, which is a token's end in any case. Two generations of words are kept:
+    what is asked for again moves to the young one, and a full young one takes the old one's place.
+    """
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -111,19 +115,28 @@ class WordIds(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-
-    def encode(self, texts: list[str], end_id: int) -> list[bytes]:
-        if len(self) > CACHE:
-            self.clear()
-        split = [_WORD.findall(t) for t in texts]
-        new = [w for w in {w for words in split for w in words} if w not in self]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self[w] = np.array(e.ids, self.kind).tobytes()
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def encode(self, texts: list[bytes], end_id: int) -> list[bytes]:
+        # A special token's name in upper case is no special token.
+        split = [(t if b"<|" in t else _ENDS.sub(rb"\1 \2", t.lower())).split() for t in texts]
+        new = []
+        for w in {w for words in split for w in words}.difference(self.young):
+            if (ids := self.old.get(w)) is not None:
+                self.young[w] = ids
+            else:
+                new.append(w)
+        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
+            self.young[w] = np.array(e.ids, self.kind).tobytes()
         end = np.array([end_id], self.kind).tobytes()
-        out = [b"".join(map(self.__getitem__, words)) + end for words in split]
+        find = self.young.__getitem__
+        out = [b"".join(map(find, words)) + end for words in split]
         for w in new:
             if len(w) > CACHED_LENGTH:
-                del self[w]
+                del self.young[w]
+        if len(self.young) > CACHE:
+            self.young, self.old = {}, self.young
         return out
 
 
@@ -138,7 +151,7 @@ def _encode(name: str, end_id: int):
         for big in chunks(batches):
             for low in range(0, big.num_rows, 500):  # the table grows by few words at a time
                 batch = big.slice(low, 500)
-                ids = table.encode([t or "" for t in batch.column("text").to_pylist()], end_id)
+                ids = table.encode([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()], end_id)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([table.kind.itemsize] * len(ids), pa.int32())], names=["doc_id", "ids", "width"])
 
     return encode
@@ -233,7 +246,7 @@ def _read_blocks(lengths: bytes):
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all texts before it in the files' order) and ids (binary: little-endian unsigned 32-bit)."""
     lengths = bytes(spark.read.parquet(f"{path}/code").first()["lengths"])
-    blocks = spark.read.parquet(f"{path}/blocks")
+    blocks = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks")
     before = Window.orderBy("part")  # a row for each file
     parts = blocks.groupBy("part").agg(F.sum("n").alias("n")).select(F.col("part"), (F.sum("n").over(before) - F.col("n")).alias("base"))
     texts = blocks.mapInArrow(_read_blocks(lengths), "part int, doc_id long, at long, ids binary")
@@ -241,9 +254,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "token-files")
     write_token_files(documents(spark, sf_dir), path, default_vocabulary("word_bpe_49k.json"))
     return read_token_files(spark, path).select(
         "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
