@@ -125,17 +125,27 @@ def test_jaccard(docs, rows, none):
     assert set(r["doc_id"] for r in kept.collect()) == {d for d, _, c in want if d == c}
 
 
-def test_jaccard_large_group_is_not_paired_out(spark):
-    rng = np.random.default_rng(2)
+@pytest.mark.parametrize("edits, block", [(2, 1024), (4, 1024), (5, 16)])
+def test_jaccard_of_a_large_group(spark, edits, block, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = np.random.default_rng(edits)
     base = [f"w{k}" for k in range(300)]
     rows = []
-    for k in range(150):
+    for k in range(120):
         copy = list(base)
-        for x in rng.integers(0, 300, 2):
-            copy[x] = f"e{k}.{x}"
-        rows.append((k, " ".join(copy)))
+        for x in rng.integers(0, 300, edits):
+            copy[x] = f"e{k % 7}.{x}"
+        rows.append((k, " ".join(copy[: 300 - k % 30])))
+    sets = [shingles(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for _ in range(8):
+        for i in range(len(rows)):
+            for j in range(len(rows)):
+                n = len(sets[i] & sets[j])
+                if 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n):
+                    label[i] = label[j] = min(label[i], label[j])
     found = jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert {r["component_id"] for r in found.collect()} == {0}
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == dict(enumerate(label))
 
 
 def test_contamination(spark, docs, none):
