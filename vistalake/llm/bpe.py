@@ -7,8 +7,8 @@ missing exactly if some earlier gadget took it from one of the state's ancestors
 label's ancestors; both ancestries are kept with the time up to which they count, and arcs looked up
 once are kept in a table.
 
-A text's tokens are the labels of the only path that spells it. Every prefix of a word has one path as
-well, so one pass over a word's bytes finds, for each prefix, its last label. Decoding emits labels.
+A text's tokens are the labels of the only path that spells it. A table of spellings, byte by byte, gives
+the labels that can come next, and the table of arcs those that may. Decoding emits labels.
 """
 
 from __future__ import annotations
@@ -60,13 +60,17 @@ class Automaton:
         self.gone: dict[tuple[int, int], int] = {}  # (state, label): number of the gadget that took the arc away
         self.states: dict[int, tuple] = {}  # token: ancestors of its state, each with the gadget before which losses count
         self.marks: dict[int, tuple] = {}  # token: ancestors of its label, likewise
-        self.arcs: dict[tuple[int, int], bool] = {}
+        self.arcs: dict[int, bool] = {}  # state << 32 | label: is there an arc
+        self.next: dict[int, int] = {}  # spelling: node << 8 | byte -> node
+        self.ends = [-1]  # label that ends at a node
         for b in chars:
             self.ids[bytes([chars[b]])] = k = vocab[b]
             self.states[k] = self.marks[k] = ((k, _NEVER),)
         for number, merge in enumerate(spec["model"]["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
             self.add_gadget(vocab[a], vocab[b], vocab[a + b], number)
+        for label in self.ids.values():
+            self.add_spelling(label)
         self.longest = max(map(len, self.ids))
         self.split = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
@@ -88,33 +92,54 @@ class Automaton:
                     return True
         return False
 
+    def add_spelling(self, label: int) -> None:
+        node = 0
+        for byte in self.labels[label]:
+            node = self.next.setdefault(node << 8 | byte, len(self.ends))
+            if node == len(self.ends):
+                self.ends.append(-1)
+        self.ends[node] = label
+
     def word(self, word: bytes) -> list[int]:
-        """Labels of the path that spells `word`."""
-        ids, arcs, n = self.ids, self.arcs, len(word)
-        if (whole := ids.get(word)) is not None:
+        """Labels of the path that spells `word`: longest label first, one step back where no arc leads on."""
+        if (whole := self.ids.get(word)) is not None:
             return [whole]
-        last: list[int] = [-1] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                label = ids.get(word[start:end])
-                if label is None:
+        forward, ends, arcs, n = self.next.get, self.ends, self.arcs, len(word)
+        path: list[int] = []
+        others: list[list[int]] = []
+        dead: set[tuple[int, int]] = set()
+        at = 0
+        while at < n:
+            node, found = 0, []
+            for byte in word[at : at + self.longest]:
+                node = forward(node << 8 | byte)
+                if node is None:
+                    break
+                if ends[node] >= 0:
+                    found.append(ends[node])
+            while True:
+                if not found:
+                    found, label = others.pop(), path.pop()
+                    dead.add((at, label))
+                    at -= len(self.labels[label])
                     continue
-                if start:
-                    key = (last[start], label)
+                label = found.pop()
+                if path:
+                    key = path[-1] << 32 | label
                     open_ = arcs.get(key)
                     if open_ is None:
-                        open_ = arcs[key] = not self.lost(*key)
+                        open_ = arcs[key] = not self.lost(path[-1], label)
                     if not open_:
                         continue
-                last[end] = label
+                if dead and (at + len(self.labels[label]), label) in dead:
+                    continue
                 break
-        out, at = [], n
-        while at:
-            out.append(last[at])
-            at -= len(self.labels[last[at]])
+            path.append(label)
+            others.append(found)
+            at += len(self.labels[label])
         if len(arcs) > 4 * CACHE:
             arcs.clear()
-        return out[::-1]
+        return path
 
 
 class Pieces(dict):
