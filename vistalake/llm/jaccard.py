@@ -12,8 +12,10 @@ first, is cut into fragments:
    are counted in each fragment apart, and summed per pair.
 
 Only components are wanted, so a list is not paired out: its leader is compared with the members that
-are not yet in the leader's component, under a new leader each round, and only lists that still hold
-several components after these rounds have their remaining cross-component pairs compared.
+are not yet in the leader's component. Lists that still hold several components after these rounds
+form clusters by the members they share. A cluster is dealt in blocks by hash and by size; tasks count
+the overlaps of two blocks, again fragment by fragment, as a product of matrices, and return for each
+member the least member that it reaches there, never the pairs.
 """
 
 from __future__ import annotations
@@ -30,8 +32,10 @@ from vistalake.llm.shared import documents, written
 from vistalake.llm.words import bucket_bits, buckets, chunks, groups, mix, pack, runs, split_words, unpack
 
 KEY_BITS, BUCKET_BYTES = 48, 12 << 20
-#: Fragments of the global order, parts that a leader's members are dealt over, and rounds of leaders before the rest is paired.
-FRAGMENTS, PARTS, ROUNDS = 4, 16, 6
+#: Fragments of the global order, parts that a leader's members are dealt over, and rounds of leaders before clusters are compared whole.
+FRAGMENTS, PARTS, ROUNDS = 4, 16, 2
+#: Members of a block of a cluster, shingles of a fragment inside a task, and the number of a block's members from which on a shingle counts as common there.
+BLOCK, SLICE, COMMON = 1024, 2048, 8
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -204,6 +208,100 @@ def _list_pairs(lists: DataFrame, leaders: DataFrame, percent: int) -> DataFrame
     return pairs.select(low["class"].alias("a"), high["class"].alias("b"), low["n"].alias("na"), high["n"].alias("nb")).distinct()
 
 
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Shared shingles of each set on the left with each on the right, summed over fragments."""
+    rows = np.repeat(np.arange(len(left)), [len(x) for x in left])
+    cols = np.repeat(np.arange(len(right)), [len(x) for x in right])
+    a, b = np.concatenate(left), np.concatenate(right)
+    keys = np.intersect1d(a, b)
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not len(keys):
+        return out
+    sides = []
+    for tokens, owner in ((a, rows), (b, cols)):
+        at = np.minimum(np.searchsorted(keys, tokens), len(keys) - 1)
+        hit = keys[at] == tokens
+        order = np.argsort(at[hit], kind="stable")
+        sides.append((at[hit][order], owner[hit][order]))
+    sizes = [np.bincount(at, minlength=len(keys)) for at, _ in sides]
+    common = (sizes[0] >= COMMON) & (sizes[1] >= COMMON)
+    # Common shingles: one fragment of their order after the other, as products of 0/1 matrices.
+    place = np.cumsum(common) - 1
+    for low in range(0, int(common.sum()), SLICE):
+        blocks = []
+        for (at, owner), n in zip(sides, (len(left), len(right))):
+            mine = common[at] & (place[at] >= low) & (place[at] < low + SLICE)
+            m = np.zeros((n, SLICE), np.float32)
+            m[owner[mine], place[at[mine]] - low] = 1
+            blocks.append(m)
+        out += blocks[0] @ blocks[1].T
+    # The others: every pair of holders of a shingle; few on one side at least.
+    first = [np.concatenate([[0], np.cumsum(x)]) for x in sizes]
+    flat = out.reshape(-1)
+    for k in range(COMMON):
+        for one, other in ((0, 1), (1, 0)):
+            # The k-th holder on the short side with all holders on the other.
+            ids = np.flatnonzero(~common & (sizes[one] > k) & ((sizes[one] < sizes[other]) | ((sizes[one] == sizes[other]) & (one == 0))))
+            n = sizes[other][ids]
+            if not len(ids):
+                continue
+            x = np.repeat(sides[one][1][first[one][ids] + k], n)
+            start = np.repeat(first[other][ids] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+            y = sides[other][1][start + np.arange(len(start))]
+            index = x * len(right) + y if one == 0 else y * len(right) + x
+            flat += np.bincount(index, minlength=len(flat)).astype(np.float32)
+    return out
+
+
+def _reach(percent: int):
+    def reach(table: pa.Table) -> pa.Table:
+        """(a, b): b is the least member that a reaches by links between this task's two blocks."""
+        left, right = table.column("left")[0].as_py(), table.column("right")[0].as_py()
+        own, names, n = table.column("block").to_pylist(), table.column("class").to_numpy(), table.column("n").to_numpy()
+        label = table.column("label").to_numpy()
+        sets = [np.frombuffer(x, "<u8") for x in table.column("tokens").to_pylist()]
+        x, y = (np.array([k for k, b in enumerate(own) if b == side], np.int64) for side in (left, right))
+        out = {"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)}
+        if len(x) and len(y):
+            shared = _overlaps([sets[k] for k in x], [sets[k] for k in y])
+            linked = 100 * shared.astype(np.float64) >= percent * (n[x][:, None] + n[y][None, :] - shared)
+            best = label.copy()
+            far = np.iinfo(np.int64).max
+            while True:
+                before = best.copy()
+                best[x] = np.minimum(best[x], np.where(linked, best[y][None, :], far).min(axis=1))
+                best[y] = np.minimum(best[y], np.where(linked, best[x][:, None], far).min(axis=0))
+                if (best == before).all():
+                    break
+            moved = best != label
+            out = {"a": label[moved], "b": best[moved]}
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in out.items()})
+
+    return reach
+
+
+def _cluster_links(lists: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links between labels, from all members of open lists compared with all others of their cluster that the sizes allow."""
+    leader = lists.groupBy("token").agg(F.min("class").alias("a"))
+    edges = written(lists.select("token", "class").join(leader.hint("merge"), "token").filter("class <> a").select("a", F.col("class").alias("b")).distinct(), "cluster-edges")
+    members = written(lists.select("class").distinct(), "cluster-members")
+    cluster = components(members.select("class", F.col("class").alias("label")), edges).select("class", F.col("label").alias("cluster"))
+    sizes = cluster.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
+    rows = cluster.join(sizes.hint("merge"), "cluster").join(labels.hint("merge"), "class").join(classes.select("class", F.col("n_shingles").alias("n"), "tokens").hint("merge"), "class")
+    parts = F.ceil(F.col("m") / BLOCK).cast("int")
+    # Sizes that may link differ by less than one band (a hundredth wider than need be), so they are in one band or in neighbours.
+    band = F.floor(F.log("n") / F.log(F.lit(100 / (percent - 1)))).cast("int")
+    rows = rows.withColumn("parts", parts).withColumn("band", band).withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+    name = lambda b, p: F.struct(b.cast("int").alias("band"), p.cast("int").alias("part"))
+    own = name(F.col("band"), F.col("part"))
+    others = F.sequence(F.lit(0), F.col("parts") - 1)
+    pair = lambda one, two: F.struct(F.least(one, two).alias("left"), F.greatest(one, two).alias("right"))
+    beside = lambda d: F.transform(others, lambda p: pair(own, name(F.col("band") + d, p)))
+    pairs = F.flatten(F.array(beside(-1), beside(0), beside(1)))
+    dealt = rows.withColumn("block", own).withColumn("pair", F.explode(pairs)).select("cluster", "pair", F.to_json("block").alias("block"), F.to_json("pair.left").alias("left"), F.to_json("pair.right").alias("right"), "class", "label", "n", "tokens")
+    return dealt.drop("pair").groupBy("cluster", "left", "right").applyInArrow(_reach(percent), "a long, b long").distinct()
+
+
 def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of `docs`.
 
@@ -232,7 +330,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     parts = written(classes.select("class", "n_shingles", "tokens").mapInArrow(_cut_sets, "class long, n long, fragment int, tokens binary"), "shingle-fragments")
 
     labels = classes.select("class", F.col("class").alias("label"))
-    found, tested = None, None
+    found = None
     for turn in range(ROUNDS + 1):
         lists = posts.join(labels.hint("merge"), "class")
         # Lists whose members are all in one component are through.
@@ -240,18 +338,14 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         lists = written(lists.join(open_lists.hint("merge"), "token"), "shingle-lists")
         if lists.isEmpty():
             break
-        as_other = [F.col(c).alias(f"other{c and '_' + c}" if c != "class" else "other") for c in ("class", "label", "n", "place")]
         if turn < ROUNDS:
+            as_other = [F.col(c).alias(f"other_{c}" if c != "class" else "other") for c in ("class", "label", "n", "place")]
             rank = F.xxhash64(F.col("class"), F.lit(turn)) if turn else F.col("class")
             leaders = lists.groupBy("token").agg(F.min_by(F.struct("class", "label", "n", "place"), rank).alias("l")).select("token", "l.*").select("token", *as_other)
+            pairs = written(_list_pairs(lists, leaders, percent), "shingle-pairs")
+            new = written(_links(pairs, parts, percent), "shingle-links")
         else:
-            leaders = lists.select("token", *as_other)
-        pairs = _list_pairs(lists, leaders, percent)
-        if tested is not None:
-            pairs = pairs.join(tested.hint("merge"), ["a", "b"], "left_anti")
-        pairs = written(pairs, "shingle-pairs")
-        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        new = written(_links(pairs, parts, percent), "shingle-links")
+            new = written(_cluster_links(lists, classes, labels, percent), "shingle-links")
         if not new.isEmpty():
             found = new if found is None else found.unionByName(new)
             labels = components(labels, found)
