@@ -26,7 +26,7 @@ from vistalake.llm.bpe import default_vocabulary
 from vistalake.llm.shared import documents, written
 from vistalake.llm.words import chunks, mix, powers, split_words
 
-FREQUENT_BITS, EM_ROUNDS, SPACE = 18, 2, "▁"
+FREQUENT_BITS, EM_ROUNDS, SPACE = 18, 4, "▁"
 _CHAR_BASE = 0x9FB21C651E98DF25
 LN10 = float(np.log(10.0))
 
@@ -118,7 +118,7 @@ class Lattice:
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
         """Expected uses of each piece, and of bytes, over the words as often as `counts` says."""
         total = np.zeros(len(self.log_p))
-        for mine, codes in self._by_length(words, 2048):
+        for mine, codes in self._by_length(words, 4096):
             spans = list(self._spans(codes))
             alpha = self._forward(codes, spans)
             beta = np.full(alpha.shape, -np.inf)
@@ -172,11 +172,23 @@ def _count_words(folds: int, held: int):
     return count
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[pa.Table]:
+    """Batches put together: the lattice takes words of one length at a time, which pays for many words only."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _expect(lattice_args: tuple):
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*lattice_args)
         total = np.zeros(len(lattice.log_p))
-        for batch in batches:
+        for batch in _gathered(batches):
             total += lattice.expected(batch.column("word").to_pylist(), batch.column("c").to_numpy())
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], names=["piece", "uses"])
@@ -187,8 +199,9 @@ def _expect(lattice_args: tuple):
 def _word_scores(lattice_args: tuple):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*lattice_args)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lattice.log_likelihood(batch.column("word").to_pylist()) / LN10)], names=["word", "c", "total", "log_p"])
+        for table in _gathered(batches):
+            log_p = pa.array(lattice.log_likelihood(table.column("word").to_pylist()) / LN10)
+            yield from table.append_column("log_p", log_p).to_batches(10_000)
 
     return score
 
