@@ -320,7 +320,7 @@ def test_secrets(spark, docs, none):
     spans = {d: [(secrets.KINDS[s["kind"]], s["start"], s["end"]) for s in r["_all"]] for d, r in got.items()}
     assert spans[1] == [("assign", 2, 51), ("hex", 11, 51)]
     assert [k for k, *_ in spans[2]] == ["assign"] and spans[3] == [("access", 15, 33)] and spans[5] == spans[6] == []
-    assert spans[4] == [("entropy", 4, 44)]
+    assert spans[4] == [("entropy", 4, 44), ("hex", 75, 99)]
     clean = secrets.redact_secrets(spark.createDataFrame([(d, t, "n") for d, t in data], "doc_id long, text string, row string"))
     out = {r["doc_id"]: r["text"] for r in clean.collect()}
     assert out[1] == "é [secret]\" tail" and out[4].startswith("key [secret] and") and out[5] is None and out[6] == ""
