@@ -29,8 +29,8 @@ from vistalake.llm.words import chunks
 
 #: Fixed value: the pre-tokenization pattern of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Entries of a worker's table of pieces, and the longest piece (characters) that goes there; beyond that pieces are encoded each time.
-CACHE, CACHED_LENGTH = 300_000, 64
+#: Entries of a worker's tables of pieces and of arcs, and the longest piece (characters) that goes there; longer ones are encoded each time.
+CACHE, CACHED_LENGTH = 200_000, 64
 _NEVER = 1 << 60
 _PIECE, _OTHER_SPACE = re.compile(r"[ \n]*[^ \n]+|[ \n]+"), re.compile(r"[^\S \n]")
 
@@ -42,20 +42,25 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+def read_labels(spec: dict) -> list[bytes]:
+    """What each token spells."""
+    chars = byte_characters()
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    vocab = spec["model"]["vocab"] | special
+    labels = [b""] * (max(vocab.values()) + 1)
+    for token, k in vocab.items():
+        labels[k] = token.encode() if token in special else bytes(chars[c] for c in token)
+    return labels
+
+
 class Automaton:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         chars = byte_characters()
-        spell = lambda token: bytes(chars[c] for c in token)
         vocab = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.labels = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
-        for token, k in vocab.items():
-            if token not in self.special:
-                self.labels[k] = spell(token)
-        for token, k in self.special.items():
-            self.labels[k] = token.encode()
+        self.labels = read_labels(spec)
         self.ids: dict[bytes, int] = {}
         self.gone: dict[tuple[int, int], int] = {}  # (state, label): number of the gadget that took the arc away
         self.states: dict[int, tuple] = {}  # token: ancestors of its state, each with the gadget before which losses count
@@ -137,7 +142,7 @@ class Automaton:
             path.append(label)
             others.append(found)
             at += len(self.labels[label])
-        if len(arcs) > 4 * CACHE:
+        if len(arcs) > CACHE:
             arcs.clear()
         return path
 
@@ -173,6 +178,7 @@ class Pieces(dict):
 
 
 _loaded: dict[str, Pieces] = {}
+_labels: dict[str, list[bytes]] = {}
 
 
 def _pieces(name: str) -> Pieces:
@@ -205,7 +211,10 @@ def bpe_decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     name = ship_file(encoded.sparkSession, vocabulary)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels = _pieces(name).automaton.labels
+        if name not in _labels:
+            with open(SparkFiles.get(name), encoding="utf-8") as f:
+                _labels[name] = read_labels(json.load(f))
+        labels = _labels[name]
         for batch in batches:
             texts = [b"".join(map(labels.__getitem__, np.frombuffer(x or b"", "<u4").tolist())).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
