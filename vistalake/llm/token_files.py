@@ -25,7 +25,7 @@ from vistalake.llm.words import chunks
 
 LIMIT, STEP, BLOCK_IDS = 20, 64, 1 << 16
 #: Entries of a generation of a worker's table of words, and the longest word (bytes) that goes there.
-CACHE, CACHED_LENGTH = 500_000, 64
+CACHE, CACHED_LENGTH = 900_000, 64
 _ENDS = re.compile(rb"([a-z0-9])([.,])(?=[ \n]|\Z)")
 
 
