@@ -144,7 +144,7 @@ def scan_licenses(docs: DataFrame, sample_lines: int = SAMPLE_LINES) -> DataFram
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = F.element_at(F.split("text", "\n"), F.pmod(F.xxhash64("doc_id"), F.size(F.split("text", "\n"))).cast("int") + 1)
-    sampled = docs.filter("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_lines).select(first.alias("line"))
+    sampled = docs.filter("text is not null").select(F.xxhash64("doc_id").alias("rank"), "doc_id", first.alias("line")).orderBy("rank", "doc_id").limit(sample_lines)
     lines = [r["line"] for r in sampled.filter(~F.col("line").rlike("(?i)licen[sc]|copyright|spdx|permission|redistribut")).collect()]
     model = spark.sparkContext.broadcast(train(lines))
     kind = "array<struct<line:long,family:string,p:double,match:double>>"
