@@ -33,7 +33,7 @@ from vistalake.llm.words import bucket_bits, buckets, chunks, groups, mix, pack,
 
 KEY_BITS, BUCKET_BYTES = 48, 12 << 20
 #: Fragments of the global order, parts that a leader's members are dealt over, and rounds of leaders before clusters are compared whole.
-FRAGMENTS, PARTS, ROUNDS = 4, 16, 2
+FRAGMENTS, PARTS, ROUNDS = 4, 16, 1
 #: Members of a block of a cluster, shingles of a fragment inside a task, and the number of a block's members from which on a shingle counts as common there.
 BLOCK, SLICE, COMMON = 1024, 2048, 8
 
