@@ -65,6 +65,12 @@ def test_words_hash_alike_everywhere(rows):
     assert (sliced.hashes == got.hashes).all()
 
 
+def test_no_words_at_all(monkeypatch):
+    monkeypatch.setattr(words, "_tables", {})
+    got = words.split_words(pa.array(["", None, " "]))
+    assert len(got.hashes) == 0 and [len(x) for x in words.runs(got, 5)] == [0, 0] and got.counts.tolist() == [0, 0, 0]
+
+
 def test_substring(spark, docs, rows, none):
     runs = {}
     for d, t in rows:

@@ -27,7 +27,7 @@ _tables: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    if len(_tables.get(base, ())) < n:
+    if base not in _tables or len(_tables[base]) < n:
         table = np.full(max(n, 1 << 16) * 5 // 4, base, np.uint64)
         table[0] = 1
         _tables[base] = np.multiply.accumulate(table)
