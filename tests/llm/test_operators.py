@@ -184,6 +184,27 @@ def test_alignment_scores():
     assert decontamination.align(item, passages)[0].tolist() == [smith_waterman(item, p) for p in passages]
 
 
+def test_every_edited_copy_is_found(spark):
+    rng = np.random.default_rng(3)
+    lexicon = ["the", "of"] + [f"w{k}" for k in range(80)]
+    say = lambda n: list(rng.choice(lexicon, n))
+    items = [say(n) for n in (3, 5, 15, 15, 38)] + [["lonely", "pair"], ["single"]]
+    texts = []
+    for item in items[2:5]:
+        texts += [item] * 2
+        for share in (0.1, 0.2, 0.25, 0.3):
+            for _ in range(12):
+                copy = [[w] if rng.random() >= share else [["edit"], [], [w, "edit"]][rng.integers(3)] for w in item]
+                texts.append(say(10) + [w for part in copy for w in part] + say(10))
+        texts += [[w for pair in zip(item, say(len(item))) for w in pair], item[: len(item) // 2 + 1]]
+    texts += [[items[0][0], "x", items[0][2]], ["a", "pair"], ["a", "single", "word"], say(30)]
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontamination.contaminated(df, benchmark).collect()}
+    every = {(d, i): smith_waterman(item, t) / (2 * len(item)) for d, t in enumerate(texts) for i, item in enumerate(items)}
+    assert got == {k: v for k, v in every.items() if v >= decontamination.THRESHOLD}
+
+
 @pytest.fixture(scope="module")
 def odd_texts():
     rng = np.random.default_rng(4)
