@@ -1,58 +1,102 @@
 """Operator 6: license scans by a trained paragraph classifier.
 
-Paragraphs are lines. A multinomial logistic regression over hashed word one- and two-grams is trained
-on the notices below and their variations, and on a bounded sample of corpus lines as "no licence".
-Its temperature is calibrated on variations that training doesn't see, and a paragraph whose best
-probability stays under the calibrated bar is unknown. A prediction counts as confirmed if the
-paragraph shares enough of its word pairs with a template of that family.
+Paragraphs end at blank lines; lines and rolling windows of words within a paragraph are scored, so that
+wrapped and embedded notices are seen whole. A multinomial logistic regression over hashed word one- and
+two-grams is trained on the notices below and their variations, and as "no licence" on a bounded sample
+of corpus lines and on notices of other licences. Its temperature is calibrated on variations that
+training doesn't see, and a stretch whose best probability stays under the calibrated bar is unknown.
+A family counts as confirmed where the words stand that tell it from its neighbours (version, NC, no
+Lesser) and their surroundings share enough word pairs with a template of that family. Stretches with
+word pairs of a template are compared whatever the classifier says.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vistalake.llm.shared import documents
-from vistalake.llm.words import chunks, runs, split_words
+from vistalake.llm.words import Words, chunks, runs, split_words, text_bytes
 
 # Names of licence families and short notices as they are commonly written.
 TEMPLATES = {
-    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Released under the Apache 2.0 license.", "SPDX-License-Identifier: Apache-2.0",
+    "apache-2.0": ["Apache License Version 2.0", "Licensed under the Apache License, Version 2.0.", "Released under the Apache 2.0 license.", "SPDX-License-Identifier: Apache-2.0",
                    "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
-    "mit": ["Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT",
+    "mit": ["MIT License", "Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT",
             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"],
-    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GPL v3.", "SPDX-License-Identifier: GPL-3.0-only",
+    "gpl-3.0": ["GNU General Public License Version 3", "This work is licensed under the GNU General Public License, version 3.", "Licensed under the GPL v3.", "SPDX-License-Identifier: GPL-3.0-only",
                 "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"],
     "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
     "cc-by-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"],
-    "bsd-3-clause": ["Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause",
+    "bsd-3-clause": ["BSD 3-Clause License", "Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause",
                      "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "mpl-2.0": ["Mozilla Public License Version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0.", "SPDX-License-Identifier: MPL-2.0"],
 }
 FAMILIES = list(TEMPLATES)
+#: Notices of licences that look like a listed one; they are "no licence" to the classifier.
+OTHERS = ["This work is licensed under the GNU General Public License, version 2.", "Licensed under the GPL v2.", "SPDX-License-Identifier: GPL-2.0-only", "This work is licensed under the GNU Lesser General Public License, version 3.",
+          "Licensed under the LGPL v3.", "This work is licensed under the GNU Affero General Public License, version 3.", "Licensed under CC BY-SA 4.0.", "Licensed under CC BY-ND 4.0.", "Licensed under CC BY-NC-SA 4.0.", "Licensed under CC BY-NC-ND 4.0.",
+          "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+          "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "Licensed under the BSD 2-Clause License.", "Licensed under the Apache License, Version 1.1.",
+          "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "SPDX-License-Identifier: ISC"]
+#: What tells a family from its neighbours, in lower-cased words with a space between.
+SURE = {
+    "apache-2.0": r"\bapache (?:software )?(?:license )?(?:version |v ?)?2(?: 0)?\b|\bapache org licenses license 2 0\b",
+    "mit": r"\bmit licen[sc]e\b|\blicense identifier mit\b(?! 0\b)|\bto deal in the software without restriction\b",
+    "gpl-3.0": r"(?<!lesser )(?<!library )(?<!affero )\bgeneral public license(?: gpl)?(?: as published by the free software foundation)?(?: either)? (?:version |v ?)?3\b|\bgpl ?(?:version |v ?)?3\b",
+    "cc-by-nc-4.0": r"\bcc by nc 4\b|\bcommons attribution non ?commercial (?:cc by nc )?4\b",
+    "cc-by-4.0": r"\bcc by 4\b|\bcommons attribution (?:cc by )?4\b",
+    "bsd-3-clause": r"\bbsd 3 clause\b|\bprovided that the following conditions are met\b(?=(?:(?!advertising materials).){0,1800}\bneither the name\b)",
+    "mpl-2.0": r"\bmozilla public license (?:version |v ?)?2\b|\bmpl ?(?:version |v ?)?2\b",
+}
+#: Windows of so many words, every quarter of them; words after a stretch that SURE may look at; pairs of these words alone tell nothing.
+WINDOWS, AHEAD, PLAIN = (8, 16, 32, 64), 260, "of the to in a an any this with and or is are it for on be by as at under that"
 #: Hashed features, lines sampled from the corpus as "no licence", least share of a template's word pairs.
 FEATURE_BITS, SAMPLE_LINES, CONFIRM = 16, 4000, 0.6
 
 
+def _read(texts: pa.Array) -> Words:
+    return split_words(texts, lower=True, letters=True)
+
+
 def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(text, feature) of all word one- and two-grams."""
-    words = split_words(texts, lower=True, letters=True)
+    words = _read(texts)
     at, pairs = runs(words, 2)
     shift = np.uint64(64 - FEATURE_BITS)
     return np.concatenate([words.text_of, words.text_of[at]]), (np.concatenate([words.hashes, pairs]) >> shift).astype(np.int64)
 
 
+def _stretch_scores(words: Words, pairs: np.ndarray, low: np.ndarray, high: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Logits by stretch (words low to high) and class; a stretch's features weigh 1/sqrt(number of features)."""
+    shift = np.uint64(64 - FEATURE_BITS)
+    one, two = (words.hashes >> shift).astype(np.int64), (pairs >> shift).astype(np.int64)
+    some = high > low
+    last = np.maximum(high - 1, low)
+    scale = np.where(some, 1 / np.sqrt(np.maximum(high - low + last - low, 1)), 0.0)
+    out = np.zeros((len(low), len(weights)))
+    for c, w in enumerate(weights):
+        ones, twos = np.concatenate([[0.0], np.cumsum(w[one])]), np.concatenate([[0.0], np.cumsum(w[two])])
+        out[:, c] = (ones[high] - ones[low] + twos[last] - twos[low]) * scale + w[-1]
+    return out
+
+
+def _all_pairs(words: Words) -> np.ndarray:
+    """The hash of each word and the next one of its text; 0 at a text's end."""
+    out = np.zeros(len(words.hashes), np.uint64)
+    at, hashes = runs(words, 2)
+    out[at] = hashes
+    return out
+
+
 def _scores(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
-    """Logits by text and class; a text's features weigh 1/sqrt(number of features)."""
-    text, feature = _features(texts)
-    n = np.bincount(text, minlength=len(texts))
-    out = np.stack([np.bincount(text, w[feature], len(texts)) for w in weights[:, :-1]], axis=1)
-    return out / np.sqrt(np.maximum(n, 1))[:, None] + weights[:, -1]
+    words = _read(texts)
+    return _stretch_scores(words, _all_pairs(words), words.first[:-1], words.first[1:], weights)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -60,8 +104,19 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=1, keepdims=True)
 
 
+def _windows_of(lines: list[str], seed: int) -> list[str]:
+    """A stretch of each line that is longer than the shortest window."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for words in map(str.split, lines):
+        if len(words) > (n := int(rng.choice(WINDOWS))):
+            at = int(rng.integers(len(words) - n + 1))
+            out.append(" ".join(words[at : at + n]))
+    return out
+
+
 def _variations(seed: int, n: int) -> tuple[list[str], list[int]]:
-    """Notices with up to a fifth of their words left out and words of their surroundings around them."""
+    """Notices with up to a fifth of their words left out, and those of other licences as they are."""
     rng = np.random.default_rng(seed)
     texts, labels = [], []
     for k, family in enumerate(FAMILIES):
@@ -71,7 +126,7 @@ def _variations(seed: int, n: int) -> tuple[list[str], list[int]]:
                 keep = rng.random(len(words)) >= (0.0 if j % 2 == 0 else 0.2)
                 texts.append(" ".join(w for w, x in zip(words, keep) if x or len(words) < 5))
                 labels.append(k)
-    return texts, labels
+    return texts + OTHERS * n, labels + [len(FAMILIES)] * (len(OTHERS) * n)
 
 
 def train(lines: list[str], steps: int = 300, rate: float = 2.0, decay: float = 1e-4) -> tuple[np.ndarray, float, float]:
@@ -79,7 +134,8 @@ def train(lines: list[str], steps: int = 300, rate: float = 2.0, decay: float =
     none = len(FAMILIES)
     cut = len(lines) * 3 // 4
     texts, labels = _variations(1, 8)
-    texts, labels = texts + lines[:cut] + [""], labels + [none] * (cut + 1)
+    plain = lines[:cut] + _windows_of(lines[:cut], 3) + [""]
+    texts, labels = texts + plain, labels + [none] * len(plain)
     text, feature = _features(pa.array(texts))
     scale = 1 / np.sqrt(np.maximum(np.bincount(text, minlength=len(texts)), 1))
     used, column = np.unique(feature, return_inverse=True)
@@ -95,7 +151,7 @@ def train(lines: list[str], steps: int = 300, rate: float = 2.0, decay: float =
     weights[:, used], weights[:, -1] = w, bias
     # Calibration: the temperature that makes unseen variations likeliest, then a bar that no unseen corpus line passes.
     seen, known = _variations(2, 4)
-    held = lines[cut:] + [""]
+    held = lines[cut:] + _windows_of(lines[cut:], 4) + [""]
     logits, answer = _scores(pa.array(seen + held), weights), np.array(known + [none] * len(held))
     heat = min((0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 1.0, 1.5, 2.0), key=lambda t: -np.log(np.maximum(_softmax(logits / t)[np.arange(len(answer)), answer], 1e-12)).mean())
     wrong = _softmax(logits[len(seen) :] / heat)[:, :none].max(axis=1)
@@ -103,39 +159,121 @@ def train(lines: list[str], steps: int = 300, rate: float = 2.0, decay: float =
 
 
 def _pairs(text: str) -> set:
-    words = split_words(pa.array([text]), lower=True, letters=True)
+    words = _read(pa.array([text]))
     return set(runs(words, 2)[1].tolist()) | (set(words.hashes.tolist()) if len(words.hashes) < 4 else set())
 
 
+def _stretches(words: Words, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First word and the word after the last of all lines and windows; and of each word's paragraph."""
+    n = len(line)
+    text = words.text_of
+    begins = np.ones(n, bool)
+    begins[1:] = (text[1:] != text[:-1]) | (line[1:] != line[:-1])
+    breaks = np.ones(n, bool)
+    breaks[1:] = (text[1:] != text[:-1]) | (line[1:] - line[:-1] > 1)
+    at = np.flatnonzero(begins)
+    low, high = [at], [np.append(at[1:], n)[: len(at)]]
+    para = np.flatnonzero(breaks)
+    number = np.cumsum(breaks) - 1
+    first, last = para[number], np.append(para[1:], n)[number] if n else para
+    for size in WINDOWS:
+        place = np.flatnonzero(((np.arange(n) - first) % (size // 4) == 0) & (np.arange(n) + size * 3 // 4 < last))
+        low.append(place)
+        high.append(np.minimum(place + size, last[place]))
+    return np.concatenate(low), np.concatenate(high), first, last
+
+
+def _notices(words: Words, pairs: np.ndarray, line: np.ndarray, span: tuple[int, int], p: np.ndarray, bar: float, best: tuple[int, int], templates) -> list[tuple]:
+    """(line, family, p, match) in one run of stretches that may hold notices; p: the highest of each class there; best: the likeliest stretch."""
+    low, high = span
+    end = min(high + AHEAD, int(words.first[int(np.searchsorted(words.first, high - 1, "right")) - 1 + 1]))
+    said = [words.data[a:b].tobytes().decode() for a, b in zip(words.starts[low:end], words.ends[low:end])]
+    offsets = np.cumsum([0] + [len(w) + 1 for w in said])
+    said, out = " ".join(said), {}
+    for k, family in enumerate(FAMILIES):
+        for m in re.finditer(SURE[family], said):
+            a, b = low + int(np.searchsorted(offsets, m.start(), "right")) - 1, low + int(np.searchsorted(offsets, m.end()))
+            if a >= high:
+                break
+            match = max(_share(words, pairs, max(low, a - n), min(high, b + n), t) for n, t in templates[k])
+            key = (int(line[a]), family)
+            if match >= CONFIRM and (key not in out or out[key][3] < match):
+                out[key] = (*key, float(p[k]), match)
+    k = int(p[: len(FAMILIES)].argmax())
+    if not out and p[k] >= bar:
+        match = max(_share(words, pairs, *best, t) for _, t in templates[k])
+        return [(int(line[best[0]]), FAMILIES[k], float(p[k]), match if match < CONFIRM else 0.0)]
+    return sorted(out.values())
+
+
+def _share(words: Words, pairs: np.ndarray, low: int, high: int, template: set) -> float:
+    own = set(pairs[low : high - 1].tolist()) | set(words.hashes[low:high].tolist())
+    return len(own & template) / max(1, len(template))
+
+
 def _scan(model):
-    templates = [[_pairs(t) for t in TEMPLATES[f]] for f in FAMILIES]
+    templates = [[(len(_read(pa.array([t])).hashes), _pairs(t)) for t in TEMPLATES[f]] for f in FAMILIES]
+    plain = _read(pa.array(PLAIN.split())).hashes
+    # Pairs of templates that tell something; those of templates of a few words are enough by themselves.
+    telling: dict[int, int] = {}
+    for t in (t for f in FAMILIES for t in TEMPLATES[f]):
+        words = _read(pa.array([t]))
+        empty = np.isin(words.hashes, plain)
+        for h in runs(words, 2)[1][~(empty[:-1] & empty[1:])].tolist():
+            telling[h] = max(telling.get(h, 0), 2 if len(words.hashes) < 4 else 1)
+    keys = np.array(sorted(telling), np.uint64)
+    worth = np.array([telling[k] for k in keys.tolist()])
+    kind = pa.list_(pa.struct([("line", pa.int64()), ("family", pa.string()), ("p", pa.float64()), ("match", pa.float64())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, heat, bar = model.value
-        for chunk in chunks(batches):
-            lines = pc.split_pattern(pc.fill_null(chunk.column("text"), ""), "\n")
-            first, flat = lines.offsets.to_numpy(), lines.flatten()
-            first = first - first[0]
-            p = _softmax(_scores(flat, weights) / heat)
-            best = p.argmax(axis=1)
-            found = np.flatnonzero((best < len(FAMILIES)) & (p.max(axis=1) >= bar))
-            doc = np.searchsorted(first, found, "right") - 1
-            out = {k: [] for k in ("doc", "line", "family", "p", "match")}
-            for d, k in zip(doc.tolist(), found.tolist()):
-                own = _pairs(flat[k].as_py())
-                match = max(len(own & t) / max(1, len(t)) for t in templates[best[k]])
-                for c, v in zip(out, (d, k - int(first[d]), FAMILIES[best[k]], float(p[k, best[k]]), match)):
-                    out[c].append(v)
-            cuts = np.searchsorted(np.array(out["doc"], np.int64), np.arange(chunk.num_rows + 1))
-            rows = [[{"line": out["line"][j], "family": out["family"][j], "p": out["p"][j], "match": out["match"][j]} for j in range(a, b)] for a, b in zip(cuts[:-1], cuts[1:])]
-            kind = pa.list_(pa.struct([("line", pa.int64()), ("family", pa.string()), ("p", pa.float64()), ("match", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(np.diff(first), pa.int64()), pa.array(rows, kind)], names=["doc_id", "n_lines", "notices"])
+        for big in chunks(batches):
+            for low in range(0, big.num_rows, 500):
+                chunk = big.slice(low, 500)
+                rows, n_lines = scan_texts(chunk.column("text"), weights, heat, bar)
+                yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(n_lines, pa.int64()), pa.array(rows, kind)], names=["doc_id", "n_lines", "notices"])
+
+    def scan_texts(texts: pa.Array, weights: np.ndarray, heat: float, bar: float) -> tuple[list, np.ndarray]:
+        words = _read(texts)
+        feeds, at = text_bytes(texts)
+        feeds = np.concatenate([[0], np.cumsum(feeds == 10)])
+        rows: list[list] = [[] for _ in range(len(texts))]
+        n_lines = np.diff(feeds[at]) + 1
+        if not len(words.hashes):
+            return rows, n_lines
+        text = words.text_of
+        line = feeds[words.starts] - feeds[at[text]]
+        pairs = _all_pairs(words)
+        low, high, first, last = _stretches(words, line)
+        place = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
+        hits = np.concatenate([[0], np.cumsum(np.where(keys[place] == pairs, worth[place], 0))])
+        p = _softmax(_stretch_scores(words, pairs, low, high, weights) / heat)
+        likely = p[:, : len(FAMILIES)].max(axis=1)
+        sure = (likely >= bar) & (p.argmax(axis=1) < len(FAMILIES))
+        near = (hits[high - 1] - hits[low] >= 2) & (high - low <= WINDOWS[0])
+        found = np.flatnonzero(sure | near)
+        # Stretches with a few words around them; where these touch in a paragraph, they are one run.
+        a, b = np.maximum(low[found] - WINDOWS[1], first[low[found]]), np.minimum(high[found] + WINDOWS[1], last[low[found]])
+        order = np.lexsort((b, a))
+        found, a, b = found[order], a[order], b[order]
+        new = np.ones(len(found), bool)
+        new[1:] = (a[1:] >= np.maximum.accumulate(b)[:-1]) | (first[low[found]][1:] != first[low[found]][:-1])
+        cuts = np.append(np.flatnonzero(new), len(found))
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            group = found[x:y]
+            top = group[likely[group].argmax()]
+            some = _notices(words, pairs, line, (int(a[x]), int(b[x:y].max())), p[group].max(axis=0), bar if sure[group].any() else 2.0, (int(low[top]), int(high[top])), templates)
+            rows[text[a[x]]] += [dict(zip(("line", "family", "p", "match"), r)) for r in some]
+        return rows, n_lines
 
     return scan
 
 
 def scan_licenses(docs: DataFrame, sample_lines: int = SAMPLE_LINES) -> DataFrame:
-    """doc_id, n_lines, notices (line number, family, p, match: share of the best template's word pairs) for every row of `docs`.
+    """doc_id, n_lines, notices (line number, family, p, match) for every row of `docs`.
+
+    match is the share of the best template's word pairs around the words that tell the family from its
+    neighbours, in the line where these begin; where they are missing, it is less than CONFIRM.
 
     At most `sample_lines` lines, one for each of the rows with the least hashes of doc_id, stand for
     "no licence" in training; lines that name a licence are left out of them. A null text has one empty
