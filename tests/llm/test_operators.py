@@ -242,6 +242,16 @@ def test_token_files(spark, odd_texts, tmp_path):
     assert token_files.read_token_files(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_capitals_with_marks():
+    from tokenizers import Tokenizer
+
+    path = bpe.default_vocabulary("word_bpe_49k.json")
+    library, table = Tokenizer.from_file(path), token_files.WordIds(path)
+    texts = [a + word + b for word in ("J\u030c", "H\u0331", "T\u0308", "W\u030a", "Y\u030a", "E\u0301", "\u00c9") for a in ("", "A", "see ") for b in ("", "AN.", ", <|x")]
+    for t, ids in zip(texts, table.encode([t.encode() for t in texts], 2)):
+        assert np.frombuffer(ids, table.kind).tolist() == library.encode(t, add_special_tokens=False).ids + [2], t
+
+
 @pytest.mark.parametrize("counts", [[5], [0, 3, 0, 1], [1] * 300, [2**k for k in range(40)]])
 def test_huffman(counts):
     counts = np.array(counts, np.int64)

@@ -26,6 +26,8 @@ from vistalake.llm.words import chunks
 LIMIT, STEP, BLOCK_IDS = 20, 64, 1 << 16
 #: Entries of a generation of a worker's table of words, and the longest word (bytes) that goes there.
 CACHE, CACHED_LENGTH = 500_000, 64
+#: Before a byte above 0x7F a capital may be one with a mark, which the tokenizer composes before it lower-cases.
+_CAPITAL = re.compile(rb"[A-Z](?=[\x80-\xff])")
 _ENDS = re.compile(rb"([a-z0-9])([.,])(?=[ \n]|\Z)")
 
 
@@ -99,10 +101,20 @@ class Decoder:
         return out.reshape(-1)[:n]
 
 
+def _lower(text: bytes) -> bytes:
+    if text.isascii():
+        return text.lower()
+    low = bytearray(text.lower())
+    for m in _CAPITAL.finditer(text):
+        low[m.start()] = text[m.start()]
+    return bytes(low)
+
+
 class WordIds:
     """Words to ids by the tokenizers library; a word is what stands between spaces, since no token runs over one.
 
-    Words are looked up with A-Z lower-cased, as the tokenizer does itself, and with a comma or full
+    Words are looked up with A-Z lower-cased, as the tokenizer does itself, but for what stands before a
+    byte above 0x7F: J and a caron have no composed capital but a composed small letter. They are looked up with a comma or full
     stop at their end set apart, which is a token's end in any case. Two generations of words are kept:
     what is asked for again moves to the young one, and a full young one takes the old one's place.
     """
@@ -120,7 +132,7 @@ class WordIds:
 
     def encode(self, texts: list[bytes], end_id: int) -> list[bytes]:
         # A special token's name in upper case is no special token.
-        split = [(t if b"<|" in t else _ENDS.sub(rb"\1 \2", t.lower())).split() for t in texts]
+        split = [(t if b"<|" in t else _ENDS.sub(rb"\1 \2", _lower(t))).split() for t in texts]
         new = []
         for w in {w for words in split for w in words}.difference(self.young):
             if (ids := self.old.get(w)) is not None:
