@@ -121,6 +121,41 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             low = high
 
 
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[k], starts[k] + 1, ... (lengths[k] of them) for every k, end to end."""
+    first = np.cumsum(lengths) - lengths
+    return np.repeat(starts - first, lengths) + np.arange(int(lengths.sum()))
+
+
+def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of ascending, disjoint runs of bytes; alike wherever a run stands."""
+    out, low = np.empty(len(starts), np.uint64), 0
+    while low < len(starts):
+        high = max(low + 1, int(np.searchsorted(ends, starts[low] + BLOCK_BYTES, "right")))
+        base, n = starts[low], int(ends[high - 1] - starts[low])
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((data[base : base + n] + np.uint64(1)) * powers(BYTE_BASE, n), out=sums[1:])
+        s, e = starts[low:high] - base, ends[low:high] - base
+        out[low:high] = mix((sums[e] - sums[s]) * powers(pow(BYTE_BASE, -1, 1 << 64), n + 1)[s])
+        low = high
+    return out
+
+
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct hash stands first, and each hash's number among them."""
+    number = pa.array(hashes).dictionary_encode().indices.to_numpy()
+    first = np.empty(int(number.max()) + 1 if len(number) else 0, np.int64)
+    first[number[::-1]] = np.arange(len(number) - 1, -1, -1)
+    return first, number
+
+
+def byte_pieces(data: np.ndarray, first: np.ndarray) -> Iterator[memoryview]:
+    """What lies between neighbours of `first`, in bytes."""
+    view, width = memoryview(np.ascontiguousarray(data)).cast("B"), data.itemsize
+    for a, b in zip((first[:-1] * width).tolist(), (first[1:] * width).tolist()):
+        yield view[a:b]
+
+
 def groups(ordered: np.ndarray) -> np.ndarray:
     """Where runs of equal values begin in a sorted array."""
     return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
