@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,8 +249,26 @@ def test_capitals_with_marks():
     path = bpe.default_vocabulary("word_bpe_49k.json")
     library, table = Tokenizer.from_file(path), token_files.WordIds(path)
     texts = [a + word + b for word in ("J\u030c", "H\u0331", "T\u0308", "W\u030a", "Y\u030a", "E\u0301", "\u00c9") for a in ("", "A", "see ") for b in ("", "AN.", ", <|x")]
-    for t, ids in zip(texts, table.encode([t.encode() for t in texts], 2)):
-        assert np.frombuffer(ids, table.kind).tolist() == library.encode(t, add_special_tokens=False).ids + [2], t
+    ids, first = table.encode(pa.array(texts), 2)
+    for k, t in enumerate(texts):
+        assert ids[first[k] : first[k + 1]].tolist() == library.encode(t, add_special_tokens=False).ids + [2], t
+
+
+def test_token_ids_equal_the_library_with_a_small_table(odd_texts, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = bpe.default_vocabulary("word_bpe_49k.json")
+    library, table = Tokenizer.from_file(path), token_files.WordIds(path)
+    monkeypatch.setattr(token_files, "CACHE", 500)
+    monkeypatch.setattr(token_files, "CACHED_LENGTH", 6)
+    rng = np.random.default_rng(17)
+    parts = list("aabcd  \n'!?.,012A") + ["\x1c", "\x85", "é", "日本", "'s", "can't.", "İ", "(x)", "a1b", "=\u0338", "<|endoftext|>", "<|ENDOFTEXT|>"]
+    texts_ = odd_texts + ["".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(3000)] + pa.parquet.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()
+    for low in range(0, len(texts_), 700):
+        some = texts_[low : low + 700]
+        ids, first = table.encode(pa.array(some, pa.string()), 2)
+        want = [e.ids + [2] for e in library.encode_batch_fast([t or "" for t in some], add_special_tokens=False)]
+        assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == want
 
 
 @pytest.mark.parametrize("counts", [[5], [0, 3, 0, 1], [1] * 300, [2**k for k in range(40)]])
@@ -410,3 +429,43 @@ def test_sharding(docs, rows, none):
         assert sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got)))
     assert all(len({r["shard"] for r in got if r["text_crc32"] == c}) == 1 for c in {r["text_crc32"] for r in got})
     assert sharding.shard_documents(none).count() == 0
+
+
+def test_bpe_equals_the_library_on_documents():
+    from tokenizers import Tokenizer
+
+    path = bpe.default_vocabulary()
+    library, automaton = Tokenizer.from_file(path), bpe.Automaton(path)
+    rng = np.random.default_rng(14)
+    parts = list("aabcdeors  \n\t'!?.,012") + ["\x85", "é", "日本", "'s", "'re", "'ll", "'", "　", " ", "<|endoftext|>", "    ", "\r\n"]
+    texts_ = ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(5000)] + [" " * 300 + "a", "é" * 4000, "ab" * 5000, " 　"]
+    texts_ += pa.parquet.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column("text").to_pylist()[:10_000]
+    ids, first = automaton.encode_texts(pa.array(texts_, pa.string()))
+    want = [e.ids for e in library.encode_batch_fast([t or "" for t in texts_], add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == want
+
+
+def test_bpe_pieces_are_those_of_the_pattern():
+    import regex
+
+    rng = np.random.default_rng(15)
+    parts = list("ab 1 \n\t'") + ["é", "日", "'s", "'ve", "　", "!", "²", "\x1c", "👍"]
+    for _ in range(3000):
+        t = "".join(rng.choice(parts, rng.integers(1, 15)))
+        data = np.frombuffer(t.encode(), np.uint8)
+        starts = bpe.split_pieces(data, np.zeros(1, np.int64))
+        got = [data[a:b].tobytes().decode() for a, b in zip(starts, np.append(starts[1:], len(data)))]
+        assert got == regex.findall(bpe.PATTERN, t), t
+
+
+def test_bpe_arcs_are_the_pairs_that_stay_apart():
+    from tokenizers import Tokenizer
+
+    path = bpe.default_vocabulary()
+    library, automaton = Tokenizer.from_file(path), bpe.Automaton(path)
+    letters = [k for k in automaton.in_use if automaton.labels.emit(np.array([k])).tobytes().isalpha()]
+    rng = np.random.default_rng(16)
+    a, b = rng.choice(letters, 3000), rng.choice(letters[:2000], 3000)
+    for x, y, open_ in zip(a.tolist(), b.tolist(), automaton.arcs(a, b)):
+        word = automaton.labels.emit(np.array([x, y])).tobytes().decode()
+        assert open_ == (library.encode(word, add_special_tokens=False).ids == [x, y]), word

@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +22,14 @@ from pyspark.sql import functions as F
 
 from vistalake.llm.bpe import default_vocabulary, ship_file
 from vistalake.llm.shared import documents, fresh_path, written
-from vistalake.llm.words import chunks
+from vistalake.llm.words import byte_pieces, chunks, distinct, hash_runs, ranges, text_bytes
 
 LIMIT, STEP, BLOCK_IDS = 20, 64, 1 << 16
-#: Entries of a generation of a worker's table of words, and the longest word (bytes) that goes there.
+#: Words in a generation of a worker's table, and the longest word (bytes) that goes there.
 CACHE, CACHED_LENGTH = 500_000, 64
-#: Before a byte above 0x7F a capital may be one with a mark, which the tokenizer composes before it lower-cases.
-_CAPITAL = re.compile(rb"[A-Z](?=[\x80-\xff])")
-_ENDS = re.compile(rb"([a-z0-9])([.,])(?=[ \n]|\Z)")
+#: Kinds of bytes: what joins both ways, white space, letters, digits, others.
+_JOINS, _WHITE = 0, 1
+_KIND = np.array([_JOINS if b > 127 or b == 39 else _WHITE if b in b" \t\n\r\f\v" else 2 if chr(b).isalpha() else 3 if chr(b).isdigit() else 4 for b in range(256)], np.uint8)
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -101,22 +102,63 @@ class Decoder:
         return out.reshape(-1)[:n]
 
 
-def _lower(text: bytes) -> bytes:
-    if text.isascii():
-        return text.lower()
-    low = bytearray(text.lower())
-    for m in _CAPITAL.finditer(text):
-        low[m.start()] = text[m.start()]
-    return bytes(low)
+def _cut_words(data: np.ndarray, at: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`data` with A-Z lower-cased, and the starts and ends of runs of bytes that no token crosses.
+
+    Tokens end at white space, and between ASCII letters, digits and other ASCII characters but the
+    apostrophe. A capital before a byte above 0x7F stays: it may be one with a mark, which the tokenizer
+    composes before it lower-cases (J and a caron have no composed capital but a composed small
+    letter). Texts in `apart` are cut at white space only and stay as they are.
+    """
+    kind = _KIND[data]
+    high = np.append(data[1:] >= 0x80, False)
+    fold = np.zeros(256, np.uint8)
+    fold[65:91] = 32
+    low = data + np.where(high, 0, fold[data]).astype(np.uint8)
+    begins = kind != _WHITE
+    inside = (kind[1:] == kind[:-1]) | (kind[1:] == _JOINS) | (kind[:-1] == _JOINS)
+    begins[1:] &= ~inside | (kind[:-1] == _WHITE)
+    begins[at[:-1][at[:-1] < at[1:]]] = kind[at[:-1][at[:-1] < at[1:]]] != _WHITE
+    for k in apart.tolist():
+        a, b = int(at[k]), int(at[k + 1])
+        low[a:b] = data[a:b]
+        white = kind[a:b] == _WHITE
+        begins[a:b] = ~white & np.append(True, white[:-1])
+    stops = np.append(begins[1:] | (kind[1:] == _WHITE), True) & (kind != _WHITE)
+    stops[at[1:][at[1:] > at[:-1]] - 1] = kind[at[1:][at[1:] > at[:-1]] - 1] != _WHITE
+    return low, np.flatnonzero(begins), np.flatnonzero(stops) + 1
+
+
+class Known:
+    """Words by hash, and their ids end to end."""
+
+    def __init__(self, keys=None, where=None, counts=None, ids=None, kind=np.uint16):
+        self.keys = np.zeros(0, np.uint64) if keys is None else keys
+        self.where, self.counts = (np.zeros(0, np.int64) if x is None else x for x in (where, counts))
+        self.ids = np.zeros(0, kind) if ids is None else ids
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the keys that are known, and their places."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = np.flatnonzero(self.keys[at] == keys)
+        return hit, at[hit]
+
+    def take(self, places: np.ndarray) -> np.ndarray:
+        return self.ids[ranges(self.where[places], self.counts[places])]
+
+    def plus(self, keys: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> Known:
+        keys, where = np.concatenate([self.keys, keys]), np.concatenate([self.where, len(self.ids) + np.cumsum(counts) - counts])
+        order = np.argsort(keys)
+        return Known(keys[order], where[order], np.concatenate([self.counts, counts])[order], np.concatenate([self.ids, ids]))
 
 
 class WordIds:
-    """Words to ids by the tokenizers library; a word is what stands between spaces, since no token runs over one.
+    """Texts to ids by the tokenizers library, which sees each distinct word once for as long as it is known.
 
-    Words are looked up with A-Z lower-cased, as the tokenizer does itself, but for what stands before a
-    byte above 0x7F: J and a caron have no composed capital but a composed small letter. They are looked up with a comma or full
-    stop at their end set apart, which is a token's end in any case. Two generations of words are kept:
-    what is asked for again moves to the young one, and a full young one takes the old one's place.
+    Two generations of words are kept: what is asked for again moves to the young one, and a full young
+    one takes the old one's place.
     """
 
     def __init__(self, path: str):
@@ -127,29 +169,56 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes], end_id: int) -> list[bytes]:
+        self.young, self.old = Known(kind=self.kind), Known(kind=self.kind)
+
+    def _look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids by the library, end to end, and how many each word has."""
+        counts, ids = np.zeros(len(words), np.int64), [np.zeros(0, self.kind)]
+        for low in range(0, len(words), 10_000):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(words[low : low + 10_000], add_special_tokens=False)]
+            counts[low : low + len(found)] = [len(x) for x in found]
+            ids.append(np.fromiter(chain.from_iterable(found), self.kind))
+        return np.concatenate(ids), counts
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with `end_id` at its end, and where each text's begin; one more at the end."""
+        data, at = text_bytes(texts)
+        raw, n = data.tobytes(), len(at) - 1
         # A special token's name in upper case is no special token.
-        split = [(t if b"<|" in t else _ENDS.sub(rb"\1 \2", _lower(t))).split() for t in texts]
-        new = []
-        for w in {w for words in split for w in words}.difference(self.young):
-            if (ids := self.old.get(w)) is not None:
-                self.young[w] = ids
-            else:
-                new.append(w)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-            self.young[w] = np.array(e.ids, self.kind).tobytes()
-        end = np.array([end_id], self.kind).tobytes()
-        find = self.young.__getitem__
-        out = [b"".join(map(find, words)) + end for words in split]
-        for w in new:
-            if len(w) > CACHED_LENGTH:
-                del self.young[w]
-        if len(self.young) > CACHE:
-            self.young, self.old = {}, self.young
-        return out
+        apart = np.unique(np.searchsorted(at, [m.start() for m in re.finditer(rb"<\|", raw)], "right") - 1)
+        low, starts, ends = _cut_words(data, at, apart) if len(data) else (data, np.zeros(0, np.int64), np.zeros(0, np.int64))
+        hashes = hash_runs(low, starts, ends)
+        first, number = distinct(hashes)
+        keys = hashes[first]
+        hit, place = self.young.find(keys)
+        unseen = np.ones(len(keys), bool)
+        unseen[hit] = False
+        rest = np.flatnonzero(unseen)
+        again, old_place = self.old.find(keys[rest])
+        moved = rest[again]
+        unseen[moved] = False
+        new = np.flatnonzero(unseen)
+        spelled, raw = low.tobytes(), None
+        ids, counts = self._look_up([spelled[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+        all_keys, all_counts = np.concatenate([keys[hit], keys[moved], keys[new]]), np.concatenate([self.young.counts[place], self.old.counts[old_place], counts])
+        old_ids = self.old.take(old_place)
+        all_ids = np.concatenate([self.young.take(place), old_ids, ids])
+        short = (ends - starts)[first[new]] <= CACHED_LENGTH
+        self.young = self.young.plus(np.concatenate([keys[moved], keys[new][short]]), np.concatenate([self.old.counts[old_place], counts[short]]), np.concatenate([old_ids, ids[np.repeat(short, counts)]]))
+        if len(self.young.keys) > CACHE:
+            self.young, self.old = Known(kind=self.kind), self.young
+        # Every text has one word more, its end.
+        where = np.empty(len(keys) + 1, np.int64)
+        size = np.ones(len(keys) + 1, np.int64)
+        rank = np.concatenate([hit, moved, new])
+        where[rank], size[rank] = np.cumsum(all_counts) - all_counts, all_counts
+        where[-1] = len(all_ids)
+        all_ids = np.append(all_ids, np.array([end_id], self.kind))
+        of_text = np.searchsorted(starts, at)
+        words = np.insert(number.astype(np.int64), of_text[1:], len(keys))
+        sizes = size[words]
+        sums = np.concatenate([[0], np.cumsum(sizes)])
+        return all_ids[ranges(where[words], sizes)], sums[of_text + np.arange(n + 1)]
 
 
 _loaded: dict[str, WordIds] = {}
@@ -160,11 +229,10 @@ def _encode(name: str, end_id: int):
         if name not in _loaded:
             _loaded[name] = WordIds(SparkFiles.get(name))
         table = _loaded[name]
-        for big in chunks(batches):
-            for low in range(0, big.num_rows, 500):  # the table grows by few words at a time
-                batch = big.slice(low, 500)
-                ids = table.encode([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()], end_id)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([table.kind.itemsize] * len(ids), pa.int32())], names=["doc_id", "ids", "width"])
+        for batch in chunks(batches):
+            ids, first = table.encode(batch.column("text"), end_id)
+            blobs = map(bytes, byte_pieces(ids, first))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, pa.binary()), pa.array([table.kind.itemsize] * batch.num_rows, pa.int32())], names=["doc_id", "ids", "width"])
 
     return encode
 
