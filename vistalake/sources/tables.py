@@ -35,7 +35,7 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     """`df` written to the shared folder and read back: lineage is cut, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
