@@ -3,9 +3,9 @@
 Any 50 consecutive words hold a whole block of 25 words that starts at a multiple of 25. So:
 
 1. The index holds every text's non-overlapping blocks of 25 words; every rolling window of 25 words
-   probes it. Texts travel as chunks: a chunk sends its distinct hashes, sorted and packed into
-   hash-range buckets, and gets back one bit for each ("in two texts or more") and one more ("and
-   among these an indexed block").
+   probes it. Texts travel as chunks, which are cut once and written with their numbers: a chunk sends
+   its distinct hashes, sorted and packed into hash-range buckets, and gets back one bit for each ("in
+   two texts or more") and one more ("and among these an indexed block").
 2. Hits are extended: a run of 50 words can only repeat if all its 25-word windows are in other texts
    and one is an indexed block. These runs' 64-bit hashes are compared over all texts, which gives the
    least doc_id that has each. Runs that overlap merge into maximal repeats.
@@ -21,23 +21,22 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vistalake.llm.shared import documents, written
-from vistalake.llm.words import bits, bucket_bits, buckets, chunks, groups, pack, runs, split_words, unbits, unpack
+from vistalake.llm.words import REST_BITS, answered_pieces, bits, bucket_bits, bucket_keys, buckets, groups, number_chunks, pack, pack_keys, pieces, runs, split_words, unbits, unpack, unpack_keys
 
-#: Bits of an anchor's hash that are sent (a chance match only lets a run through to the exact step), and bytes of text that one bucket answers for.
-ANCHOR_BITS, BUCKET_BYTES = 48, 12 << 20
+#: Bytes of text that one bucket answers for. A chance match of what is sent of an anchor's hash only lets a run through to the exact step.
+BUCKET_BYTES = 12 << 20
 
 
 class Anchors:
     """Distinct block hashes of a chunk, sorted, with what is known of each from the chunk alone."""
 
-    def __init__(self, words, block: int):
+    def __init__(self, words, block: int, n_bits: int):
         self.at, hashes = runs(words, block)
-        keys = hashes >> np.uint64(64 - ANCHOR_BITS)
+        keys = bucket_keys(hashes, n_bits)
         self.order = np.argsort(keys, kind="stable")
         keys, text = keys[self.order], words.text_of[self.at][self.order]
         first = groups(keys)
@@ -56,38 +55,31 @@ class Anchors:
         return out
 
 
-def _chunk_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    part = TaskContext.get().partitionId()
-    for k, chunk in enumerate(chunks(batches)):
-        yield part << 32 | k, chunk
-
-
 def _rows(schema: dict[str, pa.DataType], columns: dict[str, list]) -> pa.RecordBatch:
     n = max(map(len, columns.values()), default=0)
     return pa.RecordBatch.from_arrays([pa.array(columns.get(c) or [None] * n, t) for c, t in schema.items()], names=list(schema))
 
 
-def _ask_anchors(block: int, n_bits: int):
-    schema = {"chunk": pa.int64(), "bucket": pa.int32(), "keys": pa.binary(), "many": pa.binary(), "indexed": pa.binary()}
+_ASKED = {"chunk": pa.int64(), "start": pa.int64(), "stop": pa.int64(), "bucket": pa.int32(), "keys": pa.binary(), "many": pa.binary(), "indexed": pa.binary()}
+
 
+def _ask_anchors(block: int, n_bits: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, chunk in _chunk_ids(batches):
-            a = Anchors(split_words(chunk.column("text")), block)
-            out: dict[str, list] = {c: [] for c in schema}
-            for b, s in buckets(a.keys, ANCHOR_BITS, n_bits):
-                for c, v in zip(schema, (name, b, pack(a.keys[s], ANCHOR_BITS // 8), bits(a.many[s]), bits(a.indexed[s]))):
+        for chunk, start, stop, docs in pieces(batches):
+            a = Anchors(split_words(docs.column("text")), block, n_bits)
+            out: dict[str, list] = {c: [] for c in _ASKED}
+            for b, s in buckets(a.keys, REST_BITS):
+                for c, v in zip(_ASKED, (chunk, start, stop, b, pack_keys(a.keys[s]), bits(a.many[s]), bits(a.indexed[s]))):
                     out[c].append(v)
-            yield _rows(schema, out)
+            yield _rows(_ASKED, out)
 
     return ask
 
 
 def _answer_anchors(table: pa.Table) -> pa.Table:
-    rows = table.to_pylist()
-    keys = [unpack(r["keys"], ANCHOR_BITS // 8) for r in rows]
+    keys = [unpack_keys(x) for x in table.column("keys").to_pylist()]
     flat = np.concatenate(keys)
-    many = np.concatenate([unbits(r["many"], len(k)) for r, k in zip(rows, keys)])
-    indexed = np.concatenate([unbits(r["indexed"], len(k)) for r, k in zip(rows, keys)])
+    many, indexed = (np.concatenate([unbits(x, len(k)) for x, k in zip(table.column(c).to_pylist(), keys)]) for c in ("many", "indexed"))
     order = np.argsort(flat, kind="stable")
     first = groups(flat[order])
     size = np.diff(np.append(first, len(flat)))
@@ -96,9 +88,10 @@ def _answer_anchors(table: pa.Table) -> pa.Table:
     back = np.empty((2, len(flat)), bool)
     back[:, order] = np.repeat([shared, live], size, axis=1)
     cuts = np.cumsum([len(k) for k in keys])[:-1]
-    return pa.table({
-        "chunk": pa.array([r["chunk"] for r in rows], pa.int64()), "bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "n": pa.array([len(k) for k in keys], pa.int32()),
-        "shared": pa.array([bits(x) for x in np.split(back[0], cuts)], pa.binary()), "live": pa.array([bits(x) for x in np.split(back[1], cuts)], pa.binary())})
+    out = table.select(["chunk", "start", "stop", "bucket"]).append_column("n", pa.array([len(k) for k in keys], pa.int32()))
+    for name, flags in zip(("shared", "live"), back):
+        out = out.append_column(name, pa.array([bits(x) for x in np.split(flags, cuts)], pa.binary()))
+    return out
 
 
 def _digest(text: bytes) -> str:
@@ -112,13 +105,10 @@ _LOOKED_ARROW = {"kind": pa.string(), "chunk": pa.int64(), "bucket": pa.int32(),
 def _look_around(window: int, block: int, n_bits: int):
     """Texts without a candidate run are done; of the others, the runs' hashes are asked about."""
 
-    def look(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return pa.table({c: pa.array([], t) for c, t in _LOOKED_ARROW.items()})
+    def look_at(docs: pa.Table, rows: list[dict], out: dict[str, list]) -> None:
         texts, name = docs.column("text").combine_chunks(), docs.column("chunk")[0].as_py()
         words = split_words(texts)
-        a, n = Anchors(words, block), len(words.hashes)
-        rows = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
+        a, n = Anchors(words, block, n_bits), len(words.hashes)
         flags = [a.spread(np.concatenate([unbits(r[c], r["n"]) for r in rows]), n) if rows else np.zeros(n, bool) for c in ("shared", "live")]
         shared, live = (np.concatenate([[0], np.cumsum(x)]) for x in flags)
         at, hashes = runs(words, window)
@@ -134,7 +124,6 @@ def _look_around(window: int, block: int, n_bits: int):
         first = groups(hashes)
         last = np.append(first[1:], len(hashes)) - 1
         keys, least, many = hashes[first], own[first], own[first] != own[last] if len(first) else first.astype(bool)
-        out: dict[str, list] = {c: [] for c in _LOOKED_ARROW}
         raw = texts.cast(pa.binary())
         for k, (d, wait) in enumerate(zip(ids.tolist(), waits.tolist())):
             value = raw[k].as_py() or b""
@@ -142,10 +131,15 @@ def _look_around(window: int, block: int, n_bits: int):
             row |= {"text": value.decode()} if wait else {"kept_sha256": _digest(value)}
             for c in out:
                 out[c].append(row.get(c))
-        for b, s in buckets(keys, 64, n_bits):
+        for b, s in buckets(keys, 64 - n_bits):
             row = {"kind": "ask", "chunk": name, "bucket": b, "keys": pack(keys[s], 8), "ids": least[s].astype("<i8").tobytes(), "many": bits(many[s])}
             for c in out:
                 out[c].append(row.get(c))
+
+    def look(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        out: dict[str, list] = {c: [] for c in _LOOKED_ARROW}
+        for piece, rows in answered_pieces(docs, answers):
+            look_at(piece, rows, out)
         return pa.table({c: pa.array(v, _LOOKED_ARROW[c]) for c, v in out.items()})
 
     return look
@@ -206,20 +200,15 @@ def repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
 
     A word is removed if a run of `window` words around it also starts in a row with a smaller doc_id.
     A null text has no words. Rows without doc_id neither lose words nor make others lose any; rows
-    that share a doc_id don't either to each other. Other columns of `docs` are ignored.
+    that share a doc_id don't either to each other. An empty table gives no rows. Other columns of `docs` are ignored.
     """
-    block, spark = window // 2, docs.sparkSession
+    block = window // 2
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.filter("doc_id is not null")
     n_bits = bucket_bits(known, BUCKET_BYTES)
-    asked = known.mapInArrow(_ask_anchors(block, n_bits), "chunk long, bucket int, keys binary, many binary, indexed binary")
-    anchors = written(asked.groupBy("bucket").applyInArrow(_answer_anchors, "chunk long, bucket int, n int, shared binary, live binary"), "anchor-bits")
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, chunk in _chunk_ids(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([name] * chunk.num_rows, pa.int64()), *chunk.columns], names=["chunk", "doc_id", "text"])
-
-    texts = known.mapInArrow(named, "chunk long, doc_id long, text string")
+    texts = written(known.mapInArrow(number_chunks, "chunk long, row long, doc_id long, text string"), "substring-chunks")
+    asked = texts.mapInArrow(_ask_anchors(block, n_bits), "chunk long, start long, stop long, bucket int, keys binary, many binary, indexed binary")
+    anchors = written(asked.groupBy("bucket").applyInArrow(_answer_anchors, "chunk long, start long, stop long, bucket int, n int, shared binary, live binary"), "anchor-bits")
     looked = written(texts.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(_look_around(window, block, n_bits), _LOOKED), "passage-runs", ("kind",))
     asks = looked.filter("kind = 'ask'").select("chunk", "bucket", "keys", "ids", "many")
     answers = asks.groupBy("bucket").applyInArrow(_answer_runs, "chunk long, keys binary, least binary")

@@ -13,12 +13,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 
 #: Odd multipliers of the polynomials for bytes and for words, and the constants of the splitmix64 finalizer.
 BYTE_BASE, WORD_BASE = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 #: Texts are handled in chunks of about so many bytes (one text is never cut), and hashed in blocks that fit the CPU's cache.
 CHUNK_BYTES, BLOCK_BYTES = 6 << 20, 1 << 20
+#: Bits of a hash that are sent beside its bucket's number, and the number of keys from which on they are packed by cells.
+REST_BITS, MANY_KEYS = 34, 4096
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Everything but letters, digits and bytes above 0x7F.
@@ -156,6 +159,40 @@ def byte_pieces(data: np.ndarray, first: np.ndarray) -> Iterator[memoryview]:
         yield view[a:b]
 
 
+def number_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """chunk, row (in the chunk), doc_id, text of slices of about CHUNK_BYTES. Numbers hold for one run only: write the rows before they are read twice."""
+    part = TaskContext.get().partitionId()
+    for k, c in enumerate(chunks(batches)):
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.full(c.num_rows, part << 32 | k)), pa.array(np.arange(c.num_rows)), c.column("doc_id"), c.column("text")], names=["chunk", "row", "doc_id", "text"])
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, pa.RecordBatch]]:
+    """Runs of rows of one chunk as a reader meets them: chunk, first row, row after the last, rows. A chunk is one piece unless its rows are split."""
+    for batch in batches:
+        chunk, row = batch.column("chunk").to_numpy(), batch.column("row").to_numpy()
+        new = np.flatnonzero((chunk[1:] != chunk[:-1]) | (row[1:] != row[:-1] + 1)) + 1
+        for a, b in zip([0, *new.tolist()], [*new.tolist(), len(chunk)]):
+            if b > a:
+                yield int(chunk[a]), int(row[a]), int(row[b - 1]) + 1, batch.slice(a, b - a)
+
+
+def answered_pieces(docs: pa.Table, answers: pa.Table) -> Iterator[tuple[pa.Table, list[dict]]]:
+    """Each piece of a chunk that asked, with its answers by bucket; rows between these, which had nothing to ask, without."""
+    docs = docs.take(pc.sort_indices(docs.column("row"))) if docs.num_rows else docs
+    by: dict[tuple[int, int], list[dict]] = {}
+    for r in answers.to_pylist():
+        by.setdefault((r["start"], r["stop"]), []).append(r)
+    at = 0
+    for (start, stop), rows in sorted(by.items()):
+        if start > at:
+            yield docs.slice(at, start - at), []
+        yield docs.slice(start, stop - start), sorted(rows, key=lambda r: r["bucket"])
+        at = stop
+    if docs.num_rows > at:
+        yield docs.slice(at), []
+
+
 def groups(ordered: np.ndarray) -> np.ndarray:
     """Where runs of equal values begin in a sorted array."""
     return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
@@ -180,12 +217,33 @@ def unbits(blob: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(blob, np.uint8), count=n).astype(bool)
 
 
-def buckets(keys: np.ndarray, key_bits: int, n_bits: int) -> Iterator[tuple[int, slice]]:
-    """Slices of sorted keys that share their top n_bits; empty ones are left out."""
-    cuts = np.searchsorted(keys, np.arange(1 << n_bits, dtype=np.uint64) << np.uint64(key_bits - n_bits))
-    cuts = np.append(cuts, len(keys))
-    for b in np.flatnonzero(np.diff(cuts)):
-        yield int(b), slice(int(cuts[b]), int(cuts[b + 1]))
+def bucket_keys(hashes: np.ndarray, n_bits: int) -> np.ndarray:
+    """The top bits of hashes that are sent: a bucket's number and REST_BITS more, so that chance matches are as rare at any size."""
+    return hashes >> np.uint64(64 - n_bits - REST_BITS)
+
+
+def buckets(keys: np.ndarray, rest_bits: int) -> Iterator[tuple[int, slice]]:
+    """Buckets (all but the lowest rest_bits) of sorted keys, and where their keys stand."""
+    top = keys >> np.uint64(rest_bits)
+    cuts = np.append(groups(top), len(keys))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        yield int(top[a]), slice(a, b)
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """The lowest REST_BITS of sorted keys of one bucket. Many keys: how many stand in each cell of 2^24, and three bytes of each; few: five bytes of each."""
+    rest = keys & np.uint64((1 << REST_BITS) - 1)
+    if len(rest) < MANY_KEYS:
+        return b"\0" + pack(rest, 5)
+    return b"\1" + np.bincount((rest >> np.uint64(24)).astype(np.int64), minlength=1 << REST_BITS - 24).astype("<u4").tobytes() + pack(rest, 3)
+
+
+def unpack_keys(blob: bytes) -> np.ndarray:
+    if blob[0] == 0:
+        return unpack(blob[1:], 5)
+    cells = 4 << REST_BITS - 24
+    high = np.repeat(np.arange(1 << REST_BITS - 24, dtype=np.uint64), np.frombuffer(blob[1 : 1 + cells], "<u4"))
+    return high << np.uint64(24) | unpack(blob[1 + cells :], 3)
 
 
 def bucket_bits(docs, per_bucket: int) -> int:
