@@ -3,19 +3,24 @@
 Every text is the set of its distinct 5-word shingles. One global order of all shingles, rarest
 first, is cut into fragments:
 
-1. Document frequencies. Chunks of texts send their distinct shingles, packed by range of the hash,
-   and get back a logarithmic frequency for each. A text with fewer shared shingles than the
-   threshold asks for links with nothing and is done.
+1. Document frequencies. Texts are cut into chunks once and written with their numbers. A chunk sends
+   its distinct shingles, packed by range of the hash, and gets back a logarithmic frequency for each.
+   The order is by frequency, then hash. A text with fewer shared shingles than the threshold asks for
+   links with nothing and is done.
 2. Equal sets become one class. Classes meet in the lists of the shingles at the front of their
    order (two sets that link share one there).
-3. Candidate pairs are counted by fragment: a fragment holds one range of every set, partial overlaps
-   are counted in each fragment apart, and summed per pair.
+3. Candidate pairs are counted by fragment: a fragment is a range of the global order that holds an
+   even share of all shingles; partial overlaps are counted in each fragment apart, and summed per pair.
 
 Only components are wanted, so a list is not paired out: its leader is compared with the members that
 are not yet in the leader's component. Lists that still hold several components after these rounds
 form clusters by the members they share. A cluster is dealt in blocks by hash and by size; tasks count
-the overlaps of two blocks, again fragment by fragment, as a product of matrices, and return for each
-member the least member that it reaches there, never the pairs.
+the overlaps of two blocks, fragment after fragment, as products of matrices summed per pair, and return
+for each member the least member that it reaches there, never the pairs.
+
+What this costs: lists are linear in the fronts. A cluster of m members that are still in several
+components takes at most 3 (m / BLOCK)^2 tasks of two blocks each, and sends each set to 3 m / BLOCK of
+them; only clusters whose members share shingles but mostly don't link with their lists' leaders stay large.
 """
 
 from __future__ import annotations
@@ -24,14 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vistalake.llm.shared import documents, written
-from vistalake.llm.words import bucket_bits, buckets, chunks, groups, mix, pack, runs, split_words, unpack
+from vistalake.llm.words import REST_BITS, answered_pieces, bucket_bits, bucket_keys, buckets, groups, mix, number_chunks, pack_keys, pieces, runs, split_words, unpack_keys
 
-KEY_BITS, BUCKET_BYTES = 48, 12 << 20
+BUCKET_BYTES = 12 << 20
 #: Fragments of the global order, parts that a leader's members are dealt over, and rounds of leaders before clusters are compared whole.
 FRAGMENTS, PARTS, ROUNDS = 4, 16, 1
 #: Members of a block of a cluster, shingles of a fragment inside a task, and the number of a block's members from which on a shingle counts as common there.
@@ -55,30 +59,30 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes[new], np.searchsorted(owner[new], np.arange(n + 1))
 
 
-def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct sent keys, sorted; the times each occurs; each hash's number among them."""
-    keys, number, times = np.unique(hashes >> np.uint64(64 - KEY_BITS), return_inverse=True, return_counts=True)
-    return keys, number, times
+def _distinct(hashes: np.ndarray, n_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct sent keys, sorted; each hash's number among them; the times each occurs."""
+    return np.unique(bucket_keys(hashes, n_bits), return_inverse=True, return_counts=True)
+
+
+_SENT = {"chunk": pa.int64(), "start": pa.int64(), "stop": pa.int64(), "bucket": pa.int32(), "keys": pa.binary(), "times": pa.binary()}
 
 
 def _send(k: int, n_bits: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        for number, chunk in enumerate(chunks(batches)):
-            keys, _, times = _distinct(shingle_sets(chunk.column("text"), k)[0])
-            out: list[list] = [[], [], [], []]
-            for b, s in buckets(keys, KEY_BITS, n_bits):
-                for column, v in zip(out, (part << 32 | number, b, pack(keys[s], KEY_BITS // 8), np.minimum(times[s], 255).astype(np.uint8).tobytes())):
+        for chunk, start, stop, docs in pieces(batches):
+            keys, _, times = _distinct(shingle_sets(docs.column("text"), k)[0], n_bits)
+            out: list[list] = [[] for _ in _SENT]
+            for b, s in buckets(keys, REST_BITS):
+                for column, v in zip(out, (chunk, start, stop, b, pack_keys(keys[s]), np.minimum(times[s], 255).astype(np.uint8).tobytes())):
                     column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["chunk", "bucket", "keys", "times"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _SENT.values())], names=list(_SENT))
 
     return send
 
 
 def _frequencies(table: pa.Table) -> pa.Table:
     """For each key sent: 0 if it is in one set only, else 1 + the whole part of log2 of the number of sets."""
-    sent, keys = table.column("keys").to_pylist(), []
-    keys = [unpack(x, KEY_BITS // 8) for x in sent]
+    keys = [unpack_keys(x) for x in table.column("keys").to_pylist()]
     flat, times = np.concatenate(keys), np.frombuffer(b"".join(table.column("times").to_pylist()), np.uint8)
     order = np.argsort(flat)
     first = groups(flat[order])
@@ -87,18 +91,18 @@ def _frequencies(table: pa.Table) -> pa.Table:
     back = np.empty(len(flat), np.uint8)
     back[order] = np.repeat(level, np.diff(np.append(first, len(flat))))
     cuts = np.cumsum([len(k) for k in keys])[:-1]
-    return table.select(["chunk", "bucket"]).append_column("levels", pa.array([x.tobytes() for x in np.split(back, cuts)], pa.binary()))
+    return table.select(["chunk", "start", "stop", "bucket"]).append_column("levels", pa.array([x.tobytes() for x in np.split(back, cuts)], pa.binary()))
 
 
-_SETS = "doc_id long, n_shingles long, set_key binary, tokens binary"
+_SETS = "doc_id long, tag long, n_shingles long, set_key binary, tokens binary, levels binary"
 
 
-def _sets(k: int, percent: int):
-    def read(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        ids = docs.column("doc_id")
+def _sets(k: int, percent: int, n_bits: int):
+    """Each text's shared shingles in the global order, with their frequency levels."""
+
+    def read_piece(docs: pa.Table, rows: list[dict]) -> pa.Table:
         hashes, first = shingle_sets(docs.column("text"), k)
-        _, number, _ = _distinct(hashes)
-        rows = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
+        _, number, _ = _distinct(hashes, n_bits)
         level = np.frombuffer(b"".join(r["levels"] for r in rows), np.uint8)[number]
         size = np.diff(first)
         owner = np.repeat(np.arange(len(size)), size)
@@ -106,7 +110,7 @@ def _sets(k: int, percent: int):
         links = (size > 0) & (100 * shared >= percent * size)
         keep = links[owner] & (level > 0)
         order = np.lexsort((hashes[keep], level[keep], owner[keep]))
-        tokens = hashes[keep][order]
+        tokens, level = hashes[keep][order], level[keep][order]
         cuts = np.searchsorted(owner[keep][order], np.arange(len(size) + 1))
         names = np.zeros((2, len(size)), np.uint64)
         if len(hashes):
@@ -114,10 +118,13 @@ def _sets(k: int, percent: int):
             for row, salt in zip(names, (1, 2)):
                 row[some] = np.add.reduceat(mix(hashes ^ mix(np.array([salt], np.uint64))), first[:-1][some])
         names = np.ascontiguousarray(names.T).tobytes()
+        blobs = lambda values: pa.array([values[cuts[i] : cuts[i + 1]].tobytes() if x else None for i, x in enumerate(links)], pa.binary())
         return pa.table({
-            "doc_id": ids, "n_shingles": pa.array(size, pa.int64()),
-            "set_key": pa.array([names[16 * i : 16 * i + 16] if x else None for i, x in enumerate(links)], pa.binary()),
-            "tokens": pa.array([tokens[cuts[i] : cuts[i + 1]].tobytes() if x else None for i, x in enumerate(links)], pa.binary())})
+            "doc_id": docs.column("doc_id"), "tag": docs.column("tag"), "n_shingles": pa.array(size, pa.int64()),
+            "set_key": pa.array([names[16 * i : 16 * i + 16] if x else None for i, x in enumerate(links)], pa.binary()), "tokens": blobs(tokens), "levels": blobs(level)})
+
+    def read(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        return pa.concat_tables([read_piece(*piece) for piece in answered_pieces(docs, answers)])
 
     return read
 
@@ -139,16 +146,40 @@ def _front(percent: int):
     return front
 
 
-def _cut_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets by fragment: a fragment is a range of hashes."""
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(256, np.int64)
     for batch in batches:
-        out: list[list] = [[], [], [], []]
-        for c, n, blob in zip(*(batch.column(x).to_pylist() for x in ("class", "n_shingles", "tokens"))):
-            tokens = np.sort(np.frombuffer(blob, "<u8"))
-            for f, s in buckets(tokens, 64, FRAGMENTS.bit_length() - 1):
-                for column, v in zip(out, (c, n, f, tokens[s].tobytes())):
-                    column.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["class", "n", "fragment", "tokens"])
+        total += np.bincount(np.frombuffer(b"".join(batch.column("levels").to_pylist()), np.uint8), minlength=256)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], names=["level", "n"])
+
+
+def fragment_ends(counts: np.ndarray, n: int = FRAGMENTS) -> list[tuple[int, int]]:
+    """(level, hash) at which the fragments but the last end: even shares of `counts`, shingles by level. Within a level hashes are spread evenly."""
+    sums = np.cumsum(counts)
+    goals = [int(sums[-1]) * k // n for k in range(1, n)]
+    levels = [int(np.searchsorted(sums, g, "right")) for g in goals]
+    return [(x, int((g - (sums[x] - counts[x])) / counts[x] * (1 << 64))) for g, x in zip(goals, levels)] if sums[-1] else []
+
+
+def _cut_sets(ends: list[tuple[int, int]]):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sets by fragment of the global order; inside a fragment by hash."""
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for c, n, blob, level in zip(*(batch.column(x).to_pylist() for x in ("class", "n_shingles", "tokens", "levels"))):
+                tokens, level = np.frombuffer(blob, "<u8"), np.frombuffer(level, np.uint8)
+                where = np.zeros(len(tokens), np.int64)
+                for x, h in ends:
+                    where += (level > x) | ((level == x) & (tokens >= np.uint64(h)))
+                cuts = np.searchsorted(where, np.arange(len(ends) + 2))  # tokens stand in the global order
+                for f, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+                    if b > a:
+                        for column, v in zip(out, (c, n, f, np.sort(tokens[a:b]).tobytes())):
+                            column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["class", "n", "fragment", "tokens"])
+
+    return cut
 
 
 def _partial_overlaps(leaders: pa.Table, members: pa.Table) -> pa.Table:
@@ -302,32 +333,40 @@ def _cluster_links(lists: DataFrame, classes: DataFrame, labels: DataFrame, perc
     return dealt.drop("pair").groupBy("cluster", "left", "right").applyInArrow(_reach(percent), "a long, b long").distinct()
 
 
+def _tag() -> Column:
+    """What tells rows of one doc_id apart: their text."""
+    return F.xxhash64(F.col("text"), F.col("text").isNull())
+
+
 def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of `docs`.
 
     Two rows link if 100 * |A & B| >= percent * |A | B| for their sets of k-word shingles (A-Z
     lower-cased); component_id is the least doc_id that links reach. A null, empty or wordless text has
     an empty set and links with nothing. Rows without doc_id link with nothing and have no component.
-    Repeated rows link with each other like any equal texts. Other columns are ignored.
+    Repeated rows link with each other like any equal texts. An empty table gives no rows. Other columns
+    are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n_bits = bucket_bits(docs, BUCKET_BYTES)
-    sent = docs.mapInArrow(_send(k, n_bits), "chunk long, bucket int, keys binary, times binary")
-    levels = written(sent.groupBy("bucket").applyInArrow(_frequencies, "chunk long, bucket int, levels binary"), "shingle-levels")
+    return _classified(docs, k, percent).drop("tag")
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        for number, chunk in enumerate(chunks(batches)):
-            yield pa.RecordBatch.from_arrays([pa.array([part << 32 | number] * chunk.num_rows, pa.int64()), *chunk.columns], names=["chunk", "doc_id", "text"])
 
-    texts = docs.mapInArrow(named, "chunk long, doc_id long, text string")
-    sets = written(texts.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInArrow(_sets(k, percent), _SETS), "shingle-sets")
+def _classified(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    n_bits = bucket_bits(docs, BUCKET_BYTES)
+    texts = written(docs.mapInArrow(number_chunks, "chunk long, row long, doc_id long, text string"), "jaccard-chunks")
+    sent = texts.mapInArrow(_send(k, n_bits), "chunk long, start long, stop long, bucket int, keys binary, times binary")
+    levels = written(sent.groupBy("bucket").applyInArrow(_frequencies, "chunk long, start long, stop long, bucket int, levels binary"), "shingle-levels")
+    tags = texts.select("chunk", "row", "doc_id", "text", _tag().alias("tag"))
+    sets = written(tags.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInArrow(_sets(k, percent, n_bits), _SETS), "shingle-sets")
     linked = sets.filter("set_key is not null and doc_id is not null")
-    classes = linked.groupBy("set_key").agg(F.min("doc_id").alias("class"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"))
+    classes = linked.groupBy("set_key").agg(F.min("doc_id").alias("class"), *[F.first(c).alias(c) for c in ("n_shingles", "tokens", "levels")])
     classes = written(classes, "shingle-classes")
     posts = written(classes.select("class", "n_shingles", "tokens").mapInArrow(_front(percent), "token long, class long, n long, place long"), "shingle-fronts")
     posts = posts.join(posts.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("token").hint("merge"), "token")
-    parts = written(classes.select("class", "n_shingles", "tokens").mapInArrow(_cut_sets, "class long, n long, fragment int, tokens binary"), "shingle-fragments")
+    counts = np.zeros(256, np.int64)
+    for r in classes.select("levels").mapInArrow(_levels, "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).collect():  # 64 rows at most
+        counts[r["level"]] = r["n"]
+    parts = written(classes.select("class", "n_shingles", "tokens", "levels").mapInArrow(_cut_sets(fragment_ends(counts)), "class long, n long, fragment int, tokens binary"), "shingle-fragments")
 
     labels = classes.select("class", F.col("class").alias("label"))
     found = None
@@ -349,16 +388,35 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         if not new.isEmpty():
             found = new if found is None else found.unionByName(new)
             labels = components(labels, found)
-    named_sets = linked.select("doc_id", "set_key", "n_shingles").join(classes.select("set_key", "class").hint("merge"), "set_key")
-    out = named_sets.join(labels.hint("merge"), "class").select("doc_id", "n_shingles", F.col("label").alias("component_id"))
-    rest = sets.filter("set_key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    named_sets = linked.select("doc_id", "tag", "set_key", "n_shingles").join(classes.select("set_key", "class").hint("merge"), "set_key")
+    out = named_sets.join(labels.hint("merge"), "class").select("doc_id", "tag", "n_shingles", F.col("label").alias("component_id"))
+    rest = sets.filter("set_key is null or doc_id is null").select("doc_id", "tag", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(rest)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """`docs` without the rows whose component has a smaller doc_id; of rows that share a doc_id one stays. Rows without doc_id stay."""
-    found = jaccard_classes(docs).filter("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(found.hint("merge"), "doc_id", "left_anti")
+    """`docs` without the rows whose component has a smaller doc_id.
+
+    Rows that share a doc_id are judged each by its own text; of those in one component one stays, and
+    so does one of equal rows without words. Rows without doc_id stay.
+    """
+    found = written(_classified(docs, 5, 80).filter("doc_id is not null"), "jaccard-found")
+    gone = found.filter("component_id < doc_id").select("doc_id", "tag").distinct()
+    rows = docs.withColumn("_tag", _tag())
+    key = [F.col("doc_id").cast("long") == F.col("_gone_id"), F.col("_tag") == F.col("_gone_tag")]
+    without = lambda rows, gone, how="left_anti": rows.join(gone.select(F.col("doc_id").alias("_gone_id"), F.col("tag").alias("_gone_tag")).hint("merge"), key, how)
+    many = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("doc_id")
+    if many.isEmpty():
+        return without(rows, gone).select(*docs.columns)
+    # Of namesakes in one component the one with the least tag stays, of equal rows any.
+    named = found.filter("component_id = doc_id and n_shingles > 0")
+    least = named.groupBy("doc_id").agg(F.min("tag").alias("least"))
+    gone = gone.unionByName(named.join(least.hint("merge"), "doc_id").filter("tag > least").select("doc_id", "tag")).distinct()
+    equal = found.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("doc_id", "tag")
+    left = written(without(rows, gone), "jaccard-left")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    one = without(left, equal, "left_semi").groupBy("doc_id", "_tag").agg(F.first(whole).alias("_row")).select("_row.*")
+    return without(left, equal).select(*docs.columns).unionByName(one)
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
