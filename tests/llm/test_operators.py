@@ -129,7 +129,41 @@ def test_jaccard(docs, rows, none):
     assert jaccard.jaccard_classes(none).count() == 0
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
-    assert set(r["doc_id"] for r in kept.collect()) == {d for d, _, c in want if d == c}
+    assert as_set(kept, "doc_id", "text") == Counter(set((d, t) for (d, t), s in zip(rows, sets) if d is not None and (not s or low_of(d, s, rows, sets, label, root) == d))) + Counter((d, t) for d, t in rows if d is None)
+    assert jaccard.one_of_each(docs.filter("doc_id is not null").dropDuplicates(["doc_id"])).count() == len({d for d, _, c in want if d is not None and d == c})
+
+
+def low_of(d, s, rows, sets, label, root):
+    """Least doc_id of the component that the row with this set is in."""
+    here = next(root(i) for i, (e, _) in enumerate(rows) if e == d and sets[i] == s)
+    return min(rows[i][0] for i in range(len(rows)) if root(i) == here and rows[i][0] is not None)
+
+
+def test_one_of_namesakes(spark):
+    say = lambda k: " ".join(f"w{k}.{x}" for x in range(40))
+    data = [(1, say(1)), (2, say(1)), (2, say(2)), (3, say(3)), (3, say(3)), (4, say(4)), (4, say(4) + " more"), (5, None), (5, None), (5, ""), (5, say(5)), (None, say(1)), (None, say(1))]
+    docs = spark.createDataFrame([(d, t, "x") for d, t in data], "doc_id long, text string, tag string")
+    kept = jaccard.one_of_each(docs)
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert kept.columns == docs.columns
+    four = [k for k in got if k[0] == 4]
+    assert len(four) == 1 and got[four[0]] == 1
+    assert {k: v for k, v in got.items() if k[0] != 4} == {(1, say(1)): 1, (2, say(2)): 1, (3, say(3)): 1, (5, None): 1, (5, ""): 1, (5, say(5)): 1, (None, say(1)): 2}
+
+
+def test_fragments_are_ranges_of_the_order():
+    counts = np.zeros(256, np.int64)
+    counts[[1, 3, 9]] = 500, 300, 200
+    ends = jaccard.fragment_ends(counts)
+    assert ends == sorted(ends) and [x for x, _ in ends] == [1, 3, 3] and ends[0][1] == 1 << 63
+    rng = np.random.default_rng(0)
+    level = np.sort(rng.choice([1, 3, 9], 400, p=[0.5, 0.3, 0.2])).astype(np.uint8)
+    tokens = rng.integers(0, 1 << 63, 400).astype(np.uint64) * np.uint64(2)
+    order = np.lexsort((tokens, level))
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([400]), pa.array([tokens[order].tobytes()]), pa.array([level[order].tobytes()])], names=["class", "n_shingles", "tokens", "levels"])
+    out = next(jaccard._cut_sets(ends)(iter([batch]))).to_pylist()
+    assert [r["fragment"] for r in out] == [0, 1, 2, 3] and all(60 < len(r["tokens"]) // 8 < 140 for r in out)
+    assert np.sort(np.concatenate([np.frombuffer(r["tokens"], "<u8") for r in out])).tolist() == np.sort(tokens).tolist()
 
 
 @pytest.mark.parametrize("edits, block", [(2, 1024), (4, 1024), (5, 16)])
@@ -408,6 +442,31 @@ def test_entropy_by_increments(spark):
         assert (d["first"], d["last"]) == ((ends[0], ends[-1]) if ends else (0, 0))
 
 
+def test_secrets_in_time_that_grows_with_the_text(spark):
+    rng = np.random.default_rng(10)
+    run = "".join(rng.choice(list("ABCDEFGHJKLMNPQRSTUVWYZabcdefghkmnpqrstuvwyz2345689"), 300_000))
+    hits = ["".join(rng.choice(list("0123456789abcdef"), 18)) for _ in range(100_000)]
+    df = spark.createDataFrame([(1, "é " + run + " é"), (2, " ".join(hits))], "doc_id long, text string")
+    got = {r["doc_id"]: r["_all"] for r in secrets.scan_secrets(df).collect()}
+    (one,) = got[1]  # from the first to the last window that is dense enough
+    assert one["kind"] == 3 and 2 <= one["start"] < 60 and 299_940 < one["end"] <= 300_002
+    assert [(s["kind"], s["start"], s["end"]) for s in got[2]] == [(2, 19 * k, 19 * k + 18) for k in range(100_000)]
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(df).collect()}
+    assert re.fullmatch("é .{,60}\\[secret\\].{,60} é", clean[1]) and clean[2] == " ".join(["[secret]"] * 100_000)
+
+
+def test_allow_list_spares_only_what_it_names(spark):
+    rng = np.random.default_rng(12)
+    key = "".join(rng.choice(list("ABCDEFGHJKLMNPQRSTUVWYZabcdefghkmnpqrstuvwyz2345689"), 40))
+    letters = "qWzRtYpLkJhGfDsAxCvBnMeTrUiO"
+    data = [(1, f"/example/{key}"), (2, "x" * 40), (3, "getUserNameFromTheDatabaseNow"), (4, letters), (5, "your-key-example-goes-here-soon"), (6, "12345678901234567890")]
+    df = spark.createDataFrame([(d, t, "clash", 1, "c") for d, t in data], "doc_id long, text string, _more string, base int, `every` string")
+    out = secrets.scan_secrets(df)
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["_all"] if s["kind"] == 3] for r in out.collect()}
+    assert out.columns[:5] == df.columns and {r["_more"] for r in out.collect()} == {"clash"}
+    assert got == {1: [(8, 49)], 2: [], 3: [], 4: [(0, 28)], 5: [], 6: []}
+
+
 def test_longest_first_is_the_heap():
     rng = np.random.default_rng(9)
     for n in (1, 3, 24):
@@ -469,3 +528,30 @@ def test_bpe_arcs_are_the_pairs_that_stay_apart():
     for x, y, open_ in zip(a.tolist(), b.tolist(), automaton.arcs(a, b)):
         word = automaton.labels.emit(np.array([x, y])).tobytes().decode()
         assert open_ == (library.encode(word, add_special_tokens=False).ids == [x, y]), word
+
+
+@pytest.mark.parametrize("n", [0, 1, 4095, 4096, 50_000])
+def test_keys_are_packed_and_unpacked(n):
+    keys = np.sort(np.random.default_rng(n).integers(0, 1 << 40, n).astype(np.uint64))
+    assert all((words.unpack_keys(words.pack_keys(keys[s])) == keys[s] & np.uint64((1 << words.REST_BITS) - 1)).all() for _, s in words.buckets(keys, words.REST_BITS))
+    assert sum(s.stop - s.start for _, s in words.buckets(keys, words.REST_BITS)) == n
+
+
+@pytest.fixture
+def split_otherwise(monkeypatch):
+    """Every read of a written table, and every read after the first, is split at other places, down to a few rows a batch."""
+    from pyspark.sql import DataFrame
+
+    whole = DataFrame.mapInArrow
+    sizes = iter([7, 3, 11, 2, 5] * 50)
+
+    def split(self, f, schema, **more):
+        n = next(sizes)
+        return whole(self, lambda batches: f(b.slice(k, n) for b in batches for k in range(0, b.num_rows, n)), schema, **more)
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", split)
+
+
+def test_substring_and_jaccard_of_scans_that_are_split_otherwise(spark, docs, rows, split_otherwise):
+    for test in (test_substring, test_jaccard):
+        test(*((spark,) if test is test_substring else ()), docs.repartition(5), rows, docs.limit(0))

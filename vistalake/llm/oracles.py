@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from vistalake.llm.quality import ROUNDS, RULES, SYMBOLS
-from vistalake.llm.secrets import ACCESS, ALLOWED, CANDIDATE, CLASSES, HEX, KINDS, WINDOW
+from vistalake.llm.secrets import CANDIDATE, CLASSES, KINDS, PLACEHOLDERS, WINDOW
 
 SPACES = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -56,19 +56,22 @@ def secrets_sql() -> str:
     quote = lambda s: s.replace("'", "''")
     assign = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
-    def spans(kind: int, pattern: str, group: int) -> str:
+    def spans(kind: int, pattern: str, group: int, d: str = "d") -> str:
         return f"""select doc_id, {kind} as kind, list_sum(gaps[1:i]) + coalesce(list_sum(sizes[1:i - 1]), 0) as start, list_sum(gaps[1:i]) + list_sum(sizes[1:i]) as stop, secrets[i] as secret from
    (select doc_id, list_transform(string_split_regex(t, '{quote(pattern)}'), lambda x: length(x)) as gaps, list_transform(regexp_extract_all(t, '{quote(pattern)}'), lambda x: length(x)) as sizes, regexp_extract_all(t, '{quote(pattern)}', {group}) as secrets,
-     unnest(range(1, len(regexp_extract_all(t, '{quote(pattern)}')) + 1)) as i from d)"""
+     unnest(range(1, len(regexp_extract_all(t, '{quote(pattern)}')) + 1)) as i from {d})"""
 
     least = "case " + " ".join(f"when regexp_matches(secret, '{quote(p)}') then {h}" for _, p, h in CLASSES) + " end"
-    allowed = " or ".join(f"regexp_matches(secret, '{quote(p)}')" for p in ALLOWED)
+    allowed = "regexp_matches(secret, '^[^A-Za-z]*$') or (not regexp_matches(secret, '[0-9]') and length(secret) >= 3 * len(regexp_extract_all(secret, '[A-Z]?[a-z]+|[A-Z]+')))"
+    plain = "t"
+    for word in PLACEHOLDERS:
+        plain = f"regexp_replace({plain}, '(?i){word}', '{' ' * len(word)}', 'g')"
     name = f"[{', '.join(repr(k) for k in KINDS)}][kind + 1]"
     text = f"string_agg(concat({name}, ':', start::varchar, ':', stop::varchar), ',' order by start, kind)"
     return f"""with d as (select doc_id, coalesce(text, '') as t from documents),
   base as materialized (select doc_id, kind, start::bigint as start, stop::bigint as stop from ({spans(0, assign, 1)}) where length(secret) >= 12
-   union all select doc_id, kind, start, stop from ({spans(1, ACCESS, 0)}) union all select doc_id, kind, start, stop from ({spans(2, HEX, 0)})),
-  cand as materialized (select doc_id, start, secret, {least} as least_bits from ({spans(3, CANDIDATE, 0)}) where not ({allowed})),
+   union all select doc_id, kind, start, stop from ({spans(1, 'AKIA[A-Z0-9]+', 0)}) where length(secret) >= 18 union all select doc_id, kind, start, stop from ({spans(2, '[0-9a-f]+', 0)}) where length(secret) >= 16),
+  cand as materialized (select doc_id, start, secret, {least} as least_bits from ({spans(3, CANDIDATE, 0, f"(select doc_id, {plain} as t from d)")}) where not ({allowed})),
   wins as (select doc_id, start, least_bits, pos, substr(secret, pos::int + 1, {WINDOW}) as win from (select *, unnest(range(0, length(secret) - {WINDOW - 1})) as pos from cand)),
   chars as (select doc_id, start, least_bits, pos, c, count(*) as n from (select *, unnest(string_split(win, '')) as c from wins) where c <> '' group by all),
   dense as (select doc_id, start, pos from chars group by doc_id, start, pos, least_bits having log2({WINDOW}) - sum(n * log2(n)) / {WINDOW} >= least_bits - 1e-9),
