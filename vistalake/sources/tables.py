@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a scratch folder of our own only where it is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir); a scratch folder of our own only where it is unset and Spark runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -36,7 +38,21 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of `written` that nothing reads any more: what was made of them must be written itself."""
+    for df in tables:
+        spark, path = df.sparkSession, df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sized(keys: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """A written table of a few keys a row, hinted for a join: it is sent to all tasks if it has `most` rows at most, else both sides are sorted and merged."""
+    return keys.hint("broadcast" if keys.count() <= most else "merge")
 
 
 def write_by_category(df: DataFrame, path: str, column: str = "category") -> None:
