@@ -20,14 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vistalake.llm.shared import documents, written
+from vistalake.llm.shared import documents, sized, written
 from vistalake.llm.words import BYTE_BASE, WORD_BASE, Words, chunks, mix, split_words
 
-FILTER_BITS = 22
+FILTER_BITS, ITEMS = 22, 1024
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least score as a share of a full copy's.
 THRESHOLD = 0.5
@@ -161,21 +162,24 @@ def align(item: np.ndarray, passages: list[np.ndarray]) -> tuple[np.ndarray, np.
 def _align(threshold: float):
     def score_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items, texts = batch.column("item_words").to_pylist(), batch.column("words").to_pylist()
+            lists, texts = batch.column("items"), [np.frombuffer(x, np.uint64) for x in batch.column("words").to_pylist()]
+            asked = lists.flatten()
+            ids, items = asked.field("item_id"), asked.field("words").to_pylist()
+            owner = np.repeat(np.arange(len(texts)), np.asarray(pc.list_value_length(lists)))
             score, end = np.zeros(len(items)), np.zeros(len(items), np.int64)
             by: dict[tuple, list[int]] = {}
-            for k, (i, t) in enumerate(zip(items, texts)):
-                by.setdefault((i, len(t).bit_length()), []).append(k)  # passages of like length align together
+            for k, (i, o) in enumerate(zip(items, owner.tolist())):
+                by.setdefault((i, len(texts[o]).bit_length()), []).append(k)  # passages of like length align together
             for (i, _), all_rows in by.items():
                 item = np.frombuffer(i, np.uint64)
                 least = _least(len(item), threshold)  # a passage with fewer of the item's words holds no copy
-                all_rows = [k for k in all_rows if np.isin(np.frombuffer(texts[k], np.uint64), item).sum() >= least]
-                most = max(1, 400_000 // max((len(texts[k]) for k in all_rows), default=1))
+                all_rows = [k for k in all_rows if np.isin(texts[owner[k]], item).sum() >= least]
+                most = max(1, 400_000 // max((len(texts[owner[k]]) for k in all_rows), default=1))
                 for rows in (all_rows[k : k + most] for k in range(0, len(all_rows), most)):
-                    best, at = align(item, [np.frombuffer(texts[k], np.uint64) for k in rows])
+                    best, at = align(item, [texts[owner[k]] for k in rows])
                     score[rows], end[rows] = best / (MATCH * len(item)), at
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("item_id"), pa.array(score), pa.array(batch.column("start").to_numpy() + end, pa.int64())], names=["doc_id", "item_id", "score", "end_word"])
+                batch.column("doc_id").take(pa.array(owner)), ids, pa.array(score), pa.array(batch.column("start").to_numpy()[owner] + end, pa.int64())], names=["doc_id", "item_id", "score", "end_word"])
 
     return score_all
 
@@ -192,7 +196,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")
     items = written(items.mapInArrow(_items(threshold), _ITEMS).filter("n > 0"), "benchmark-items")
-    longest, alone = items.agg(F.max("n"), F.max(F.col("keep") == F.col("n"))).first()
+    longest, alone, n_items = items.agg(F.max("n"), F.max(F.col("keep") == F.col("n")), F.count(F.lit(1))).first()
     steps = PAIRS + (ALONE if alone else ())
     grams = items.select("item_id", F.xxhash64("words").alias("item"), "keep", F.explode("grams").alias("gram")).select("item_id", "item", "keep", "gram.at", "gram.gram")
     table = spark.sparkContext.broadcast(_bit_table(grams))
@@ -205,17 +209,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     around = int(np.ceil((longest or 0) * max(1, 3 - 2 * threshold)))
     passages = written(docs.mapInArrow(_passages(table, steps, around), _PASSAGES), "passages")
     hits = passages.select("passage", F.explode("grams").alias("gram")).join(seeds.hint("merge"), "gram").select("passage", "item_id").distinct()
-    pairs = hits.join(passages.select("passage", "doc_id", "start", "words").hint("merge"), "passage").join(items.select("item_id", F.col("words").alias("item_words")).hint("merge"), "item_id")
-    # The join by item puts a much-copied item's passages in one place; alignment is the work, so they are dealt out again.
-    pairs = pairs.repartition(F.xxhash64("passage"))
-    scored = pairs.select("doc_id", "item_id", "start", "words", "item_words").mapInArrow(_align(threshold), "doc_id long, item_id long, score double, end_word long")
+    # Items go to the passages, at most ITEMS of them in one row: passages move once, whatever the number of their items.
+    part = F.pmod(F.xxhash64("item_id"), F.lit(max(1, -(-n_items // ITEMS))))
+    asked = hits.join(items.select("item_id", "words").hint("merge"), "item_id").repartition("passage").groupBy("passage", part.alias("part")).agg(F.collect_list(F.struct("item_id", "words")).alias("items"))
+    pairs = asked.join(passages.select("passage", "doc_id", "start", "words").hint("merge"), "passage")
+    scored = pairs.select("doc_id", "start", "words", "items").mapInArrow(_align(threshold), "doc_id long, item_id long, score double, end_word long")
     best = scored.filter(F.col("score") >= threshold).groupBy("doc_id", "item_id")
     return best.agg(F.max("score").alias("score"), F.max_by("end_word", F.struct("score", "end_word")).alias("end_word"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs` without the rows that hold a copy of an item."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """`docs` without the rows that hold a copy of an item; rows that share a doc_id go together."""
+    gone = written(contaminated(docs, benchmark).select(F.col("doc_id").alias("_gone")).distinct(), "contaminated")
+    return docs.join(sized(gone), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti").select(*docs.columns)
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vistalake.llm.shared import documents, written
+from vistalake.llm.shared import discard, documents, sized, written
 from vistalake.llm.words import REST_BITS, answered_pieces, bucket_bits, bucket_keys, buckets, groups, mix, number_chunks, pack_keys, pieces, runs, split_words, unpack_keys
 
 BUCKET_BYTES = 12 << 20
@@ -358,11 +358,12 @@ def _classified(docs: DataFrame, k: int, percent: int) -> DataFrame:
     levels = written(sent.groupBy("bucket").applyInArrow(_frequencies, "chunk long, start long, stop long, bucket int, levels binary"), "shingle-levels")
     tags = texts.select("chunk", "row", "doc_id", "text", _tag().alias("tag"))
     sets = written(tags.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInArrow(_sets(k, percent, n_bits), _SETS), "shingle-sets")
+    discard(texts, levels)
     linked = sets.filter("set_key is not null and doc_id is not null")
     classes = linked.groupBy("set_key").agg(F.min("doc_id").alias("class"), *[F.first(c).alias(c) for c in ("n_shingles", "tokens", "levels")])
     classes = written(classes, "shingle-classes")
-    posts = written(classes.select("class", "n_shingles", "tokens").mapInArrow(_front(percent), "token long, class long, n long, place long"), "shingle-fronts")
-    posts = posts.join(posts.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("token").hint("merge"), "token")
+    fronts = written(classes.select("class", "n_shingles", "tokens").mapInArrow(_front(percent), "token long, class long, n long, place long"), "shingle-fronts")
+    posts = fronts.join(fronts.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("token").hint("merge"), "token")
     counts = np.zeros(256, np.int64)
     for r in classes.select("levels").mapInArrow(_levels, "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).collect():  # 64 rows at most
         counts[r["level"]] = r["n"]
@@ -388,6 +389,7 @@ def _classified(docs: DataFrame, k: int, percent: int) -> DataFrame:
         if not new.isEmpty():
             found = new if found is None else found.unionByName(new)
             labels = components(labels, found)
+    discard(fronts, parts)
     named_sets = linked.select("doc_id", "tag", "set_key", "n_shingles").join(classes.select("set_key", "class").hint("merge"), "set_key")
     out = named_sets.join(labels.hint("merge"), "class").select("doc_id", "tag", "n_shingles", F.col("label").alias("component_id"))
     rest = sets.filter("set_key is null or doc_id is null").select("doc_id", "tag", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -401,13 +403,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     so does one of equal rows without words. Rows without doc_id stay.
     """
     found = written(_classified(docs, 5, 80).filter("doc_id is not null"), "jaccard-found")
-    gone = found.filter("component_id < doc_id").select("doc_id", "tag").distinct()
+    gone = written(found.filter("component_id < doc_id").select("doc_id", "tag").distinct(), "jaccard-gone")
     rows = docs.withColumn("_tag", _tag())
     key = [F.col("doc_id").cast("long") == F.col("_gone_id"), F.col("_tag") == F.col("_gone_tag")]
     without = lambda rows, gone, how="left_anti": rows.join(gone.select(F.col("doc_id").alias("_gone_id"), F.col("tag").alias("_gone_tag")).hint("merge"), key, how)
     many = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("doc_id")
     if many.isEmpty():
-        return without(rows, gone).select(*docs.columns)
+        return rows.join(sized(gone.select(F.col("doc_id").alias("_gone_id"), F.col("tag").alias("_gone_tag"))), key, "left_anti").select(*docs.columns)
     # Of namesakes in one component the one with the least tag stays, of equal rows any.
     named = found.filter("component_id = doc_id and n_shingles > 0")
     least = named.groupBy("doc_id").agg(F.min("tag").alias("least"))

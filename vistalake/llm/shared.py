@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vistalake.sources.tables import fresh_path, shared_dir, written  # noqa: F401
+from vistalake.sources.tables import discard, fresh_path, shared_dir, sized, written  # noqa: F401
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

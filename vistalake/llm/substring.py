@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistalake.llm.shared import documents, written
+from vistalake.llm.shared import discard, documents, written
 from vistalake.llm.words import REST_BITS, answered_pieces, bits, bucket_bits, bucket_keys, buckets, groups, number_chunks, pack, pack_keys, pieces, runs, split_words, unbits, unpack, unpack_keys
 
 #: Bytes of text that one bucket answers for. A chance match of what is sent of an anchor's hash only lets a run through to the exact step.
@@ -210,6 +210,7 @@ def repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
     asked = texts.mapInArrow(_ask_anchors(block, n_bits), "chunk long, start long, stop long, bucket int, keys binary, many binary, indexed binary")
     anchors = written(asked.groupBy("bucket").applyInArrow(_answer_anchors, "chunk long, start long, stop long, bucket int, n int, shared binary, live binary"), "anchor-bits")
     looked = written(texts.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(_look_around(window, block, n_bits), _LOOKED), "passage-runs", ("kind",))
+    discard(texts, anchors)
     asks = looked.filter("kind = 'ask'").select("chunk", "bucket", "keys", "ids", "many")
     answers = asks.groupBy("bucket").applyInArrow(_answer_runs, "chunk long, keys binary, least binary")
     span = "array<struct<start:long,end:long>>"
