@@ -2,43 +2,94 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vistalake.operators.similarity import block_pairs
+from vistalake.operators.similarity import close_tiles, dealt_in_blocks
 from vistalake.sources.tables import written
 
 
 def connected(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """labels(id, label) after edges(a, b), both directions given: the least label that each id reaches."""
     while True:
-        near = edges.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, F.col("id") == F.col("a"), "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
+        near = edges.join(labels.hint("merge"), F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("near"))
+        step = labels.join(near.hint("merge"), F.col("id") == F.col("a"), "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
         moved = step.groupBy("old").agg(F.min("label").alias("to"))
-        step = written(step.join(moved, "old").select("id", "old", F.least("label", "to").alias("label")), "cluster-labels")
+        step = written(step.join(moved.hint("merge"), "old").select("id", "old", F.least("label", "to").alias("label")), "cluster-labels")
         labels = step.select("id", "label")
         if step.filter("label <> old").isEmpty():
             return labels
 
 
+def _degrees(low: float):
+    def count(table: pa.Table) -> pa.Table:
+        """Close rows of each row in this pair of blocks."""
+        n = np.zeros(table.num_rows, np.int64)
+        for x, y, ok, _ in close_tiles(table, low, low_open=False):
+            n[x] += ok.sum(axis=1)
+            n[y] += ok.sum(axis=0)
+        some = np.flatnonzero(n)
+        return pa.table({"id": table.column("id").to_numpy()[some], "n": n[some]})
+
+    return count
+
+
+def _bonds(low: float):
+    def bind(table: pa.Table) -> pa.Table:
+        """(a, b, core): the least core point that each core point reaches in a tile, and the core points beside a border point, which are few."""
+        ids, core = table.column("id").to_numpy(), np.asarray(table.column("core"))
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]]
+        for x, y, ok, _ in close_tiles(table, low, low_open=False):
+            both = ok & core[x][:, None] & core[y][None, :]
+            i, j = np.flatnonzero(both.any(axis=1)), np.flatnonzero(both.any(axis=0))
+            both, u, v = both[np.ix_(i, j)], x[i], y[j]
+            least, far = ids.copy(), np.iinfo(np.int64).max
+            while both.any():
+                before = least.copy()
+                least[u] = np.minimum(least[u], np.where(both, least[v][None, :], far).min(axis=1))
+                least[v] = np.minimum(least[v], np.where(both, least[u][:, None], far).min(axis=0))
+                if (least == before).all():
+                    break
+            moved = np.flatnonzero(least != ids)
+            i, j = np.nonzero(ok & (core[x][:, None] != core[y][None, :]))
+            u, v = x[i], y[j]
+            border, beside = np.where(core[u], v, u), np.where(core[u], u, v)
+            for column, value in zip(out, (np.concatenate([ids[moved], ids[border]]), np.concatenate([least[moved], ids[beside]]), np.repeat([True, False], [len(moved), len(border)]))):
+                column.append(value)
+        return pa.table({c: np.concatenate(v) for c, v in zip(("a", "b", "core"), out)})
+
+    return bind
+
+
+def numbered(names: DataFrame, column: str) -> DataFrame:
+    """`names` with a gapless number from 0 in the order of `column`: rows are dealt by ranges, each range is numbered by itself."""
+    dealt = written(names.repartitionByRange(column).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))  # a row for each range
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(column)) - 1
+    return dealt.withColumn("_rank", rank).join(starts.hint("merge"), "_part").withColumn("number", F.col("_start") + F.col("_rank")).drop("_part", "_rank", "_start")
+
+
 def dbscan(vectors: DataFrame, eps: float = 0.65, min_samples: int = 4) -> DataFrame:
     """Id, cluster_id of vectors(id, embedding) by Euclidean distance of unit vectors, a point counting itself.
 
     Clusters are numbered from 0 by their least core id; a border point takes the lowest number next to
-    it; noise is -1.
+    it; noise is -1. Neighbours are counted and joined where blocks meet: pairs are never written, only
+    one row for each point and tile.
     """
-    near = written(block_pairs(vectors, 1 - eps * eps / 2, low_open=False).select("id_a", "id_b"), "neighbours")
-    edges = near.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).unionByName(near.select(F.col("id_b").alias("a"), F.col("id_a").alias("b")))
-    degree = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    core = vectors.select("id").join(degree, F.col("id") == F.col("a"), "left").filter(F.coalesce("n", F.lit(0)) + 1 >= min_samples).select("id")
-    core = written(core, "core-points")
-    inner = edges.join(core.select(F.col("id").alias("a")), "a", "left_semi").join(core.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
-    labels = connected(core.select("id", F.col("id").alias("label")), written(inner, "core-edges"))
-    names = labels.select("label").distinct()
-    numbers = names.select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("cluster"))  # a row for each cluster
-    cores = labels.join(numbers, "label").select("id", "cluster")
-    border = edges.join(cores.select(F.col("id").alias("b"), "cluster"), "b").groupBy("a").agg(F.min("cluster").alias("beside"))
-    out = vectors.select("id").join(cores, "id", "left").join(border, F.col("id") == F.col("a"), "left")
+    low, points = 1 - eps * eps / 2, vectors.select("id", "embedding")
+    degree = dealt_in_blocks(points).groupBy("p", "q").applyInArrow(_degrees(low), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    marked = written(points.join(degree.hint("merge"), "id", "left").select("id", "embedding", (F.coalesce("n", F.lit(0)) + 1 >= min_samples).alias("core")), "core-points")
+    bonds = written(dealt_in_blocks(marked).groupBy("p", "q").applyInArrow(_bonds(low), "a long, b long, core boolean").distinct(), "cluster-bonds")
+    inner = bonds.filter("core")
+    edges = inner.select("a", "b").unionByName(inner.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = connected(marked.filter("core").select("id", F.col("id").alias("label")), edges)
+    numbers = numbered(labels.select("label").distinct(), "label").withColumnRenamed("number", "cluster")
+    cores = written(labels.join(numbers.hint("merge"), "label").select("id", "cluster"), "core-clusters")
+    border = bonds.filter("not core").join(cores.select(F.col("id").alias("b"), "cluster").hint("merge"), "b").groupBy("a").agg(F.min("cluster").alias("beside"))
+    out = vectors.select("id").join(cores.hint("merge"), "id", "left").join(border.hint("merge"), F.col("id") == F.col("a"), "left")
     return out.select("id", F.coalesce("cluster", "beside", F.lit(-1)).cast("int").alias("cluster_id"))
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vistalake.functions.hashes import MISSING, hamming
+from vistalake.functions.hashes import MISSING, hamming, once
 from vistalake.operators.similarity import similar_pairs
+from vistalake.sources.tables import written
 
 # Fixed value: what may follow the common beginning of numbered names.
 NUMBERED = r"(?i)^[_ \-p\(r]*[0-9]+[\)]*$"
@@ -22,11 +23,16 @@ def stem(path: Column) -> Column:
 
 def is_sequential(path_a: Column, path_b: Column) -> Column:
     """Names of one numbered series: three or more characters in common at the front, and numbers or nothing after."""
-    a, b = stem(path_a), stem(path_b)
-    shared = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(F.length(a), F.length(b)), F.lit(1))), F.lit(0), lambda n, i: F.when((n == i - 1) & (F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1))) & (F.substring(a, i, F.lit(1)) != ""), i).otherwise(n))
-    rest = lambda s: F.substring(s, shared + 1, F.length(s))
-    fits = lambda s: (rest(s) == "") | rest(s).rlike(NUMBERED)
-    return (F.length(a) >= 3) & (F.length(b) >= 3) & (shared >= 3) & fits(a) & fits(b)
+    def judged(names: Column) -> Column:
+        a, b = names["a"], names["b"]
+        same = lambda i: F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1))
+        places = F.sequence(F.lit(1), F.greatest(F.least(F.length(a), F.length(b)), F.lit(1)))
+        shared = F.aggregate(places, F.lit(0), lambda n, i: F.when((n == i - 1) & (F.substring(a, i, F.lit(1)) != "") & same(i), i).otherwise(n))
+        rest = lambda s, n: F.substring(s, n + 1, F.length(s))
+        fits = lambda s, n: (rest(s, n) == "") | rest(s, n).rlike(NUMBERED)
+        return once(shared, lambda n: (F.length(a) >= 3) & (F.length(b) >= 3) & (n >= 3) & fits(a, n) & fits(b, n))
+
+    return once(F.struct(stem(path_a).alias("a"), stem(path_b).alias("b")), judged)
 
 
 def pair_compatible(similarity: Column, threshold_video: float = 0.98, seconds: float = 2.0) -> Column:
@@ -61,9 +67,9 @@ def recommend() -> Column:
 
 def with_sides(pairs: DataFrame, catalog: DataFrame) -> DataFrame:
     """Both files' columns beside each pair; pairs with an unprocessed or unknown file go."""
-    rows = catalog.filter("is_processed")
+    rows = written(catalog.filter("is_processed").select("id", *SIDES), "sides")  # hashes are computed once for each file
     side = lambda s: rows.select(F.col("id").alias(f"id_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in SIDES])
-    return pairs.join(side("a"), "id_a").join(side("b"), "id_b")
+    return pairs.join(side("a").hint("merge"), "id_a").join(side("b").hint("merge"), "id_b")
 
 
 def find_duplicates(catalog: DataFrame, vectors: DataFrame, threshold_image: float = 0.95, threshold_video: float = 0.98, pass_missing: bool = False) -> DataFrame:

@@ -59,10 +59,10 @@ def overwrite(old: Column, new: Column) -> Column:
 
 
 def face_structs(raw: Column) -> Column:
-    """M7: typed face records; no time stamp means 0.0."""
+    """M7: typed face records with their key points; no time stamp means 0.0."""
     return F.transform(raw, lambda f: F.struct(
         f["embedding"].cast("array<float>").alias("embedding"), f["bbox"].cast("array<int>").alias("bbox"), f["det_score"].cast("double").alias("det_score"),
-        F.coalesce(f["timestamp"].cast("double"), F.lit(0.0)).alias("timestamp")))
+        F.coalesce(f["timestamp"].cast("double"), F.lit(0.0)).alias("timestamp"), f["kps"].cast("array<array<float>>").alias("kps")))
 
 
 def clean_descriptions(segments: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ from vistalake.functions.vectors import dot, l2_normalize
 
 #: Rows of a block of the pair join, and rows multiplied at once inside a block pair.
 BLOCK_ROWS, TILE_ROWS = 8192, 2048
+#: Anchors (tags, categories) that are sent to all tasks at a time: about 60 MB of 768 numbers each.
+ANCHORS = 10_000
 
 
 def _matrix(column: pa.Array, unit: bool = True) -> np.ndarray:
@@ -71,39 +74,50 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, rows: int =
     return found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
 
 
-def block_pairs(vectors: DataFrame, low: float, high: float | None = None, low_open: bool = True) -> DataFrame:
-    """All (id_a, id_b, similarity) with id_a < id_b and cosine in (low, high]; exact.
+def dealt_in_blocks(vectors: DataFrame) -> DataFrame:
+    """`vectors` (id, embedding, ...) with own block and each pair (p, q) of blocks that holds it.
 
-    Rows fall into B blocks and go to the B block pairs that hold their block; each pair of blocks is a
-    tiled matrix product. B follows the number of rows, so a block stays of BLOCK_ROWS rows.
+    Rows fall into B blocks and go to the B block pairs that hold their block. B follows the number of
+    rows, so a block stays of BLOCK_ROWS rows.
     """
-    n = max(1, -(-vectors.count() // BLOCK_ROWS))
-    n = max(n, 4)
+    n = max(4, -(-vectors.count() // BLOCK_ROWS))
     own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    rows = vectors.select("id", "embedding", own.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    rows = rows.select("id", "embedding", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    rows = vectors.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return rows.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).drop("other")
+
+
+def close_tiles(table: pa.Table, low: float, high: float | None = None, low_open: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Tile by tile of a pair of blocks: row numbers on both sides, which of them have a cosine in (low, high], and the cosines. Each pair of rows comes once."""
+    p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
+    own, ids, m = table.column("own").to_numpy(), table.column("id").to_numpy(), _matrix(table.column("embedding"))
+    first, second = np.flatnonzero(own == p), np.flatnonzero(own == q)
+    for a in range(0, len(first), TILE_ROWS):
+        for b in range(0, len(second), TILE_ROWS):
+            x, y = first[a : a + TILE_ROWS], second[b : b + TILE_ROWS]
+            s = m[x] @ m[y].T
+            ok = (s > low) if low_open else (s >= low)
+            if high is not None:
+                ok &= s <= high
+            if p == q:
+                ok &= ids[x][:, None] < ids[y][None, :]
+            yield x, y, ok, s
+
+
+def block_pairs(vectors: DataFrame, low: float, high: float | None = None, low_open: bool = True) -> DataFrame:
+    """All (id_a, id_b, similarity) with id_a < id_b and cosine in (low, high]; exact. Each pair of blocks is a tiled matrix product."""
 
     def pairs(table: pa.Table) -> pa.Table:
-        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
-        own_block, ids, m = table.column("own").to_numpy(), table.column("id").to_numpy(), _matrix(table.column("embedding"))
-        first, second = np.flatnonzero(own_block == p), np.flatnonzero(own_block == q)
+        ids = table.column("id").to_numpy()
         out: list[list[np.ndarray]] = [[], [], []]
-        for a in range(0, len(first), TILE_ROWS):
-            for b in range(0, len(second), TILE_ROWS):
-                x, y = first[a : a + TILE_ROWS], second[b : b + TILE_ROWS]
-                s = m[x] @ m[y].T
-                ok = (s > low) if low_open else (s >= low)
-                if high is not None:
-                    ok &= s <= high
-                if p == q:
-                    ok &= ids[x][:, None] < ids[y][None, :]
-                i, j = np.nonzero(ok)
-                u, v = ids[x[i]], ids[y[j]]
-                for column, value in zip(out, (np.minimum(u, v), np.maximum(u, v), s[i, j])):
-                    column.append(value)
+        for x, y, ok, s in close_tiles(table, low, high, low_open):
+            i, j = np.nonzero(ok)
+            u, v = ids[x[i]], ids[y[j]]
+            for column, value in zip(out, (np.minimum(u, v), np.maximum(u, v), s[i, j])):
+                column.append(value)
         return pa.table({c: pa.array(np.concatenate(v) if v else [], t) for c, v, t in zip(("id_a", "id_b", "similarity"), out, (pa.int64(), pa.int64(), pa.float64()))})
 
-    return rows.groupBy("p", "q").applyInArrow(pairs, "id_a long, id_b long, similarity double").filter("id_a < id_b")
+    dealt = dealt_in_blocks(vectors.select("id", "embedding"))
+    return dealt.groupBy("p", "q").applyInArrow(pairs, "id_a long, id_b long, similarity double").filter("id_a < id_b")
 
 
 def similar_pairs(vectors: DataFrame, threshold: float = 0.95, exact_cutoff: float = 0.9999) -> DataFrame:
@@ -143,9 +157,12 @@ def hybrid_search(catalog: DataFrame, vectors: DataFrame, segments: DataFrame, q
 
 
 def score_against(vectors: DataFrame, anchors: DataFrame, name: str) -> DataFrame:
-    """Every row with every anchor (`name`, embedding). The anchors are a model's classes: the caller keeps them few."""
+    """Every row with every anchor (`name`, embedding). Anchors are sent to all tasks, at most ANCHORS of them at a time."""
     few = anchors.select(F.col(name), F.col("embedding").alias("anchor"))
-    return vectors.join(F.broadcast(few)).select("id", name, dot("embedding", "anchor").alias("score"))
+    parts = max(1, -(-few.count() // ANCHORS))
+    number = F.pmod(F.xxhash64(name), F.lit(parts))
+    scored = [vectors.join(F.broadcast(few.filter(number == k))).select("id", name, dot("embedding", "anchor").alias("score")) for k in range(parts)]
+    return reduce(DataFrame.unionByName, scored)
 
 
 def best_first(name: str) -> Column:

@@ -114,6 +114,14 @@ def s6_upsert(spark, sf_dir):
     return new.select("file_path", F.when(top & (F.col("id") % 3 != 0), F.col("id")).alias("old_id"), "file_hash", "file_size", "duration", "is_processed", "error_msg")
 
 
+@query(f"""select * from (with {BATCH}, new as (select distinct file_path from batch where file_path not in (select file_path from old))
+  select count(*) as n, count(*) as n_ids, (select max(id) from old) + 1 as low, (select max(id) from old) + count(*) as high from new)""", "media")
+def s6_new_ids(spark, sf_dir):
+    old = view(spark, sf_dir, "media").filter("id % 3 <> 0").drop("label", "modified_at")
+    new = sources.upsert_catalog(old, changed_batch(spark, sf_dir)).join(old.select("file_path").hint("merge"), "file_path", "left_anti")
+    return new.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_ids"), F.min("id").alias("low"), F.max("id").alias("high"))
+
+
 @query("select id, file_path, cast(null as varchar) as tag_text, cast(null as double) as fps, is_processed from media", "media")
 def s7_evolve_schema(spark, sf_dir):
     grown = sources.evolve_schema(view(spark, sf_dir, "media").select("id", "file_path", "is_processed"))
@@ -140,6 +148,18 @@ def s9_explode_faces(spark, sf_dir):
     return sources.explode_faces(results).select("file_id", F.col("face_index").cast("bigint").alias("face_index"), "timestamp", vector_sum("embedding").alias("weight"))
 
 
+@query("""select video_id as file_id, case when video_id % 3 = 0 then least(2, count(*)) else count(*) end as n, case when video_id % 3 = 0 then least(2, count(*)) else 0 end as n_new,
+   case when video_id % 3 <> 0 then min(vec_id) end as least_old from frames group by video_id""", "frames")
+def s9_replace_faces(spark, sf_dir):
+    rows = view(spark, sf_dir, "frames").join(table(spark, sf_dir, "embeddings").select("vec_id", "embedding").hint("merge"), "vec_id")
+    old = rows.select(F.col("vec_id").alias("id"), F.col("video_id").alias("file_id"), F.col("frame_no").cast("int").alias("face_index"), F.lit(0.0).alias("timestamp"), F.col("embedding").cast("array<double>").alias("embedding"), F.lit(5).alias("cluster_id"))
+    found = rows.filter("video_id % 3 = 0").groupBy(F.col("video_id").alias("file_id")).agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("frame_no", "embedding"))), lambda x: x["embedding"]), 1, 2).alias("face_vectors"))
+    new = sources.explode_faces(found.withColumn("faces", F.array().cast("array<struct<timestamp:double>>")))
+    out = sources.replace_faces(old, new)
+    is_new = F.col("cluster_id") == -1
+    return out.groupBy("file_id").agg(F.countDistinct("id").alias("n"), F.count_if(is_new & (F.col("id") > old.agg(F.max("id")).first()[0])).alias("n_new"), F.min(F.when(~is_new, F.col("id"))).alias("least_old"))
+
+
 @query("select id, file_path, file_size, media_type from media", "media")
 def s10_save_load(spark, sf_dir):
     path = tables.fresh_path(spark, "catalog")
@@ -434,12 +454,13 @@ def m6_merge_tags(spark, sf_dir):
 
 
 @query("""select vec_id as id, len(embedding)::int as size, concat(vec_id::varchar, ',', (vec_id + 1)::varchar) as bbox, (vec_id % 100) / 100.0::double as det_score,
-  case when vec_id % 3 = 0 then 0.0 else vec_id * 0.5 end::double as timestamp from embeddings""")
+  case when vec_id % 3 = 0 then 0.0 else vec_id * 0.5 end::double as timestamp, concat(vec_id::varchar, ',1') as kps from embeddings""")
 def m7_face_structs(spark, sf_dir):
     raw = F.array(F.struct("embedding", F.array(F.col("vec_id"), F.col("vec_id") + 1).alias("bbox"), ((F.col("vec_id") % 100) / 100).alias("det_score"),
-                           F.when(F.col("vec_id") % 3 != 0, F.col("vec_id") * 0.5).alias("timestamp")))
+                           F.when(F.col("vec_id") % 3 != 0, F.col("vec_id") * 0.5).alias("timestamp"), F.array(F.array(F.col("vec_id"), F.lit(1))).alias("kps")))
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.inline(frames.face_structs(raw)))
-    return rows.select("id", F.size("embedding").alias("size"), F.concat_ws(",", F.transform("bbox", lambda x: x.cast("string"))).alias("bbox"), "det_score", "timestamp")
+    return rows.select("id", F.size("embedding").alias("size"), F.concat_ws(",", F.transform("bbox", lambda x: x.cast("string"))).alias("bbox"), "det_score", "timestamp",
+                       F.concat_ws(",", F.transform(F.get("kps", F.lit(0)), lambda x: x.cast("int").cast("string"))).alias("kps"))
 
 
 @query("select id, count(*) filter (pos % 3 <> 0) as kept, coalesce(string_agg(pos::varchar, ',' order by pos) filter (pos % 3 <> 0), '') as positions from seg group by id", "seg")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vistalake.functions.vectors import l2_normalize
+from vistalake.sources.tables import written
 
 # Extensions of the media types.
 IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".webp", ".bmp")
@@ -87,7 +88,7 @@ def upsert_catalog(catalog: DataFrame, results: DataFrame) -> DataFrame:
     batch = results.groupBy("file_path").agg(
         F.min_by(F.struct(F.lit(1), *static), "seq").alias("first"), F.max_by(F.struct(*updated), "seq").alias("last"))
     old = catalog.withColumn("known", F.lit(True))
-    both = old.join(batch, "file_path", "full_outer")
+    both = old.join(batch.hint("merge"), "file_path", "full_outer")
     known, given = F.col("known").isNotNull(), F.col("last").isNotNull()
     columns = []
     for c in catalog.columns:
@@ -101,13 +102,13 @@ def upsert_catalog(catalog: DataFrame, results: DataFrame) -> DataFrame:
             value = F.col(c)
         columns.append(value.alias(c))
     merged = both.select(*columns)
-    return with_new_ids(merged, "file_path") if "id" in catalog.columns else merged
+    return with_new_ids(written(merged, "merged"), "file_path") if "id" in catalog.columns else merged
 
 
-def with_new_ids(df: DataFrame, order: str, parts: int = 256) -> DataFrame:
-    """Null ids become the highest id plus a gapless rank by `order` within hash parts, so that no single task ranks all new rows."""
+def with_new_ids(df: DataFrame, order: str, parts: int = 256, top: int | None = None) -> DataFrame:
+    """Null ids become `top`, or else the highest id, plus a gapless rank by `order` within hash parts, so that no single task ranks all new rows."""
     new = df.filter("id is null").drop("id").withColumn("_part", F.pmod(F.xxhash64(order), F.lit(parts)))
-    top = df.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    top = df.agg(F.greatest(F.coalesce(F.max("id"), F.lit(0)), F.lit(top or 0)).alias("_top"))
     sizes = new.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))  # 256 rows
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(order))
@@ -136,6 +137,14 @@ def explode_faces(results: DataFrame) -> DataFrame:
     return rows.select("file_id", "face_index", at.alias("timestamp"), l2_normalize("vector").alias("embedding"), F.lit(-1).alias("cluster_id"))
 
 
+def replace_faces(faces: DataFrame, new: DataFrame) -> DataFrame:
+    """faces(id, file_id, ...) with the rows of `new` (explode_faces) in place of their files' old ones; new rows get the next free ids."""
+    kept = faces.join(new.select("file_id").distinct().hint("merge"), "file_id", "left_anti")
+    both = kept.unionByName(new.withColumn("id", F.lit(None).cast("bigint")), allowMissingColumns=True).withColumn("_key", F.struct("file_id", "face_index"))
+    top = faces.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
+    return with_new_ids(written(both, "faces"), "_key", top=top).drop("_key")
+
+
 def tags_from_json(c: Column | str) -> Column:
     """JSON list to array; null, empty and invalid text give an empty one."""
     c = F.col(c) if isinstance(c, str) else c

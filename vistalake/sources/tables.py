@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,6 +56,9 @@ def sized(keys: DataFrame, most: int = 1 << 20) -> DataFrame:
     return keys.hint("broadcast" if keys.count() <= most else "merge")
 
 
-def write_by_category(df: DataFrame, path: str, column: str = "category") -> None:
-    """One directory per category."""
-    df.repartition(column).write.partitionBy(column).parquet(path)
+def write_by_category(df: DataFrame, path: str, column: str = "category", rows: int = 1_000_000) -> None:
+    """One directory per category, with a file for about each `rows` rows: a large category is dealt over several tasks."""
+    sizes = df.groupBy(F.col(column).alias("_category")).agg(F.ceil(F.count(F.lit(1)) / rows).alias("_parts"))
+    keyed = df.withColumn("_key", F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind]))
+    salted = keyed.join(sizes.hint("merge"), F.col(column).eqNullSafe(F.col("_category"))).withColumn("_part", F.pmod("_key", F.col("_parts")))
+    salted.repartition(column, "_part").select(*df.columns).write.partitionBy(column).parquet(path)
