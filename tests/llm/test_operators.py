@@ -417,6 +417,20 @@ def test_lm_scores(docs, rows, none):
     assert lm.lattice_scores(none, bpe.default_vocabulary("piece_bpe_32k.model")).count() == 0
 
 
+def test_lm_score_is_the_sum_over_all_segmentations(spark, monkeypatch):
+    seen = []
+    whole = lm.fitted
+    monkeypatch.setattr(lm, "fitted", lambda *a: seen.append(whole(*a)) or seen[-1])
+    monkeypatch.setattr(lm, "vocabulary_pieces", lambda path: [lm.SPACE, lm.SPACE + "a", "a", "b", "ab", "aba", "ba"])
+    data = [(k, t) for k, t in enumerate(["abab a", "A ab ab", "abaé 日 ab", "", None, "bbbb ab a", "ab ba aba a", "b b b"])]
+    got = {r["doc_id"]: r["score"] for r in lm.lattice_scores(spark.createDataFrame(data, "doc_id long, text string"), "unread").collect()}
+    pieces = lm.vocabulary_pieces("")
+    lattice = lm.Lattice(pieces, seen[-1])
+    for d, t in data:
+        want = sum(every_segmentation(lattice, pieces, w) for w in (t or "").lower().split()) + seen[-1][-1]
+        assert np.isclose(got[d], want / lm.LN10), t
+
+
 def test_secrets(spark, docs, none):
     key = "".join(np.random.default_rng(6).choice(list("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghkmnpqrstuvwxyz23456789"), 40))
     data = [(1, "é token = \"0cf1bbc67ab39b2ddebadc809bed189ed8c6ac4d\" tail"), (2, "passwd: short secret=alsoshort API-KEY: Token:'abcdefghijkl'"), (3, "AKIAABCDEFGHIJ AKIAABCDEFGHIJKLMN"),
@@ -483,6 +497,14 @@ def test_longest_first_is_the_heap():
 
 def test_sharding(docs, rows, none):
     got = sharding.shard_documents(docs, 4).collect()
+    groups, heap, loads = Counter(), [0] * 4, Counter({k: 0 for k in range(4)})
+    for _, t in rows:
+        groups[t or ""] += len((t or "").encode()) + 8
+    for size in sorted(groups.values(), reverse=True):
+        heapq.heapreplace(heap, heap[0] + size)
+    for r in got:
+        loads[r["shard"]] += r["size"]
+    assert sorted(loads.values()) == sorted(heap)
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t in rows)
     for k in range(4):
         assert sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got)))

@@ -35,3 +35,17 @@ def test_pipeline(spark):
     assert len(text) == len(set(text.values())) and not any(i in t for i in items for t in text.values())
     out = corpus_pipeline.run(spark, SF)
     assert {r["doc_id"] for r in out.collect()} == ids
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    good = docs.filter("n_chars > 500").orderBy("doc_id").limit(3).collect()
+    odd = [(None, good[0]["text"]), (1, None), (2, ""), (3, good[1]["text"]), (3, good[1]["text"]), (4, good[1]["text"]), (5, good[2]["text"])]
+    made = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in odd], "doc_id long, text string, lang string, source string, n_chars long")
+    made.select(*docs.columns).write.parquet(str(tmp_path / "odd/documents.parquet"))
+    made.limit(0).select(*docs.columns).write.parquet(str(tmp_path / "none/documents.parquet"))
+    for name in ("odd", "none"):
+        spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    left = [r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()]
+    assert sorted(x for x in left if x is not None) in ([3, 5], [3], [5]) and left.count(3) <= 1
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
