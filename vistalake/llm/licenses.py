@@ -3,8 +3,9 @@
 Paragraphs end at blank lines; lines and rolling windows of words within a paragraph are scored, so that
 wrapped and embedded notices are seen whole. A multinomial logistic regression over hashed word one- and
 two-grams is trained on the notices below and their variations, and as "no licence" on a bounded sample
-of corpus lines and on notices of other licences. Its temperature is calibrated on variations that
-training doesn't see, and a stretch whose best probability stays under the calibrated bar is unknown.
+of corpus lines and on half of the notices of other licences. Its temperature is calibrated on variations
+and lines that training doesn't see, and on the other licences held out from it; a stretch whose best
+probability stays under the bar that these don't pass is unknown.
 A family counts as confirmed where the words stand that tell it from its neighbours (version, NC, no
 Lesser) and their surroundings share enough word pairs with a template of that family. Stretches with
 word pairs of a template are compared whatever the classifier says.
@@ -115,8 +116,8 @@ def _windows_of(lines: list[str], seed: int) -> list[str]:
     return out
 
 
-def _variations(seed: int, n: int) -> tuple[list[str], list[int]]:
-    """Notices with up to a fifth of their words left out, and those of other licences as they are."""
+def _variations(seed: int, n: int, others: list[str]) -> tuple[list[str], list[int]]:
+    """Notices, every second time with about a fifth of their words left out, and `others`, of other licences, as they are."""
     rng = np.random.default_rng(seed)
     texts, labels = [], []
     for k, family in enumerate(FAMILIES):
@@ -126,14 +127,14 @@ def _variations(seed: int, n: int) -> tuple[list[str], list[int]]:
                 keep = rng.random(len(words)) >= (0.0 if j % 2 == 0 else 0.2)
                 texts.append(" ".join(w for w, x in zip(words, keep) if x or len(words) < 5))
                 labels.append(k)
-    return texts + OTHERS * n, labels + [len(FAMILIES)] * (len(OTHERS) * n)
+    return texts + others * n, labels + [len(FAMILIES)] * (len(others) * n)
 
 
 def train(lines: list[str], steps: int = 300, rate: float = 2.0, decay: float = 1e-4) -> tuple[np.ndarray, float, float]:
     """Weights (classes x features + 1, the last class "no licence"), temperature, least probability."""
     none = len(FAMILIES)
     cut = len(lines) * 3 // 4
-    texts, labels = _variations(1, 8)
+    texts, labels = _variations(1, 8, OTHERS[::2])
     plain = lines[:cut] + _windows_of(lines[:cut], 3) + [""]
     texts, labels = texts + plain, labels + [none] * len(plain)
     text, feature = _features(pa.array(texts))
@@ -149,9 +150,9 @@ def train(lines: list[str], steps: int = 300, rate: float = 2.0, decay: float =
         bias -= rate * gap.sum(axis=0)
     weights = np.zeros((none + 1, (1 << FEATURE_BITS) + 1))
     weights[:, used], weights[:, -1] = w, bias
-    # Calibration: the temperature that makes unseen variations likeliest, then a bar that no unseen corpus line passes.
-    seen, known = _variations(2, 4)
-    held = lines[cut:] + _windows_of(lines[cut:], 4) + [""]
+    # Calibration: the temperature that makes unseen variations likeliest, then a bar that no unseen corpus line passes and no notice of an unseen licence.
+    seen, known = _variations(2, 4, [])
+    held = OTHERS[1::2] + lines[cut:] + _windows_of(lines[cut:], 4) + [""]
     logits, answer = _scores(pa.array(seen + held), weights), np.array(known + [none] * len(held))
     heat = min((0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 1.0, 1.5, 2.0), key=lambda t: -np.log(np.maximum(_softmax(logits / t)[np.arange(len(answer)), answer], 1e-12)).mean())
     wrong = _softmax(logits[len(seen) :] / heat)[:, :none].max(axis=1)
@@ -282,7 +283,11 @@ def scan_licenses(docs: DataFrame, sample_lines: int = SAMPLE_LINES) -> DataFram
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = F.element_at(F.split("text", "\n"), F.pmod(F.xxhash64("doc_id"), F.size(F.split("text", "\n"))).cast("int") + 1)
-    sampled = docs.filter("text is not null").select(F.xxhash64("doc_id").alias("rank"), "doc_id", first.alias("line")).orderBy("rank", "doc_id").limit(sample_lines)
+    # Only about twice the rows that are wanted are sorted; the bound follows the number of rows.
+    share = min(1.0, 2 * sample_lines / max(1, docs.count()))
+    bound = int(-(1 << 63) + share * ((1 << 64) - 1025))
+    sampled = docs.filter("text is not null").select(F.xxhash64("doc_id").alias("rank"), "doc_id", "text").filter(F.col("rank") <= bound)
+    sampled = sampled.select("rank", "doc_id", first.alias("line")).orderBy("rank", "doc_id").limit(sample_lines)
     lines = [r["line"] for r in sampled.filter(~F.col("line").rlike("(?i)licen[sc]|copyright|spdx|permission|redistribut")).collect()]
     model = spark.sparkContext.broadcast(train(lines))
     kind = "array<struct<line:long,family:string,p:double,match:double>>"
