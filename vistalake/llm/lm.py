@@ -2,9 +2,10 @@
 
 The pieces of an existing vocabulary span every word in many ways. A unigram model over the pieces gives
 each way a probability; the forward recursion, in logarithms, sums them all, so a text's score is its
-marginal probability and depends on no single segmentation. Piece probabilities start from the
-vocabulary's own order of scores and are fitted to the training texts' word counts by
-expectation-maximisation. Characters outside the vocabulary fall back to bytes.
+marginal probability and depends on no single segmentation. The vocabulary that is given belongs to a
+byte-pair model, whose scores are ranks and no probabilities: they order the pieces for a first guess, and
+probabilities are fitted to the training texts' word counts by expectation-maximisation. Characters
+outside the vocabulary fall back to bytes.
 
 Words are counted over all texts first. A word that makes up 2^-18 of all tokens or more is frequent
 (there are 2^18 of these at most): its scores are sent to all tasks. The other words of each text are

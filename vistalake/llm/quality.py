@@ -31,7 +31,8 @@ RULES = {
 def text_measures(docs: DataFrame) -> DataFrame:
     """`docs` plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the rules' other counts (all long).
 
-    A null text has no words and no lines: every count is 0. Columns of these names in `docs` are replaced.
+    A null text has no words and no lines: every count is 0. Columns of these names in `docs` are replaced,
+    and `_words`, `_lines`, `_one`, `_two`, `_four`, `_windows`, `_placed` and `_twice` are dropped.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     count = lambda pattern: (F.size(F.split(text, pattern, -1)) - 1).cast("long")

@@ -290,7 +290,9 @@ def _write_blocks(lengths: bytes):
 def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2) -> None:
     """Ids of all rows of `docs`, ascending by doc_id (null first; rows that share one by their ids), in files under `path`.
 
-    Every text gets `end_id` at its end; a null text has only that. `path` must not exist.
+    Every text gets `end_id` at its end; a null text has only that. Repeated rows are written each, an
+    empty table gives files without blocks. Columns other than doc_id and text are ignored, whatever
+    their names. `path` must not exist.
     """
     spark = docs.sparkSession
     name = ship_file(spark, vocabulary)
