@@ -148,3 +148,60 @@ def test_save_load_and_categories(spark, tmp_path):
     assert sorted(map(tuple, tables.load(spark, str(tmp_path / "t")).collect())) == [("a", 1), ("b", 2)]
     tables.write_by_category(df, str(tmp_path / "c"))
     assert {p.name for p in (tmp_path / "c").iterdir() if p.is_dir()} == {"category=a", "category=b"}
+
+
+def test_stream_replaces_vectors_and_faces(spark, tmp_path):
+    from vistalake.streaming.ingest import latest, stream_ingest
+
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "path string, file_hash string, v double, n int, success boolean"
+    empty = spark.createDataFrame([], "id long, file_path string, file_hash string, is_processed boolean, error_msg string")
+
+    def score(df):
+        vector = F.array(F.col("v"), F.lit(1.0))
+        return df.select("file_path", "file_hash", "success", F.lit(None).cast("string").alias("error_msg"), F.lit(1).alias("seq"), vector.alias("embedding"),
+                         F.array_repeat(vector, F.col("n")).alias("face_vectors"), F.array().cast("array<struct<timestamp:double>>").alias("faces"))
+
+    batches = [[("/a.jpg", "1", 1.0, 2, True), ("/b.jpg", "1", 1.0, 1, True)], [("/a.jpg", "2", 0.0, 1, True), ("/c.jpg", "1", 1.0, 3, True)],
+               [("/b.jpg", "2", 0.0, 0, True), ("/c.jpg", "2", 0.0, 1, False)], [("/b.jpg", "2", 5.0, 5, True)], [("/c.jpg", "2", 0.0, 1, True)]]
+    seen = []
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream_ingest(spark, spark.readStream.schema(schema).parquet(source), target, str(tmp_path / "progress"), empty, score, compact=2).awaitTermination()
+        ids = {r["id"]: r["file_path"] for r in latest(spark, target).collect()}
+        first = {ids[r["id"]]: r["embedding"][0] for r in latest(spark, target, "vectors").collect()}
+        faces = latest(spark, target, "faces").collect()
+        assert len({r["id"] for r in faces}) == len(faces)
+        seen.append((sorted(ids.values()), {k: round(v, 3) for k, v in first.items()}, sorted((ids[r["file_id"]], r["face_index"]) for r in faces)))
+    half = 0.707
+    assert seen[0] == (["/a.jpg", "/b.jpg"], {"/a.jpg": half, "/b.jpg": half}, [("/a.jpg", 0), ("/a.jpg", 1), ("/b.jpg", 0)])
+    assert seen[1][1:] == ({"/a.jpg": 0.0, "/b.jpg": half, "/c.jpg": half}, [("/a.jpg", 0), ("/b.jpg", 0)] + [("/c.jpg", k) for k in range(3)])
+    assert seen[2][1:] == ({"/a.jpg": 0.0, "/b.jpg": 0.0, "/c.jpg": half}, [("/a.jpg", 0)] + [("/c.jpg", k) for k in range(3)])
+    assert seen[3] == seen[2]  # processed under this hash
+    assert seen[4][1:] == ({"/a.jpg": 0.0, "/b.jpg": 0.0, "/c.jpg": 0.0}, [("/a.jpg", 0), ("/c.jpg", 0)])
+    kept = {p.name for p in (tmp_path / "out" / "catalog").iterdir()}
+    assert kept == {"whole-1", "delta-2", "delta-3", "whole-3", "delta-4"}
+
+
+@pytest.mark.parametrize("rows", [8, 64])
+def test_approximate_pairs(spark, rows):
+    rng = np.random.default_rng(9)
+    base = np.concatenate([rng.normal(size=(40, 24)), np.repeat(rng.normal(size=(1, 24)), 40, axis=0)])  # half are one group
+    m = np.concatenate([base + rng.normal(scale=s, size=base.shape) for s in (0.01, 0.05, 0.2)])
+    df = frame(spark, m)
+    exact = {(r["id_a"], r["id_b"]): r["similarity"] for r in similarity.similar_pairs(df).collect()}
+    near = similarity.similar_pairs_approximate(df, rows=rows).collect()
+    found = {(r["id_a"], r["id_b"]): r["similarity"] for r in near}
+    assert len(found) == len(near) and all(abs(exact[k] - v) < 1e-9 for k, v in found.items())
+    assert len(found) >= 0.97 * len(exact) > 0
+    assert similarity.similar_pairs_approximate(df.limit(0)).count() == 0
+
+
+def test_filters_before_and_after_ranking(spark):
+    media = spark.createDataFrame([(i, f"/{i}", "image" if i % 2 else "video", ["x"], ["s"] if i % 3 else []) for i in range(12)], "id long, file_path string, media_type string, character_tags array<string>, series_tags array<string>")
+    vecs = frame(spark, [[12 - i, i] for i in range(12)])
+    segments = spark.createDataFrame([(4, "audio", 0, 1.0, "a word")], "id long, kind string, pos long, start_s double, text string")
+    run = lambda **o: {r["id"]: r["snippet"] for r in similarity.filtered_search(media, vecs, segments, "word", [1.0, 0.0], 4, **o).collect()}
+    assert set(run(media_type="image")) == {1} and set(run(media_type="image", pre_filter=True)) == {1, 3, 5, 7}
+    assert run(media_type="video") == {4: "[Audio @1.0s] a word", 0: None, 2: None}
+    assert set(run(media_type="video", series="s", pre_filter=True)) == {2, 4, 8, 10}

@@ -96,7 +96,7 @@ def dbscan(vectors: DataFrame, eps: float = 0.65, min_samples: int = 4) -> DataF
 def assign_clusters(faces: DataFrame, labels: DataFrame) -> DataFrame:
     """Faces with their new cluster_id; faces without a label keep theirs."""
     new = labels.select("id", F.col("cluster_id").alias("_new"))
-    return faces.join(new, "id", "left").withColumn("cluster_id", F.coalesce("_new", "cluster_id")).drop("_new")
+    return faces.join(new.hint("merge"), "id", "left").withColumn("cluster_id", F.coalesce("_new", "cluster_id")).drop("_new")
 
 
 def cluster_summary(labels: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def pool_frames(videos: DataFrame, frames: DataFrame, size: int) -> DataFrame:
     """M3: normalised mean of a video's frame vectors; zeros without frames."""
     mean = mean_vectors(frames, "video_id")
     zero = F.array_repeat(F.lit(0.0), size)
-    return videos.select("video_id").join(mean, "video_id", "left").select("video_id", F.coalesce("embedding", zero).alias("embedding"))
+    return videos.select("video_id").join(mean.hint("merge"), "video_id", "left").select("video_id", F.coalesce("embedding", zero).alias("embedding"))
 
 
 def majority(videos: DataFrame, frames: DataFrame, column: str = "style", default: str = "illustration") -> DataFrame:

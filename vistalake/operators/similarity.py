@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -11,9 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vistalake.functions.vectors import dot, l2_normalize
+from vistalake.sources.tables import sized, written
 
 #: Rows of a block of the pair join, and rows multiplied at once inside a block pair.
 BLOCK_ROWS, TILE_ROWS = 8192, 2048
+PAIR = "id_a long, id_b long, similarity double"
 #: Anchors (tags, categories) that are sent to all tasks at a time: about 60 MB of 768 numbers each.
 ANCHORS = 10_000
 
@@ -103,8 +106,8 @@ def close_tiles(table: pa.Table, low: float, high: float | None = None, low_open
             yield x, y, ok, s
 
 
-def block_pairs(vectors: DataFrame, low: float, high: float | None = None, low_open: bool = True) -> DataFrame:
-    """All (id_a, id_b, similarity) with id_a < id_b and cosine in (low, high]; exact. Each pair of blocks is a tiled matrix product."""
+def _close(low: float, high: float | None, low_open: bool = True) -> Callable[[pa.Table], pa.Table]:
+    """Of a pair of blocks, the pairs of rows with a cosine in (low, high]."""
 
     def pairs(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
@@ -116,8 +119,13 @@ def block_pairs(vectors: DataFrame, low: float, high: float | None = None, low_o
                 column.append(value)
         return pa.table({c: pa.array(np.concatenate(v) if v else [], t) for c, v, t in zip(("id_a", "id_b", "similarity"), out, (pa.int64(), pa.int64(), pa.float64()))})
 
+    return pairs
+
+
+def block_pairs(vectors: DataFrame, low: float, high: float | None = None, low_open: bool = True) -> DataFrame:
+    """All (id_a, id_b, similarity) with id_a < id_b and cosine in (low, high]; exact. Each pair of blocks is a tiled matrix product."""
     dealt = dealt_in_blocks(vectors.select("id", "embedding"))
-    return dealt.groupBy("p", "q").applyInArrow(pairs, "id_a long, id_b long, similarity double").filter("id_a < id_b")
+    return dealt.groupBy("p", "q").applyInArrow(_close(low, high, low_open), PAIR).filter("id_a < id_b")
 
 
 def similar_pairs(vectors: DataFrame, threshold: float = 0.95, exact_cutoff: float = 0.9999) -> DataFrame:
@@ -125,6 +133,48 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.95, exact_cutoff: flo
     return block_pairs(vectors, threshold, exact_cutoff)
 
 
+def _buckets(bands: int, bits: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(id, band, bucket): in each band, the sides of `bits` random planes through the origin on which a vector lies."""
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = None
+        for batch in batches:
+            m = _matrix(batch.column("embedding"))
+            if not m.size:
+                continue
+            if planes is None:
+                planes = np.random.default_rng(seed).normal(size=(m.shape[1], bands * bits))
+            signs = (m @ planes > 0).reshape(len(m), bands, bits)
+            keys = signs @ (1 << np.arange(bits, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([np.repeat(batch.column("id").to_numpy(), bands), np.tile(np.arange(bands, dtype=np.int32), len(m)), keys.reshape(-1)], ["id", "band", "bucket"])
+
+    return sides
+
+
+def planes_for(n: int, threshold: float, recall: float, rows: int) -> tuple[int, int]:
+    """(bands, bits): as many bits as make buckets of about `rows` of n vectors, and bands enough for `recall` at the threshold."""
+    bits = min(40, max(1, round(math.log2(max(2, n / rows)))))
+    met = (1 - math.acos(threshold) / math.pi) ** bits  # two vectors at the threshold share a bucket in one band
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - met))), bits
+
+
+def similar_pairs_approximate(vectors: DataFrame, threshold: float = 0.95, exact_cutoff: float = 0.9999, recall: float = 0.99, rows: int = BLOCK_ROWS, seed: int = 42) -> DataFrame:
+    """V4, approximate mode: of the pairs of similar_pairs, each at the threshold is found with probability `recall`, closer ones with a higher one; cosines are exact.
+
+    Vectors that lie on the same sides of a band's random planes are compared. Bits follow the number
+    of rows n, so at 0.95 the work grows with about the power 1.15 of n instead of its square. Buckets over `rows` rows are
+    dealt in pairs of blocks like a whole table; no candidate is dropped.
+    """
+    points = vectors.select("id", "embedding")
+    bands, bits = planes_for(points.count(), threshold, recall, rows)
+    signed = written(points.mapInArrow(_buckets(bands, bits, seed), "id long, band int, bucket long"), "buckets")
+    large = signed.groupBy("band", "bucket").agg(F.ceil(F.count(F.lit(1)) / rows).alias("blocks")).filter("blocks > 1")
+    cells = signed.join(sized(written(large, "large-buckets")), ["band", "bucket"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)).cast("int"))
+    cells = cells.withColumn("own", F.pmod(F.xxhash64("id", "band"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = cells.select("id", "band", "bucket", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")).join(points.hint("merge"), "id")
+    found = dealt.groupBy("band", "bucket", "p", "q").applyInArrow(_close(threshold, exact_cutoff), PAIR).filter("id_a < id_b")
+    return found.groupBy("id_a", "id_b").agg(F.min("similarity").alias("similarity"))
+
+
 def similar_pairs_native(vectors: DataFrame, threshold: float = 0.95, exact_cutoff: float = 0.9999) -> DataFrame:
     """V4 in expressions, as a theta join; for small tables and as a check on the block form."""
     a = vectors.select(F.col("id").alias("id_a"), l2_normalize("embedding").alias("a"))
@@ -144,18 +194,32 @@ def same_fingerprint(catalog: DataFrame) -> DataFrame:
 
 
 def hybrid_search(catalog: DataFrame, vectors: DataFrame, segments: DataFrame, query_text: str, query: list[float], k: int = 50, text_limit: int = 20) -> DataFrame:
-    """V3: text hits first, then vector hits; score is the vector's, else 1.0; with snippets. No query, no rows."""
+    """V3: text hits first, then vector hits; score is the vector's, else 1.0; with snippets (made for the k rows only). No query, no rows."""
     from vistalake.operators.text import snippets, text_hits
 
     hits = text_hits(catalog, segments, query_text, text_limit).select("id", F.lit(True).alias("text_hit"))
     near = top_k_similar(vectors, query, k).join(catalog.select("id"), "id")
-    both = hits.join(near, "id", "full_outer").filter(F.lit(bool(query_text)))
+    both = hits.join(near.hint("merge"), "id", "full_outer").filter(F.lit(bool(query_text)))
     best = both.withColumn("text_hit", F.coalesce("text_hit", F.lit(False))).orderBy(
         F.desc("text_hit"), F.when(F.col("text_hit"), F.col("id")), F.desc("score"), "id").limit(k)
-    named = best.join(catalog.select("id", "file_path", "media_type"), "id").join(snippets(segments, query_text), "id", "left")
+    best = sized(written(best, "hybrid-hits"))
+    said = snippets(segments.join(best.select("id"), "id", "left_semi"), query_text)
+    named = catalog.select("id", "file_path", "media_type").join(best, "id").join(said.hint("merge"), "id", "left")
     return named.select("id", "file_path", "media_type", F.coalesce("score", F.lit(1.0)).alias("score"), "text_hit", "snippet")
 
 
+def filtered_search(catalog: DataFrame, vectors: DataFrame, segments: DataFrame, query_text: str, query: list[float], k: int = 50, text_limit: int = 20, pre_filter: bool = False,
+                    media_type: str | None = None, character: str | None = None, series: str | None = None) -> DataFrame:
+    """F5 on V3: hybrid_search of the rows that pass filter_results, filtered after ranking (up to k rows stay), or before it with `pre_filter` (k rows if so many pass)."""
+    from vistalake.operators.listing import filter_results
+
+    kept = filter_results(catalog, media_type, character, series)
+    if pre_filter:
+        return hybrid_search(kept, vectors.join(kept.select("id").hint("merge"), "id", "left_semi"), segments, query_text, query, k, text_limit)
+    found = written(hybrid_search(catalog, vectors, segments, query_text, query, k, text_limit), "search-results")
+    return kept.select("id").join(sized(found), "id").select(*found.columns)
+
+
 def score_against(vectors: DataFrame, anchors: DataFrame, name: str) -> DataFrame:
     """Every row with every anchor (`name`, embedding). Anchors are sent to all tasks, at most ANCHORS of them at a time."""
     few = anchors.select(F.col(name), F.col("embedding").alias("anchor"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vistalake.functions.vectors import dot, l2_normalize
 from vistalake.operators.similarity import best_first, score_against
+from vistalake.sources.tables import sized
 
 CHARACTER, SERIES = 4, 3
 
@@ -16,20 +17,20 @@ CHARACTER, SERIES = 4, 3
 def decode_tags(preds: DataFrame, vocab: DataFrame, threshold: float = 0.35) -> DataFrame:
     """Id, character_tags, series_tags of preds(id, preds): names over the threshold, in the vocabulary's order, `_` as space. Items without any keep empty lists."""
     hits = preds.select("id", F.posexplode("preds").alias("idx", "p")).filter(F.col("p") > threshold)
-    named = hits.join(vocab.filter(F.col("category").isin(CHARACTER, SERIES)), "idx").select("id", "idx", "category", F.replace("name", F.lit("_"), F.lit(" ")).alias("name"))
+    named = hits.join(sized(vocab.filter(F.col("category").isin(CHARACTER, SERIES))), "idx").select("id", "idx", "category", F.replace("name", F.lit("_"), F.lit(" ")).alias("name"))
     listed = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col("category") == c, F.struct("idx", "name")))), lambda x: x["name"])
     found = named.groupBy("id").agg(listed(CHARACTER).alias("character_tags"), listed(SERIES).alias("series_tags"))
     empty = F.array().cast("array<string>")
-    return preds.select("id").join(found, "id", "left").select("id", F.coalesce("character_tags", empty).alias("character_tags"), F.coalesce("series_tags", empty).alias("series_tags"))
+    return preds.select("id").join(found.hint("merge"), "id", "left").select("id", F.coalesce("character_tags", empty).alias("character_tags"), F.coalesce("series_tags", empty).alias("series_tags"))
 
 
 def suggest_tags(vectors: DataFrame, anchors: DataFrame, k: int = 5, threshold: float = 0.20) -> DataFrame:
     """The tags of the k nearest anchors(tag_idx, tag, embedding), then only those that reach the threshold, best first."""
     scored = score_against(vectors, anchors, "tag_idx").withColumn("rank", best_first("tag_idx")).filter((F.col("rank") <= k) & (F.col("score") >= threshold))
-    named = scored.join(F.broadcast(anchors.select("tag_idx", "tag")), "tag_idx")
+    named = scored.join(sized(anchors.select("tag_idx", "tag")), "tag_idx")
     tags = F.transform(F.array_sort(F.collect_list(F.struct("rank", "tag"))), lambda x: x["tag"])
     found = named.groupBy("id").agg(tags.alias("tags"))
-    return vectors.select("id").join(found, "id", "left").select("id", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
+    return vectors.select("id").join(found.hint("merge"), "id", "left").select("id", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
 
 
 def mean_vectors(vectors: DataFrame, by: str, unit_members: bool = False) -> DataFrame:
@@ -61,11 +62,11 @@ def classify(vectors: DataFrame, centroids: DataFrame, threshold: float = 0.25)
     unit = vectors.select("id", l2_normalize("embedding").alias("embedding"))
     best = score_against(unit, centroids.withColumn("place", F.struct(F.col("ord"), F.col("category"))), "place").withColumn("rank", best_first("place")).filter("rank = 1")
     named = best.filter(F.col("score") >= threshold).select("id", F.col("place.category").alias("category"), F.col("score").alias("similarity"))
-    return vectors.select("id").join(named, "id", "left")
+    return vectors.select("id").join(named.hint("merge"), "id", "left")
 
 
 def gate(df: DataFrame, style: str, scorer: Callable[[DataFrame], DataFrame], wanted: str = "illustration") -> DataFrame:
     """Only rows of the wanted style are scored (id, character_tags, series_tags); the others get empty lists."""
     scored = scorer(df.filter(F.col(style) == wanted))
     empty = F.array().cast("array<string>")
-    return df.join(scored, "id", "left").withColumns({c: F.coalesce(c, empty) for c in ("character_tags", "series_tags")})
+    return df.join(scored.hint("merge"), "id", "left").withColumns({c: F.coalesce(c, empty) for c in ("character_tags", "series_tags")})

@@ -20,7 +20,7 @@ def segments_table(catalog: DataFrame) -> DataFrame:
 def text_hits(catalog: DataFrame, segments: DataFrame, query: str, limit: int = 20) -> DataFrame:
     """The first `limit` videos, by id, with a segment that contains the query, whatever the case; wildcards are ordinary characters."""
     ids = segments.filter(_contains(F.col("text"), query)).select("id").distinct()
-    return catalog.filter("media_type = 'video'").join(ids, "id", "left_semi").orderBy("id").limit(limit)
+    return catalog.filter("media_type = 'video'").join(ids.hint("merge"), "id", "left_semi").orderBy("id").limit(limit)
 
 
 def snippets(segments: DataFrame, query: str) -> DataFrame:

@@ -252,6 +252,16 @@ def f5_filter_results(spark, sf_dir):
     return found.select("id", rounded("score").alias("score"))
 
 
+FILTERED = {"media_type": "image", "series": "wonder"}
+
+
+@query(f"""select id, round(score, 6) as score, text_hit from (select id, score, false as text_hit from ({TOP}) join catalog using (id)
+  where media_type = 'image' and list_contains(series_tags, 'wonder') order by score desc, id limit 50)""", "catalog")
+def f5_pre_filter(spark, sf_dir):
+    found = similarity.filtered_search(catalog(spark, sf_dir), vectors(spark, sf_dir), view(spark, sf_dir, "seg"), "thing", query_vector(spark, sf_dir), pre_filter=True, **FILTERED)
+    return found.select("id", rounded("score").alias("score"), "text_hit")
+
+
 @query("""select id, rank, (select count(*) > 150 from media where is_processed) as has_more from
   (select id, row_number() over (order by created_at desc, id) - 100 as rank from media where is_processed) where rank between 1 and 50""", "media")
 def f6_page(spark, sf_dir):
@@ -309,6 +319,11 @@ def v4_similar_pairs(spark, sf_dir):
     return similarity.similar_pairs(view(spark, sf_dir, "jit")).withColumn("similarity", rounded("similarity"))
 
 
+@query()
+def v4_similar_pairs_approximate(spark, sf_dir):
+    return similarity.similar_pairs_approximate(view(spark, sf_dir, "jit"), rows=256).withColumn("similarity", rounded("similarity"))
+
+
 @query(f"select id_a, id_b, round(similarity, 6) as similarity from ({PAIRS}) where similarity > 0.9999", "jit")
 def v5_exact_copies(spark, sf_dir):
     return similarity.exact_copies(view(spark, sf_dir, "jit")).withColumn("similarity", rounded("similarity"))
@@ -406,6 +421,13 @@ ORACLE |= {"c1_dbscan": _clusters_sql("select id, cluster_id from out"),
            "c2_cluster_summary": _clusters_sql("select count(distinct case when cluster_id >= 0 then cluster_id end) as n_clusters, count(*) filter (cluster_id >= 0) as n_clustered, count(*) filter (cluster_id < 0) as n_noise from out")}
 
 
+@query("select vec_id as id, case when vec_id % 3 = 0 then vec_id % 7 else vec_id % 2 - 1 end::int as cluster_id from embeddings")
+def j6_assign_clusters(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    faces = rows.select("id", (F.col("id") % 2 - 1).cast("int").alias("cluster_id"))
+    return clustering.assign_clusters(faces, rows.filter("id % 3 = 0").select("id", (F.col("id") % 7).cast("int").alias("cluster_id")))
+
+
 # ---- frames ----------------------------------------------------------------------------------------
 
 @query("""with k as (select id, n, case when n > ten then ten else 0 end as a, (n // 4) as b, (n * 2 // 4) as c, (n * 3 // 4) as d, case when n > ten then n - ten else n - 1 end as e
@@ -679,3 +701,29 @@ def b4_stream_ingest(spark, sf_dir):
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
     stream_ingest(spark, stream, target, tables.fresh_path(spark, "stream-progress"), empty, score).awaitTermination()
     return latest(spark, target).select("file_path", "file_hash", "is_processed")
+
+
+@query(f"""select path as file_path, length as file_size, vec_id % 3 as n_faces, {VSUM.format(v=UNIT.format(v='embedding'))} as weight, row_number() over (order by path) as place from manifest join embeddings using (vec_id)
+  where regexp_matches(lower(path), '\\.(jpg|jpeg|png|webp|bmp|mp4|avi|mov|mkv|webm)$') and not regexp_matches(path, '/\\.[^/]*/')""", "manifest")
+def b4_stream_vectors(spark, sf_dir):
+    from vistalake.streaming.ingest import latest, stream_ingest
+
+    source, target = tables.fresh_path(spark, "stream-source"), tables.fresh_path(spark, "stream-tables")
+    rows = view(spark, sf_dir, "manifest").join(table(spark, sf_dir, "embeddings").select("vec_id", "embedding").hint("merge"), "vec_id")
+    first = rows.withColumn("file_hash", F.lit("old")).withColumn("embedding", F.transform("embedding", lambda x: -x))
+    for version in (first.filter("vec_id % 5 = 0"), rows.withColumn("file_hash", F.md5("path"))):  # a fifth of the files change
+        version.coalesce(1).write.mode("append").parquet(source)
+    empty = spark.createDataFrame([], "id long, file_path string, file_hash string, file_size long, is_processed boolean, error_msg string")
+
+    def score(fresh):
+        n = F.when(F.col("file_hash") == "old", 2).otherwise((F.col("vec_id") % 3).cast("int"))
+        return fresh.select("file_path", "file_hash", F.col("length").cast("long").alias("file_size"), F.lit(True).alias("success"), F.lit(None).cast("string").alias("error_msg"), F.lit(1).alias("seq"),
+                            "embedding", F.array_repeat("embedding", n).alias("face_vectors"), F.array().cast("array<struct<timestamp:double>>").alias("faces"))
+
+    stream = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream_ingest(spark, stream, target, tables.fresh_path(spark, "stream-progress"), empty, score, compact=2).awaitTermination()
+    files, vecs, faces = (latest(spark, target, name) for name in ("catalog", "vectors", "faces"))
+    counts = faces.groupBy(F.col("file_id").alias("id")).agg(F.countDistinct("id").alias("n_faces"))
+    out = files.join(vecs.hint("merge"), "id").join(counts.hint("merge"), "id", "left")
+    place = clustering.numbered(out.select("file_path"), "file_path").select("file_path", (F.col("number") + 1).alias("place"))
+    return out.join(place.hint("merge"), "file_path").select("file_path", "file_size", F.coalesce("n_faces", F.lit(0)).cast("bigint").alias("n_faces"), vector_sum("embedding").alias("weight"), "place")

@@ -74,14 +74,15 @@ def pending(found: DataFrame, catalog: DataFrame, force: bool = False) -> DataFr
     """Rows that the catalog doesn't have processed under the same path and hash."""
     if force:
         return found
-    return found.join(catalog.filter("is_processed").select("file_path", "file_hash"), ["file_path", "file_hash"], "left_anti")
+    return found.join(catalog.filter("is_processed").select("file_path", "file_hash").hint("merge"), ["file_path", "file_hash"], "left_anti")
 
 
-def upsert_catalog(catalog: DataFrame, results: DataFrame) -> DataFrame:
+def upsert_catalog(catalog: DataFrame, results: DataFrame, top: int | None = None) -> DataFrame:
     """The catalog after a batch of results (success, seq to order repeated paths, and catalog columns).
 
     New paths get all columns, statics from the path's first result and the rest from its last. Known
-    paths keep STATIC, id and rating and get UPDATED.
+    paths keep STATIC, id and rating and get UPDATED. New ids follow the highest one, or `top` where
+    `catalog` is a part of a larger one.
     """
     results = results.withColumn("is_processed", F.col("success"))
     static, updated = [c for c in STATIC if c in results.columns], [c for c in UPDATED if c in results.columns and c in catalog.columns]
@@ -102,7 +103,7 @@ def upsert_catalog(catalog: DataFrame, results: DataFrame) -> DataFrame:
             value = F.col(c)
         columns.append(value.alias(c))
     merged = both.select(*columns)
-    return with_new_ids(written(merged, "merged"), "file_path") if "id" in catalog.columns else merged
+    return with_new_ids(written(merged, "merged"), "file_path", top=top) if "id" in catalog.columns else merged
 
 
 def with_new_ids(df: DataFrame, order: str, parts: int = 256, top: int | None = None) -> DataFrame:
@@ -122,11 +123,16 @@ def evolve_schema(df: DataFrame, target: str | T.StructType = MEDIA_SCHEMA) -> D
     return df.unionByName(df.sparkSession.createDataFrame([], target), allowMissingColumns=True)
 
 
+def latest_vectors(results: DataFrame) -> DataFrame:
+    """Normalised vectors of successful results(id, success, embedding, seq), the latest of an id."""
+    new = results.filter(F.col("success") & F.col("embedding").isNotNull()).groupBy("id").agg(F.max_by("embedding", "seq").alias("embedding"))
+    return new.select("id", l2_normalize("embedding").alias("embedding"))
+
+
 def append_vectors(index: DataFrame, results: DataFrame) -> DataFrame:
     """index(id, embedding) plus the normalised vectors of successful results(id, success, embedding, seq); the latest of an id wins."""
-    new = results.filter(F.col("success") & F.col("embedding").isNotNull()).groupBy("id").agg(F.max_by("embedding", "seq").alias("embedding"))
-    new = new.select("id", l2_normalize("embedding").alias("embedding"))
-    kept = index.select("id", F.col("embedding").cast("array<double>").alias("embedding")).join(new.select("id"), "id", "left_anti")
+    new = latest_vectors(results)
+    kept = index.select("id", F.col("embedding").cast("array<double>").alias("embedding")).join(new.select("id").hint("merge"), "id", "left_anti")
     return kept.unionByName(new)
 
 

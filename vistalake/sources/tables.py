@@ -52,7 +52,7 @@ def discard(*tables: DataFrame) -> None:
 
 
 def sized(keys: DataFrame, most: int = 1 << 20) -> DataFrame:
-    """A written table of a few keys a row, hinted for a join: it is sent to all tasks if it has `most` rows at most, else both sides are sorted and merged."""
+    """A written or plainly read table of small rows, hinted for a join: it is sent to all tasks if it has `most` rows at most, else both sides are sorted and merged."""
     return keys.hint("broadcast" if keys.count() <= most else "merge")
 
 
