@@ -273,6 +273,9 @@ def test_token_files(spark, odd_texts, tmp_path):
     sizes = [len(r["ids"]) // 4 for r in got]
     assert [r["start"] for r in got] == np.concatenate([[0], np.cumsum(sizes)[:-1]]).tolist()
     assert [r["doc_id"] for r in got] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d))
+    token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), str(tmp_path / "f"), path, file_ids=50)
+    several = token_files.read_token_files(spark, str(tmp_path / "f")).orderBy("start").collect()
+    assert several == got and spark.read.parquet(str(tmp_path / "f" / "blocks")).select("part").distinct().count() > 1
     token_files.write_token_files(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "e"), path)
     assert token_files.read_token_files(spark, str(tmp_path / "e")).count() == 0
 

@@ -25,6 +25,8 @@ from vistalake.llm.shared import documents, fresh_path, written
 from vistalake.llm.words import byte_pieces, chunks, distinct, hash_runs, ranges, text_bytes
 
 LIMIT, STEP, BLOCK_IDS = 20, 64, 1 << 16
+#: Ids of a file, about: the number of files follows the input.
+FILE_IDS = 1 << 22
 #: Words in a generation of a worker's table, and the longest word (bytes) that goes there.
 CACHE, CACHED_LENGTH = 500_000, 64
 #: Kinds of bytes: what joins both ways, white space, letters, digits, others.
@@ -287,7 +289,7 @@ def _write_blocks(lengths: bytes):
     return write
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2) -> None:
+def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, file_ids: int = FILE_IDS) -> None:
     """Ids of all rows of `docs`, ascending by doc_id (null first; rows that share one by their ids), in files under `path`.
 
     Every text gets `end_id` at its end; a null text has only that. Repeated rows are written each, an
@@ -303,8 +305,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
         counts[r["id"]] = r["n"]
     lengths = code_lengths(counts).tobytes()
     spark.createDataFrame([(bytearray(lengths),)], "lengths binary").coalesce(1).write.parquet(f"{path}/code")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = encoded.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "ids")
+    n_files = max(1, -(-int(counts.sum()) // file_ids))
+    ordered = encoded.repartitionByRange(n_files, "doc_id").sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(_write_blocks(lengths), _BLOCKS).write.parquet(f"{path}/blocks")
 
 
