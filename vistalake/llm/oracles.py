@@ -56,10 +56,11 @@ def secrets_sql() -> str:
     quote = lambda s: s.replace("'", "''")
     assign = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
-    def spans(kind: int, pattern: str, group: int, d: str = "d") -> str:
+    def spans(kind: int, pattern: str, group: int, shortest: int, d: str = "d") -> str:
+        """Matches with a secret of `shortest` characters or more; shorter ones go before rows are made of them."""
         return f"""select doc_id, {kind} as kind, list_sum(gaps[1:i]) + coalesce(list_sum(sizes[1:i - 1]), 0) as start, list_sum(gaps[1:i]) + list_sum(sizes[1:i]) as stop, secrets[i] as secret from
-   (select doc_id, list_transform(string_split_regex(t, '{quote(pattern)}'), lambda x: length(x)) as gaps, list_transform(regexp_extract_all(t, '{quote(pattern)}'), lambda x: length(x)) as sizes, regexp_extract_all(t, '{quote(pattern)}', {group}) as secrets,
-     unnest(range(1, len(regexp_extract_all(t, '{quote(pattern)}')) + 1)) as i from {d})"""
+   (select *, unnest(list_filter(range(1, len(secrets) + 1), lambda k: length(secrets[k]) >= {shortest})) as i from
+     (select doc_id, list_transform(string_split_regex(t, '{quote(pattern)}'), lambda x: length(x)) as gaps, list_transform(regexp_extract_all(t, '{quote(pattern)}'), lambda x: length(x)) as sizes, regexp_extract_all(t, '{quote(pattern)}', {group}) as secrets from {d}))"""
 
     least = "case " + " ".join(f"when regexp_matches(secret, '{quote(p)}') then {h}" for _, p, h in CLASSES) + " end"
     allowed = "regexp_matches(secret, '^[^A-Za-z]*$') or (not regexp_matches(secret, '[0-9]') and length(secret) >= 3 * len(regexp_extract_all(secret, '[A-Z]?[a-z]+|[A-Z]+')))"
@@ -69,9 +70,9 @@ def secrets_sql() -> str:
     name = f"[{', '.join(repr(k) for k in KINDS)}][kind + 1]"
     text = f"string_agg(concat({name}, ':', start::varchar, ':', stop::varchar), ',' order by start, kind)"
     return f"""with d as (select doc_id, coalesce(text, '') as t from documents),
-  base as materialized (select doc_id, kind, start::bigint as start, stop::bigint as stop from ({spans(0, assign, 1)}) where length(secret) >= 12
-   union all select doc_id, kind, start, stop from ({spans(1, 'AKIA[A-Z0-9]+', 0)}) where length(secret) >= 18 union all select doc_id, kind, start, stop from ({spans(2, '[0-9a-f]+', 0)}) where length(secret) >= 16),
-  cand as materialized (select doc_id, start, secret, {least} as least_bits from ({spans(3, CANDIDATE, 0, f"(select doc_id, {plain} as t from d)")}) where not ({allowed})),
+  base as materialized (select doc_id, kind, start::bigint as start, stop::bigint as stop from ({spans(0, assign, 1, 12)})
+   union all select doc_id, kind, start, stop from ({spans(1, 'AKIA[A-Z0-9]+', 0, 18)}) union all select doc_id, kind, start, stop from ({spans(2, '[0-9a-f]+', 0, 16)})),
+  cand as materialized (select doc_id, start, secret, {least} as least_bits from ({spans(3, CANDIDATE, 0, 20, f"(select doc_id, {plain} as t from d)")}) where not ({allowed})),
   wins as (select doc_id, start, least_bits, pos, substr(secret, pos::int + 1, {WINDOW}) as win from (select *, unnest(range(0, length(secret) - {WINDOW - 1})) as pos from cand)),
   chars as (select doc_id, start, least_bits, pos, c, count(*) as n from (select *, unnest(string_split(win, '')) as c from wins) where c <> '' group by all),
   dense as (select doc_id, start, pos from chars group by doc_id, start, pos, least_bits having log2({WINDOW}) - sum(n * log2(n)) / {WINDOW} >= least_bits - 1e-9),
@@ -82,4 +83,31 @@ def secrets_sql() -> str:
   select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(b.s, '')) as base_sha256, coalesce(e.s, '') as spans from d left join b using (doc_id) left join e using (doc_id)"""
 
 
-ORACLE = {"op1_substring_dedup": SUBSTRING, "op4_quality_rules": quality_sql(), "op7_ngram_jaccard_join": JACCARD, "op9_secret_scan": secrets_sql()}
+AUDIT_LETTERS = "ABCDE"
+AUDIT = f"""with recursive {WORDS}, t as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
+  lab as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+  least_id as (select t, min(doc_id) as m from t group by t),
+  fails as (select t.doc_id, part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * len(regexp_extract_all(t.t, '[A-Z]')) > 5 * length(t.t), regexp_matches(t.t, '[#$%&*|]'), m < t.doc_id] as f
+   from t join w using (doc_id) join least_id on least_id.t = t.t left join lab on lab.doc_id = t.doc_id),
+  cells as materialized (select part, f, count(*) as n, sum(good) as good, sum(toxic) as toxic from fails group by all),
+  letters as (select unnest(range(1, 6)) as k, unnest(string_split('{AUDIT_LETTERS}', '')) as letter),
+  orders(filter_order, used) as (select '', []::bigint[] union all select concat(filter_order, letter), list_append(used, k) from orders, letters where not list_contains(used, k)),
+  steps as (select filter_order, used, unnest(range(1, 6)) as step from orders where len(used) = 5),
+  done as (select part, filter_order, step, used[step] as k, n, good, toxic, f, list_filter(used, lambda x: f[x])[1] as gone_by from steps, cells),
+  sums as (select part, filter_order, step, k, coalesce(sum(n) filter (gone_by is null or list_position(string_split(filter_order, ''), substr('{AUDIT_LETTERS}', gone_by::int, 1)) > step), 0)::bigint as kept,
+   coalesce(sum(n) filter (gone_by = k), 0)::bigint as removed, coalesce(sum(n) filter (f[k] and gone_by <> k), 0)::bigint as redundant, coalesce(sum(n) filter (f[k] and len(list_filter(f, lambda x: x)) = 1), 0)::bigint as unique_fails,
+   coalesce(sum(good) filter (gone_by = k), 0)::bigint as good_lost, coalesce(sum(toxic) filter (gone_by = k), 0)::bigint as toxic_lost from done group by all)
+  select part, filter_order, step::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, k))::bigint as shapley from sums"""
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+SEARCH = f"""with d as materialized (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}') as terms from documents),
+  q as materialized (select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}')) as term from benchmark),
+  c as (select count(*) as docs, sum(len(terms)) as total from d where len(terms) > 0),
+  tf as materialized (select doc_id, n, term, count(*) as tf from (select doc_id, len(terms) as n, unnest(terms) as term from d) where term in (select term from q) group by all),
+  w as (select term, floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as w from tf, c group by term),
+  scored as (select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))))::bigint as score from tf join w using (term) join q using (term), c group by item_id, doc_id)
+  select item_id, rank::int as rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0) where rank <= 10"""
+
+
+ORACLE = {"op1_substring_dedup": SUBSTRING, "op4_quality_rules": quality_sql(), "op7_ngram_jaccard_join": JACCARD, "op9_secret_scan": secrets_sql(),
+          "op12_filter_interaction": AUDIT, "op13_lexical_search": SEARCH}
