@@ -11,10 +11,12 @@ from vistalake.llm.lm import op8_lm_scoring
 from vistalake.llm.oracles import ORACLE  # noqa: F401 - read with QUERIES
 from vistalake.llm.quality import op4_quality_rules
 from vistalake.llm.secrets import op9_secret_scan
+from vistalake.llm.search import op13_lexical_search
 from vistalake.llm.sharding import op10_sharding
 from vistalake.llm.substring import op1_substring_dedup
 from vistalake.llm.token_files import op5_token_files
 
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_benchmark_decontamination, op3_bpe_encode_decode, op4_quality_rules, op5_token_files,
-    op6_license_scan, op7_ngram_jaccard_join, op8_lm_scoring, op9_secret_scan, op10_sharding, op12_filter_interaction)}
+    op6_license_scan, op7_ngram_jaccard_join, op8_lm_scoring, op9_secret_scan, op10_sharding,
+    op12_filter_interaction, op13_lexical_search)}
