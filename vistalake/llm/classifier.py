@@ -71,6 +71,7 @@ def text_features(texts: pa.Array) -> np.ndarray:
     beside = np.flatnonzero(owner[1:] == owner[:-1])
     start, run = runs(words, 3)
     edge = np.unique(np.concatenate([at[:-1][size > 0], np.flatnonzero(data == 10) + 1]))
+    edge = edge[edge < len(data)]  # a line feed at the end begins no line
     ends = np.append(edge[1:], len(data))
     line_of = np.searchsorted(at, edge, "right") - 1
     n_lines, n_runs = _per_text(line_of, n), _per_text(owner[start], n)
@@ -134,7 +135,7 @@ class Model:
         return out
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        return self.inputs(x) @ self.w
+        return (self.inputs(x) * self.w).sum(axis=1)  # row by row: equal texts have equal scores
 
 
 def _risk_sums(model: Model) -> Callable[[pa.RecordBatch], np.ndarray]:
