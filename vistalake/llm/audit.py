@@ -68,17 +68,17 @@ def failure_cells(docs: DataFrame, labels: DataFrame, failures: Mapping[str, Col
 
 def steps(cells: DataFrame, letters: str) -> DataFrame:
     """(prefix, step, letter, mask, kept, removed, redundant): for each way to begin an order, and each mask in `cells`, what its last step does to documents of that mask (0 or 1)."""
-    filters = cells.sparkSession.createDataFrame([(x, _bit(letters, x)) for x in letters], "letter string, bit int")
+    filters = ", ".join(f"struct('{x}' as letter, {_bit(letters, x)} as bit)" for x in letters)
     return cells.sparkSession.sql(
-        """with recursive walk(prefix, step, letter, mask, applied, kept, removed, redundant) as (
-             select '', 0, '', mask, 0, 1, 0, 0 from (select distinct mask from {cells})
+        f"""with recursive walk(prefix, step, letter, mask, applied, kept, removed, redundant) as (
+             select '', 0, '', mask, 0, 1, 0, 0 from (select distinct mask from {{cells}})
              union all
              select concat(w.prefix, f.letter), w.step + 1, f.letter, w.mask, w.applied | f.bit,
                     case when w.mask & (w.applied | f.bit) = 0 then 1 else 0 end,
                     case when w.mask & f.bit <> 0 and w.mask & w.applied = 0 then 1 else 0 end,
                     case when w.mask & f.bit <> 0 and w.mask & w.applied <> 0 then 1 else 0 end
-             from walk w join {filters} f on w.applied & f.bit = 0)
-           select * from walk where step > 0""", cells=cells, filters=filters)
+             from walk w lateral view inline(filter(array({filters}), x -> w.applied & x.bit = 0)) f as letter, bit)
+           select * from walk where step > 0""", cells=cells)
 
 
 def audit_filters(cells: DataFrame, letters: str) -> DataFrame:
@@ -87,7 +87,7 @@ def audit_filters(cells: DataFrame, letters: str) -> DataFrame:
     `cells` has part, mask, n, good and toxic; bit k of mask is the filter letters[k]. shapley is what the step's
     filter removes, summed over all orders. A part without rows doesn't appear, so an empty table gives none.
     """
-    if not 1 <= len(letters) <= 6 or len(set(letters)) < len(letters):
+    if not 1 <= len(letters) <= 6 or len(set(letters)) < len(letters) or not letters.isalpha():
         raise ValueError("one to six different letters")  # 1 957 prefixes of six
     walk = written(steps(cells, letters), "filter-steps")
     only = F.when(F.col("mask") == F.element_at(F.create_map(*[F.lit(y) for x in letters for y in (x, _bit(letters, x))]), F.col("letter")), 1).otherwise(0)
