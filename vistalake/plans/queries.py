@@ -13,7 +13,7 @@ from vistalake.functions.vectors import l2_normalize, norm
 from vistalake.operators import clustering, duplicates, frames, listing, organize, progress, scoring, similarity, tagging, text
 from vistalake.plans.views import catalog, table, view, with_views
 from vistalake.sources import catalog as sources
-from vistalake.sources import tables
+from vistalake.sources import folders, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -61,6 +61,42 @@ def s1_inventory(spark, sf_dir):
     return sources.inventory(view(spark, sf_dir, "manifest"), exclude=("/lib/sorted",)).select("path", "length")
 
 
+def files_of_documents(spark: SparkSession, sf_dir: str) -> str:
+    """A folder in which each document is a file, with names that Spark's own listing hides, in dot-folders and an excluded folder as well."""
+    target = tables.fresh_path(spark, "files")
+
+    def store(batches):
+        import pyarrow as pa
+        from pyarrow.fs import FileSystem
+
+        fs, root = FileSystem.from_uri(target if ":/" in target else f"file://{target}")
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                fs.create_dir(f"{root}/{path}".rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(f"{root}/{path}") as f:
+                    f.write(content)
+            yield pa.RecordBatch.from_arrays([batch.column("path")], ["path"])
+
+    folder = F.element_at(F.array(*[F.lit(x) for x in ("a", "a/_b", ".cache", "sorted", "sorted2/c/.git", "a/b.c/d")]), (F.col("doc_id") % 6 + 1).cast("int"))
+    name = F.element_at(F.array(*[F.lit(x) for x in (".JPG", ".mp4", ".txt", ".webp")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    first = F.element_at(F.array(*[F.lit(x) for x in ("d", "_d", ".d")]), (F.col("doc_id") % 7 % 3 + 1).cast("int"))
+    docs = table(spark, sf_dir, "documents").select(F.concat(folder, F.lit("/"), first, F.col("doc_id").cast("string"), name).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    docs.mapInArrow(store, "path string").write.format("noop").mode("overwrite").save()
+    return target
+
+
+@query("""with d as (select concat(['a', 'a/_b', '.cache', 'sorted', 'sorted2/c/.git', 'a/b.c/d'][doc_id % 6 + 1], '/', ['d', '_d', '.d'][doc_id % 7 % 3 + 1], doc_id::varchar, ['.JPG', '.mp4', '.txt', '.webp'][doc_id % 4 + 1]) as path,
+   encode(coalesce(text, '')) as b, doc_id from documents)
+  select path, octet_length(b)::bigint as length, md5(concat(lower(hex(b[1:8192])), '_', lower(hex(b[greatest(octet_length(b) - 8191, 1):])))) as ends, case when doc_id % 4 = 1 then 'video' else 'image' end as media_type
+  from d where doc_id % 6 in (0, 1, 5) and doc_id % 4 <> 2""")
+def s1_list_folders(spark, sf_dir):
+    root = files_of_documents(spark, sf_dir)
+    plain = folders.plain_path(root)
+    found = sources.inventory(folders.list_folders(spark, root, exclude=(f"{plain}/sorted",)), root=plain)
+    ends = F.md5(F.concat(F.lower(F.hex("head")), F.lit("_"), F.lower(F.hex("tail"))))
+    return sources.with_media_type(found).select(F.expr(f"substring(path, {len(plain) + 2})").alias("path"), "length", ends.alias("ends"), "media_type")
+
+
 @query("select path, case when regexp_matches(lower(path), '\\.(mp4|avi|mov|mkv|webm)$') then 'video' else 'image' end as media_type from manifest", "manifest")
 def s2_media_type(spark, sf_dir):
     return sources.with_media_type(view(spark, sf_dir, "manifest")).select("path", "media_type")

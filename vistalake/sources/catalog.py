@@ -26,19 +26,20 @@ UPDATED = ("file_hash", "is_processed", "error_msg", "modified_at", "tags", "cha
 
 
 def extension(path: Column | str) -> Column:
-    """Lower-cased extension with its dot; '' without one."""
-    return F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1))
+    """Lower-cased extension with its dot; '' without one. Dots that a name begins with start no extension."""
+    return F.lower(F.regexp_extract(path, r"[^/.][^/]*(\.[^./]*)$", 1))
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Manifest (path, length, modified_at) of all files under `root`, contents unread. Spark's listing hides names that begin with `_` or `.`."""
+    """Manifest (path, length, modified_at) of all files under `root`, contents unread. Spark's listing hides names that begin with `_` or `.`: see folders.list_folders."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     return files.select("path", "length", F.unix_micros("modificationTime").alias("modified_us"), (F.unix_micros("modificationTime") / 1e6).alias("modified_at"))
 
 
-def inventory(manifest: DataFrame, exclude: tuple[str, ...] = (), extensions: tuple[str, ...] = IMAGE_EXTENSIONS + VIDEO_EXTENSIONS) -> DataFrame:
-    """Rows of `manifest` (path, ...) with an allowed extension, outside dot-directories and excluded directories."""
-    out = manifest.filter(extension("path").isin(*[e.lower() for e in extensions]) & ~F.col("path").rlike(r"/\.[^/]*/"))
+def inventory(manifest: DataFrame, exclude: tuple[str, ...] = (), extensions: tuple[str, ...] = IMAGE_EXTENSIONS + VIDEO_EXTENSIONS, root: str = "") -> DataFrame:
+    """Rows of `manifest` (path, ...) with an allowed extension, outside dot-directories below `root` and excluded directories."""
+    below = F.substr("path", F.lit(len(root.rstrip("/")) + 1)) if root else F.col("path")
+    out = manifest.filter(extension("path").isin(*[e.lower() for e in extensions]) & ~below.rlike(r"/\.[^/]*/"))
     for directory in exclude:
         out = out.filter(~F.col("path").startswith(directory.rstrip("/") + "/"))
     return out
