@@ -179,8 +179,7 @@ def test_stream_replaces_vectors_and_faces(spark, tmp_path):
     assert seen[2][1:] == ({"/a.jpg": 0.0, "/b.jpg": 0.0, "/c.jpg": half}, [("/a.jpg", 0)] + [("/c.jpg", k) for k in range(3)])
     assert seen[3] == seen[2]  # processed under this hash
     assert seen[4][1:] == ({"/a.jpg": 0.0, "/b.jpg": 0.0, "/c.jpg": 0.0}, [("/a.jpg", 0), ("/c.jpg", 0)])
-    kept = {p.name for p in (tmp_path / "out" / "catalog").iterdir()}
-    assert kept == {"whole-1", "delta-2", "delta-3", "whole-3", "delta-4"}
+    assert {p.name for p in (tmp_path / "out" / "commits").iterdir()} == {"batch-3", "batch-4"}
 
 
 @pytest.mark.parametrize("rows", [8, 64])

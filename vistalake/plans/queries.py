@@ -735,7 +735,7 @@ def b4_stream_ingest(spark, sf_dir):
         return fresh.select("file_path", "file_hash", F.lit(True).alias("success"), F.lit(None).cast("string").alias("error_msg"), F.lit(1).alias("seq"))
 
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    stream_ingest(spark, stream, target, tables.fresh_path(spark, "stream-progress"), empty, score).awaitTermination()
+    stream_ingest(spark, stream, target, tables.fresh_path(spark, "stream-progress"), empty, score, buckets=8).awaitTermination()
     return latest(spark, target).select("file_path", "file_hash", "is_processed")
 
 
@@ -757,7 +757,7 @@ def b4_stream_vectors(spark, sf_dir):
                             "embedding", F.array_repeat("embedding", n).alias("face_vectors"), F.array().cast("array<struct<timestamp:double>>").alias("faces"))
 
     stream = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    stream_ingest(spark, stream, target, tables.fresh_path(spark, "stream-progress"), empty, score, compact=2).awaitTermination()
+    stream_ingest(spark, stream, target, tables.fresh_path(spark, "stream-progress"), empty, score, compact=2, buckets=8).awaitTermination()
     files, vecs, faces = (latest(spark, target, name) for name in ("catalog", "vectors", "faces"))
     counts = faces.groupBy(F.col("file_id").alias("id")).agg(F.countDistinct("id").alias("n_faces"))
     out = files.join(vecs.hint("merge"), "id").join(counts.hint("merge"), "id", "left")

@@ -2,112 +2,81 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vistalake.sources.catalog import explode_faces, inventory, latest_vectors, pending, upsert_catalog, with_media_type, with_new_ids
+from vistalake.sources.keyed import BUCKETS, COMPACT, Commits, KeyedTable, highest
 from vistalake.sources.tables import discard, written
 
 #: A row of the newest version replaces the older rows of its key; all face rows of a file go together.
 KEYS = {"catalog": "file_path", "vectors": "id", "faces": "file_id"}
 
 
-def _folder(spark: SparkSession, path: str):
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+def state_table(spark: SparkSession, path: str, table: str, buckets: int = BUCKETS, compact: int = COMPACT) -> KeyedTable:
+    return KeyedTable(spark, f"{path}/{table}", KEYS[table], buckets, compact, "face_index is null" if table == "faces" else None)
 
 
-def _versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
-    """(batch, delta or whole) of the finished versions of a table, oldest first."""
-    folder, fs = _folder(spark, path)
-    if not fs.exists(folder):
-        return []
-    names = [(s.getPath(), re.fullmatch(r"(delta|whole)-(\d+)", s.getPath().getName())) for s in fs.listStatus(folder)]
-    return sorted((int(m[2]), m[1]) for p, m in names if m and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-
-
-def _stored(spark: SparkSession, path: str, table: str, below: int) -> DataFrame | None:
-    """Rows of all versions under batch `below` that count, with their _version: the newest whole one and the deltas after it."""
-    found = [v for v in _versions(spark, f"{path}/{table}") if v[0] < below]
-    since = max((n for n, kind in found if kind == "whole"), default=-1)
-    paths = [f"{path}/{table}/{kind}-{n}" for n, kind in found if n > since or (n == since and kind == "whole")]
-    if not paths:
+def latest(spark: SparkSession, path: str, table: str = "catalog", keys: DataFrame | None = None) -> DataFrame | None:
+    """The newest state of a table of stream_ingest, if there is one; with `keys` (a table with the key's column) only the rows of these, from their buckets alone. Batches that aren't committed don't count."""
+    done = Commits(spark, f"{path}/commits").last()
+    if done is None:
         return None
-    return spark.read.parquet(*paths).withColumn("_version", F.regexp_extract("_metadata.file_path", r"/(?:delta|whole)-(\d+)/[^/]*$", 1).cast("int"))
-
-
-def _state(spark: SparkSession, path: str, table: str, below: int) -> DataFrame | None:
-    """The table as of the batches under `below`."""
-    rows = _stored(spark, path, table, below)
-    if rows is None:
-        return None
-    newest = F.max("_version").over(Window.partitionBy(KEYS[table]))
-    rows = rows.withColumn("_newest", newest).filter("_version = _newest").drop("_version", "_newest")
-    return rows.filter("face_index is not null") if table == "faces" else rows
-
-
-def latest(spark: SparkSession, path: str, table: str = "catalog") -> DataFrame | None:
-    """The newest state of a table of stream_ingest, if there is one. Batches whose catalog isn't written yet don't count."""
-    done = [n for n, _ in _versions(spark, f"{path}/catalog")]
-    return _state(spark, path, table, max(done) + 1) if done else None
+    stored = state_table(spark, path, table, done["buckets"])
+    if keys is None:
+        return stored.read(done["batch"] + 1)
+    found = stored.read(done["batch"] + 1, stored.touched(keys))
+    return None if found is None else found.join(keys.select(KEYS[table]).distinct().hint("merge"), KEYS[table], "left_semi")
 
 
-def _put(rows: DataFrame, path: str, table: str, number: int, compact: int) -> None:
-    """Write a batch's rows; every `compact` batches also the whole state, after which what is older than the last whole state goes."""
-    spark = rows.sparkSession
-    rows.write.mode("overwrite").parquet(f"{path}/{table}/delta-{number}")
-    if (number + 1) % compact == 0:
-        wholes = [n for n, kind in _versions(spark, f"{path}/{table}") if kind == "whole" and n < number]
-        _state(spark, path, table, number + 1).write.mode("overwrite").parquet(f"{path}/{table}/whole-{number}")
-        for n, kind in _versions(spark, f"{path}/{table}"):
-            if wholes and n < wholes[-1] or (wholes and n == wholes[-1] and kind == "delta"):
-                old, fs = _folder(spark, f"{path}/{table}/{kind}-{n}")
-                fs.delete(old, True)
-
-
-def _top(spark: SparkSession, path: str, table: str, number: int) -> int:
-    rows = _stored(spark, path, table, number)
-    return 0 if rows is None else rows.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
-
-
-def stream_ingest(spark: SparkSession, source: DataFrame, catalog_path: str, checkpoint: str, empty: DataFrame, score: Callable[[DataFrame], DataFrame], compact: int = 16) -> StreamingQuery:
+def stream_ingest(spark: SparkSession, source: DataFrame, catalog_path: str, checkpoint: str, empty: DataFrame, score: Callable[[DataFrame], DataFrame], compact: int = COMPACT, buckets: int = BUCKETS) -> StreamingQuery:
     """Each micro-batch of a manifest stream: inventory, skip what is processed, score, upsert.
 
     `score` turns manifest rows (path, ..., media_type, file_hash) into results (file_path, file_hash,
     success, seq, ...); `empty` is a catalog without rows. Where the catalog has ids, results may also
     have embedding, and face_vectors with faces: a successful file's vector and faces replace its old
-    ones, a failed one's stay. A batch writes only the rows that it changes, as delta-<batch> of each
-    table, worked out from the versions below it: a batch that is run again after a failure writes the
-    same rows. The catalog comes last and makes the batch count.
+    ones, a failed one's stay. Tables are kept in `buckets` hash buckets of their key (vistalake.sources.keyed):
+    a batch reads and joins the catalog's buckets of its own paths, takes the highest id from the last
+    commit, and writes only the rows that it changes. It is worked out from the versions below it, so a batch that is run
+    again after a failure writes the same rows; the commit comes last and makes it count.
     """
     def batch(rows: DataFrame, number: int) -> None:
         session = rows.sparkSession
-        before = _state(session, catalog_path, "catalog", number)
-        catalog = before if before is not None else empty
+        commits = Commits(session, f"{catalog_path}/commits")
+        done = commits.last(number)
+        if done is not None and done["buckets"] != buckets:
+            raise ValueError(f"the tables have {done['buckets']} buckets, not {buckets}")
+        stored = {name: state_table(session, catalog_path, name, buckets, compact) for name in KEYS}
+        tops = dict(done["tops"]) if done else {}
         found = with_media_type(inventory(rows)).withColumn("file_path", F.col("path"))
+        before = stored["catalog"].read(number, stored["catalog"].touched(found))
+        catalog = before if before is not None else empty
         results = written(score(pending(found, catalog)), "scored")
         known = catalog.join(results.select("file_path").distinct().hint("merge"), "file_path", "left_semi").select(*catalog.columns)
+        changed = written(upsert_catalog(known, results, tops.get("catalog", 0)), "changed")
         if "id" not in catalog.columns:
-            _put(upsert_catalog(known, results), catalog_path, "catalog", number, compact)
-            discard(results)
+            stored["catalog"].put(changed, number)
+            commits.put(number, buckets, tops)
+            discard(results, changed)
             return
-        changed = written(upsert_catalog(known, results, _top(session, catalog_path, "catalog", number)), "changed")
         mine = results.join(changed.select("id", "file_path").hint("merge"), "file_path")
         if "embedding" in results.columns:
-            _put(latest_vectors(mine), catalog_path, "vectors", number, compact)
+            stored["vectors"].put(latest_vectors(mine), number)
         if "face_vectors" in results.columns:
             last = mine.filter("success").groupBy(F.col("id").alias("file_id")).agg(F.max_by(F.struct("face_vectors", "faces"), "seq").alias("r")).select("file_id", "r.*")
             faces = explode_faces(last)
             gone = last.filter(F.coalesce(F.size("face_vectors"), F.lit(0)) <= 0).select("file_id", F.lit(-1).cast("bigint").alias("id"))  # no face replaces those before
             new = written(faces.withColumn("id", F.lit(None).cast("bigint")).withColumn("_key", F.struct("file_id", "face_index")), "new-faces")
-            numbered = with_new_ids(new, "_key", top=_top(session, catalog_path, "faces", number)).drop("_key")
-            _put(numbered.unionByName(gone, allowMissingColumns=True), catalog_path, "faces", number, compact)
-            discard(new)
-        _put(changed, catalog_path, "catalog", number, compact)
+            numbered = written(with_new_ids(new, "_key", top=tops.get("faces", 0)).drop("_key").unionByName(gone, allowMissingColumns=True), "numbered-faces")
+            stored["faces"].put(numbered, number)
+            tops["faces"] = highest(tops, "faces", numbered)
+            discard(new, numbered)
+        stored["catalog"].put(changed, number)
+        tops["catalog"] = highest(tops, "catalog", changed)
+        commits.put(number, buckets, tops)
         discard(results, changed)
 
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
