@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vistalake.functions.vectors import dot, l2_normalize
+from vistalake.operators.listing import filter_results
+from vistalake.operators.text import snippets, text_hits
+from vistalake.operators.text_index import SegmentIndex
 from vistalake.sources.tables import sized, written
 
 #: Rows of a block of the pair join, and rows multiplied at once inside a block pair.
@@ -193,10 +196,13 @@ def same_fingerprint(catalog: DataFrame) -> DataFrame:
     return catalog.groupBy("file_hash").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).filter("n > 1")
 
 
-def hybrid_search(catalog: DataFrame, vectors: DataFrame, segments: DataFrame, query_text: str, query: list[float], k: int = 50, text_limit: int = 20) -> DataFrame:
-    """V3: text hits first, then vector hits; score is the vector's, else 1.0; with snippets (made for the k rows only). No query, no rows."""
-    from vistalake.operators.text import snippets, text_hits
+def hybrid_search(catalog: DataFrame, vectors: DataFrame, segments: DataFrame | SegmentIndex, query_text: str, query: list[float], k: int = 50, text_limit: int = 20) -> DataFrame:
+    """V3: text hits first, then vector hits; score is the vector's, else 1.0; with snippets (made for the k rows only). No query, no rows.
 
+    `segments` is a table, which is scanned, or an index, whose hits are read once.
+    """
+    if isinstance(segments, SegmentIndex):
+        segments = written(segments.matching(query_text), "matching-segments")
     hits = text_hits(catalog, segments, query_text, text_limit).select("id", F.lit(True).alias("text_hit"))
     near = top_k_similar(vectors, query, k).join(catalog.select("id"), "id")
     both = hits.join(near.hint("merge"), "id", "full_outer").filter(F.lit(bool(query_text)))
@@ -208,11 +214,9 @@ def hybrid_search(catalog: DataFrame, vectors: DataFrame, segments: DataFrame, q
     return named.select("id", "file_path", "media_type", F.coalesce("score", F.lit(1.0)).alias("score"), "text_hit", "snippet")
 
 
-def filtered_search(catalog: DataFrame, vectors: DataFrame, segments: DataFrame, query_text: str, query: list[float], k: int = 50, text_limit: int = 20, pre_filter: bool = False,
+def filtered_search(catalog: DataFrame, vectors: DataFrame, segments: DataFrame | SegmentIndex, query_text: str, query: list[float], k: int = 50, text_limit: int = 20, pre_filter: bool = False,
                     media_type: str | None = None, character: str | None = None, series: str | None = None) -> DataFrame:
     """F5 on V3: hybrid_search of the rows that pass filter_results, filtered after ranking (up to k rows stay), or before it with `pre_filter` (k rows if so many pass)."""
-    from vistalake.operators.listing import filter_results
-
     kept = filter_results(catalog, media_type, character, series)
     if pre_filter:
         return hybrid_search(kept, vectors.join(kept.select("id").hint("merge"), "id", "left_semi"), segments, query_text, query, k, text_limit)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _contains(text: Column, query: str) -> Column:
+def contains_text(text: Column, query: str) -> Column:
+    """Whether the text holds the query, whatever the case; wildcards are ordinary characters."""
     return F.contains(F.lower(text), F.lit(query.lower()))
 
 
@@ -19,13 +20,13 @@ def segments_table(catalog: DataFrame) -> DataFrame:
 
 def text_hits(catalog: DataFrame, segments: DataFrame, query: str, limit: int = 20) -> DataFrame:
     """The first `limit` videos, by id, with a segment that contains the query, whatever the case; wildcards are ordinary characters."""
-    ids = segments.filter(_contains(F.col("text"), query)).select("id").distinct()
+    ids = segments.filter(contains_text(F.col("text"), query)).select("id").distinct()
     return catalog.filter("media_type = 'video'").join(ids.hint("merge"), "id", "left_semi").orderBy("id").limit(limit)
 
 
 def snippets(segments: DataFrame, query: str) -> DataFrame:
     """Id, snippet: the first spoken segment with the query, else the first frame text with it."""
-    hits = segments.filter(_contains(F.col("text"), query))
+    hits = segments.filter(contains_text(F.col("text"), query))
     first = lambda kind: F.min(F.when(F.col("kind") == kind, F.struct("pos", "start_s", "text")))
     best = hits.groupBy("id").agg(first("audio").alias("a"), first("video").alias("v"))
     said = lambda name, c: F.format_string(f"[{name} @%.1fs] %s", F.col(f"{c}.start_s"), F.col(f"{c}.text"))

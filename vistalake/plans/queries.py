@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vistalake.functions.hashes import dhash, hamming
 from vistalake.functions.vectors import l2_normalize, norm
-from vistalake.operators import clustering, duplicates, frames, listing, organize, progress, scoring, similarity, tagging, text
+from vistalake.operators import clustering, duplicates, frames, listing, organize, progress, scoring, similarity, tagging, text, text_index
 from vistalake.plans.views import catalog, table, view, with_views
 from vistalake.sources import catalog as sources
 from vistalake.sources import folders, tables
@@ -342,7 +342,8 @@ def v2_top_k_batch(spark, sf_dir):
     (select id, min(case when kind = 'audio' then {{'pos': pos, 'start_s': start_s, 'text': text}} end) as a, min(case when kind = 'video' then {{'pos': pos, 'start_s': start_s, 'text': text}} end) as v
      from seg where contains(lower(text), 'thing') group by id)) using (id)""", "media", "seg")
 def v3_hybrid_search(spark, sf_dir):
-    found = similarity.hybrid_search(view(spark, sf_dir, "media"), vectors(spark, sf_dir), view(spark, sf_dir, "seg"), "thing", query_vector(spark, sf_dir))
+    index = text_index.SegmentIndex.build(view(spark, sf_dir, "seg"))
+    found = similarity.hybrid_search(view(spark, sf_dir, "media"), vectors(spark, sf_dir), index, "thing", query_vector(spark, sf_dir))
     return found.withColumn("score", rounded("score"))
 
 
@@ -533,7 +534,8 @@ def m8_clean_descriptions(spark, sf_dir):
 
 @query("select id, file_path from media where media_type = 'video' and id in (select id from seg where contains(lower(text), 'thing')) order by id limit 20", "media", "seg")
 def x1_text_hits(spark, sf_dir):
-    return text.text_hits(view(spark, sf_dir, "media"), view(spark, sf_dir, "seg"), "Thing").select("id", "file_path")
+    index = text_index.SegmentIndex.build(view(spark, sf_dir, "seg"))
+    return text.text_hits(view(spark, sf_dir, "media"), index.matching("Thing"), "Thing").select("id", "file_path")
 
 
 @query("""select id, case when a is not null then format('[Audio @{:.1f}s] {}', a.start_s, a.text) else format('[Video @{:.1f}s] {}', v.start_s, v.text) end as snippet from
