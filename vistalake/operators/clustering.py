@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vistalake.operators.similarity import close_tiles, dealt_in_blocks
+from vistalake.operators.similarity import BLOCK_ROWS, Blocks, close_tiles
 from vistalake.sources.tables import written
 
 
@@ -72,17 +72,20 @@ def numbered(names: DataFrame, column: str) -> DataFrame:
     return dealt.withColumn("_rank", rank).join(starts.hint("merge"), "_part").withColumn("number", F.col("_start") + F.col("_rank")).drop("_part", "_rank", "_start")
 
 
-def dbscan(vectors: DataFrame, eps: float = 0.65, min_samples: int = 4) -> DataFrame:
+def dbscan(vectors: DataFrame, eps: float = 0.65, min_samples: int = 4, rows: int = BLOCK_ROWS, pivots: int | None = None) -> DataFrame:
     """Id, cluster_id of vectors(id, embedding) by Euclidean distance of unit vectors, a point counting itself.
 
     Clusters are numbered from 0 by their least core id; a border point takes the lowest number next to
     it; noise is -1. Neighbours are counted and joined where blocks meet: pairs are never written, only
-    one row for each point and tile.
+    one row for each point and tile. Pairs of blocks that are too far apart are not made, and points
+    without a neighbour are dealt once only.
     """
     low, points = 1 - eps * eps / 2, vectors.select("id", "embedding")
-    degree = dealt_in_blocks(points).groupBy("p", "q").applyInArrow(_degrees(low), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    marked = written(points.join(degree.hint("merge"), "id", "left").select("id", "embedding", (F.coalesce("n", F.lit(0)) + 1 >= min_samples).alias("core")), "core-points")
-    bonds = written(dealt_in_blocks(marked).groupBy("p", "q").applyInArrow(_bonds(low), "a long, b long, core boolean").distinct(), "cluster-bonds")
+    blocks = Blocks(points, low, rows, pivots)
+    degree = blocks.deal(blocks.rows).groupBy("p", "q").applyInArrow(_degrees(low), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = blocks.rows.join(degree.hint("merge"), "id", "left")
+    marked = written(counted.select("id", "embedding", "cell", "own", F.col("n").isNotNull().alias("beside_others"), (F.coalesce("n", F.lit(0)) + 1 >= min_samples).alias("core")), "core-points")
+    bonds = written(blocks.deal(marked.filter("beside_others").drop("beside_others")).groupBy("p", "q").applyInArrow(_bonds(low), "a long, b long, core boolean").distinct(), "cluster-bonds")
     inner = bonds.filter("core")
     edges = inner.select("a", "b").unionByName(inner.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = connected(marked.filter("core").select("id", F.col("id").alias("label")), edges)

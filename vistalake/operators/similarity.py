@@ -20,6 +20,8 @@ from vistalake.sources.tables import sized, written
 #: Rows of a block of the pair join, and rows multiplied at once inside a block pair.
 BLOCK_ROWS, TILE_ROWS = 8192, 2048
 PAIR = "id_a long, id_b long, similarity double"
+#: Blocks from which on pivots are used, and pivots at most.
+PIVOT_BLOCKS, PIVOTS = 32, 1024
 #: Anchors (tags, categories) that are sent to all tasks at a time: about 60 MB of 768 numbers each.
 ANCHORS = 10_000
 
@@ -80,16 +82,73 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, rows: int =
     return found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
 
 
-def dealt_in_blocks(vectors: DataFrame) -> DataFrame:
-    """`vectors` (id, embedding, ...) with own block and each pair (p, q) of blocks that holds it.
+class Blocks:
+    """A table of vectors in blocks, and which pairs of blocks may hold pairs of rows with a cosine of `low` or more.
 
-    Rows fall into B blocks and go to the B block pairs that hold their block. B follows the number of
-    rows, so a block stays of BLOCK_ROWS rows.
+    rows: the table with two more columns, cell and own (its block). Small tables are cut by hash, and every pair of
+    blocks counts. From PIVOT_BLOCKS blocks on, rows go to the nearest of at most PIVOTS pivots, chosen far apart from a sample of eight times as many; a cell has a radius,
+    the largest angle to its pivot, and large cells are cut by hash. By the triangle inequality on angles, rows of
+    two cells are at least angle(pivots) - radius - radius apart: where that is more than acos(low), their pair is not sent.
     """
-    n = max(4, -(-vectors.count() // BLOCK_ROWS))
-    own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    rows = vectors.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return rows.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).drop("other")
+
+    def __init__(self, vectors: DataFrame, low: float, rows: int = BLOCK_ROWS, pivots: int | None = None):
+        total = vectors.count()
+        n = max(4, -(-total // rows))
+        self.partners, self.spark = None, vectors.sparkSession
+        if low <= 0 or (pivots is None and n < PIVOT_BLOCKS):
+            self.n, self.kept = n, n * (n + 1) // 2
+            self.rows = vectors.withColumn("cell", F.lit(0)).withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+            return
+        wanted = pivots or min(PIVOTS, 4 * n)
+        sample = vectors.filter(F.col("embedding").isNotNull()).select("id", "embedding").orderBy(F.xxhash64("id", F.lit(7)), "id").limit(8 * wanted)
+        matrix = _spread(_matrix(sample.select("embedding").toArrow().column("embedding")), wanted)  # of at most 8 * PIVOTS rows
+        sent = self.spark.sparkContext.broadcast(matrix)
+        cell = written(vectors.select("id", "embedding").mapInArrow(_nearest(sent), "id long, cell int, angle double"), "pivot-cells")
+        sizes = cell.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).orderBy("cell").collect()  # at most PIVOTS rows
+        parts = np.array([-(-r["n"] // rows) for r in sizes])
+        first, names = np.cumsum(parts) - parts, np.array([r["cell"] for r in sizes], int)
+        radius = np.array([r["radius"] for r in sizes])
+        apart = np.arccos(np.clip(matrix[names] @ matrix[names].T, -1, 1)) - radius[:, None] - radius[None, :]
+        near = apart <= math.acos(min(1.0, low)) + 1e-6
+        np.fill_diagonal(near, True)
+        others = [np.concatenate([np.arange(first[j], first[j] + parts[j]) for j in np.flatnonzero(row)]).tolist() for row in near]
+        self.n = int(parts.sum())
+        self.kept = sum(len(o) * int(k) for o, k in zip(others, parts)) // 2 + (self.n + 1) // 2
+        table = [(int(c), int(f), int(k)) for c, f, k in zip(names, first, parts)]
+        places = self.spark.createDataFrame(table, "cell int, first int, parts int").hint("broadcast")
+        self.partners = written(self.spark.createDataFrame([(int(c), o) for c, o in zip(names, others)], "cell int, others array<int>"), "block-partners").hint("broadcast")
+        placed = vectors.join(cell.select("id", "cell").hint("merge"), "id").join(places, "cell")
+        self.rows = placed.withColumn("own", F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("first", "parts")
+
+    def deal(self, rows: DataFrame) -> DataFrame:
+        """`rows` (of this table, with cell and own) once for each pair of blocks (p, q) that their own block is in."""
+        if self.partners is None:
+            out = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(self.n - 1))))
+        else:
+            out = rows.join(self.partners, "cell").withColumn("other", F.explode("others")).drop("others")
+        return out.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).drop("other", "cell")
+
+
+def _spread(rows: np.ndarray, n: int) -> np.ndarray:
+    """`n` of the rows, each the farthest from those before it, so that cells are small."""
+    chosen, nearest = [0] if len(rows) else [], rows @ rows[0] if len(rows) else np.zeros(0)
+    while len(chosen) < min(n, len(rows)):
+        chosen.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, rows @ rows[chosen[-1]])
+    return rows[chosen]
+
+
+def _nearest(pivots) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(id, cell, angle): the nearest pivot of each row and the angle to it."""
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, TILE_ROWS):
+                part = batch.slice(low, TILE_ROWS)
+                cosine = _matrix(part.column("embedding")) @ pivots.value.T
+                cell = cosine.argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(cell, pa.int32()), pa.array(np.arccos(np.clip(cosine[np.arange(len(cell)), cell], -1, 1)))], ["id", "cell", "angle"])
+
+    return assign
 
 
 def close_tiles(table: pa.Table, low: float, high: float | None = None, low_open: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -125,10 +184,10 @@ def _close(low: float, high: float | None, low_open: bool = True) -> Callable[[p
     return pairs
 
 
-def block_pairs(vectors: DataFrame, low: float, high: float | None = None, low_open: bool = True) -> DataFrame:
-    """All (id_a, id_b, similarity) with id_a < id_b and cosine in (low, high]; exact. Each pair of blocks is a tiled matrix product."""
-    dealt = dealt_in_blocks(vectors.select("id", "embedding"))
-    return dealt.groupBy("p", "q").applyInArrow(_close(low, high, low_open), PAIR).filter("id_a < id_b")
+def block_pairs(vectors: DataFrame, low: float, high: float | None = None, low_open: bool = True, rows: int = BLOCK_ROWS, pivots: int | None = None) -> DataFrame:
+    """All (id_a, id_b, similarity) with id_a < id_b and cosine in (low, high]; exact. Each pair of blocks is a tiled matrix product; pairs of blocks that are too far apart aren't made."""
+    blocks = Blocks(vectors.select("id", "embedding").filter(F.col("embedding").isNotNull()), low, rows, pivots)
+    return blocks.deal(blocks.rows).groupBy("p", "q").applyInArrow(_close(low, high, low_open), PAIR).filter("id_a < id_b")
 
 
 def similar_pairs(vectors: DataFrame, threshold: float = 0.95, exact_cutoff: float = 0.9999) -> DataFrame:
