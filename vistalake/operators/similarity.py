@@ -8,7 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vistalake.functions.vectors import dot, l2_normalize
@@ -26,7 +26,8 @@ PIVOT_BLOCKS, PIVOTS = 32, 1024
 ANCHORS = 10_000
 
 
-def _matrix(column: pa.Array, unit: bool = True) -> np.ndarray:
+def matrix_of(column: pa.Array, unit: bool = True) -> np.ndarray:
+    """A row for each vector of a column without nulls, of unit length if `unit`."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
@@ -67,7 +68,7 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, rows: int =
         out = {"query_id": [], "id": [], "score": []}
         if data.num_rows and asked.num_rows:
             ids, names = data.column("id").to_numpy(), asked.column("query_id").to_numpy()
-            m, q = _matrix(data.column("embedding"), unit=False), _matrix(asked.column("query"))
+            m, q = matrix_of(data.column("embedding"), unit=False), matrix_of(asked.column("query"))
             for low in range(0, len(names), TILE_ROWS):
                 scores = q[low : low + TILE_ROWS] @ m.T
                 for name, row in zip(names[low : low + TILE_ROWS], scores):
@@ -101,7 +102,7 @@ class Blocks:
             return
         wanted = pivots or min(PIVOTS, 4 * n)
         sample = vectors.filter(F.col("embedding").isNotNull()).select("id", "embedding").orderBy(F.xxhash64("id", F.lit(7)), "id").limit(8 * wanted)
-        matrix = _spread(_matrix(sample.select("embedding").toArrow().column("embedding")), wanted)  # of at most 8 * PIVOTS rows
+        matrix = _spread(matrix_of(sample.select("embedding").toArrow().column("embedding")), wanted)  # of at most 8 * PIVOTS rows
         sent = self.spark.sparkContext.broadcast(matrix)
         cell = written(vectors.select("id", "embedding").mapInArrow(_nearest(sent), "id long, cell int, angle double"), "pivot-cells")
         sizes = cell.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).orderBy("cell").collect()  # at most PIVOTS rows
@@ -144,7 +145,7 @@ def _nearest(pivots) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
         for batch in batches:
             for low in range(0, batch.num_rows, TILE_ROWS):
                 part = batch.slice(low, TILE_ROWS)
-                cosine = _matrix(part.column("embedding")) @ pivots.value.T
+                cosine = matrix_of(part.column("embedding")) @ pivots.value.T
                 cell = cosine.argmax(axis=1)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(cell, pa.int32()), pa.array(np.arccos(np.clip(cosine[np.arange(len(cell)), cell], -1, 1)))], ["id", "cell", "angle"])
 
@@ -154,7 +155,7 @@ def _nearest(pivots) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
 def close_tiles(table: pa.Table, low: float, high: float | None = None, low_open: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Tile by tile of a pair of blocks: row numbers on both sides, which of them have a cosine in (low, high], and the cosines. Each pair of rows comes once."""
     p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
-    own, ids, m = table.column("own").to_numpy(), table.column("id").to_numpy(), _matrix(table.column("embedding"))
+    own, ids, m = table.column("own").to_numpy(), table.column("id").to_numpy(), matrix_of(table.column("embedding"))
     first, second = np.flatnonzero(own == p), np.flatnonzero(own == q)
     for a in range(0, len(first), TILE_ROWS):
         for b in range(0, len(second), TILE_ROWS):
@@ -200,7 +201,7 @@ def _buckets(bands: int, bits: int, seed: int) -> Callable[[Iterator[pa.RecordBa
     def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = None
         for batch in batches:
-            m = _matrix(batch.column("embedding"))
+            m = matrix_of(batch.column("embedding"))
             if not m.size:
                 continue
             if planes is None:
@@ -283,16 +284,50 @@ def filtered_search(catalog: DataFrame, vectors: DataFrame, segments: DataFrame
     return kept.select("id").join(sized(found), "id").select(*found.columns)
 
 
-def score_against(vectors: DataFrame, anchors: DataFrame, name: str) -> DataFrame:
-    """Every row with every anchor (`name`, embedding). Anchors are sent to all tasks, at most ANCHORS of them at a time."""
-    few = anchors.select(F.col(name), F.col("embedding").alias("anchor"))
-    parts = max(1, -(-few.count() // ANCHORS))
-    number = F.pmod(F.xxhash64(name), F.lit(parts))
-    scored = [vectors.join(F.broadcast(few.filter(number == k))).select("id", name, dot("embedding", "anchor").alias("score")) for k in range(parts)]
-    return reduce(DataFrame.unionByName, scored)
-
-
-def best_first(name: str) -> Column:
-    return F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), name))
-
-
+def _nearest_anchors(anchors, name: str, k: int, least: float | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(id, found): the k best of a block of anchors for each row, best first."""
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, names = anchors.value
+        for batch in batches:
+            for low in range(0, batch.num_rows, TILE_ROWS):
+                part = batch.slice(low, TILE_ROWS)
+                x = matrix_of(part.column("embedding"), unit=False)
+                scores = x @ m.T
+                bar = np.partition(scores, -k, axis=1)[:, -k] if k < m.shape[0] else np.full(len(x), -np.inf)
+                bar = np.maximum(bar, -np.inf if least is None else least) - 1e-9 * (1 + np.abs(bar))
+                row, place = np.nonzero(scores >= bar[:, None])
+                exact = (x[row] * m[place]).sum(axis=1)  # alike for equal anchors, wherever they stand in the product
+                order = np.lexsort((place, -exact, row))
+                row, place, exact = row[order], place[order], exact[order]
+                rank = np.arange(len(row)) - np.searchsorted(row, row, "left")
+                keep = (rank < k) if least is None else (rank < k) & (exact >= least)
+                at = pa.array(np.searchsorted(row[keep], np.arange(len(x) + 1), "left"), pa.int32())
+                pairs = pa.StructArray.from_arrays([names.take(pa.array(place[keep])), pa.array(exact[keep])], [name, "score"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(at, pairs)], ["id", "found"])
+
+    return best
+
+
+def nearest_anchors(vectors: DataFrame, anchors: DataFrame, name: str, k: int, least: float | None = None, at_once: int = ANCHORS) -> DataFrame:
+    """Id, found: the k best of anchors(`name`, embedding) for each of vectors(id, embedding) by inner product, as an array of structs of `name` and score.
+
+    Best first, ties in the order of `name`; only scores of `least` or more where it is given. A task multiplies its batches
+    with a block of at most `at_once` anchors and keeps k for each row; with one block nothing is shuffled, else the
+    blocks' bests are merged by id. Rows and anchors without a vector find nothing and aren't found.
+    """
+    kind = anchors.schema[name].dataType.simpleString()
+    known = anchors.filter(F.col("embedding").isNotNull()).select(F.col(name).alias("name"), "embedding")
+    blocks = max(1, -(-known.count() // at_once))
+    dealt = known.withColumn("block", F.pmod(F.xxhash64("name"), F.lit(blocks)))
+    some, found, parts = vectors.filter(F.col("embedding").isNotNull()).select("id", "embedding"), f"array<struct<{name}:{kind},score:double>>", []
+    for block in range(blocks):
+        table = dealt.filter(F.col("block") == block).orderBy("name").toArrow()  # about at_once rows
+        if table.num_rows:
+            sent = vectors.sparkSession.sparkContext.broadcast((matrix_of(table.column("embedding"), unit=False), table.column("name").combine_chunks()))
+            parts.append(some.mapInArrow(_nearest_anchors(sent, name, k, least), f"id {vectors.schema['id'].dataType.simpleString()}, found {found}"))
+    if len(parts) > 1:
+        order = lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a[name] < b[name], -1).otherwise(1)
+        merged = reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.flatten(F.collect_list("found")).alias("found"))
+        parts = [merged.select("id", F.slice(F.array_sort("found", order), 1, k).alias("found"))]
+    none = (vectors.filter(F.col("embedding").isNull()) if parts else vectors).select("id", F.array().cast(found).alias("found"))
+    return parts[0].unionByName(none) if parts else none

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vistalake.functions.vectors import dot, l2_normalize
-from vistalake.operators.similarity import best_first, score_against
+from vistalake.operators.similarity import TILE_ROWS, matrix_of, nearest_anchors
 from vistalake.sources.tables import sized
 
 CHARACTER, SERIES = 4, 3
+#: Partial sums of a group between tasks and its total, and groups that a task holds.
+PARTIAL_SUMS, GROUPS = 32, 2000
 
 
 def decode_tags(preds: DataFrame, vocab: DataFrame, threshold: float = 0.35) -> DataFrame:
@@ -25,20 +29,56 @@ def decode_tags(preds: DataFrame, vocab: DataFrame, threshold: float = 0.35) ->
 
 
 def suggest_tags(vectors: DataFrame, anchors: DataFrame, k: int = 5, threshold: float = 0.20) -> DataFrame:
-    """The tags of the k nearest anchors(tag_idx, tag, embedding), then only those that reach the threshold, best first."""
-    scored = score_against(vectors, anchors, "tag_idx").withColumn("rank", best_first("tag_idx")).filter((F.col("rank") <= k) & (F.col("score") >= threshold))
-    named = scored.join(sized(anchors.select("tag_idx", "tag")), "tag_idx")
-    tags = F.transform(F.array_sort(F.collect_list(F.struct("rank", "tag"))), lambda x: x["tag"])
-    found = named.groupBy("id").agg(tags.alias("tags"))
-    return vectors.select("id").join(found.hint("merge"), "id", "left").select("id", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
+    """The tags of the k nearest anchors(tag_idx, tag, embedding), then only those that reach the threshold, best first; ties by tag_idx. Rows without a vector have none."""
+    named = anchors.select(F.struct("tag_idx", "tag").alias("anchor"), "embedding")
+    found = nearest_anchors(vectors, named, "anchor", k)
+    return found.select("id", F.transform(F.filter("found", lambda x: x["score"] >= threshold), lambda x: x["anchor"]["tag"]).alias("tags"))
 
 
 def mean_vectors(vectors: DataFrame, by: str, unit_members: bool = False) -> DataFrame:
-    """Mean of embeddings by group, normalised: partial sums by component, so that a large group is no single task's."""
-    v = l2_normalize("embedding") if unit_members else F.col("embedding").cast("array<double>")
-    parts = vectors.filter(F.col("embedding").isNotNull() & F.col(by).isNotNull()).select(by, F.posexplode(v).alias("pos", "x"))
-    means = parts.groupBy(by, "pos").agg(F.avg("x").alias("x")).groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("mean"))
-    return means.select(by, l2_normalize("mean").alias("embedding"))
+    """Mean of embeddings by group, normalised. Vectors without a group, and null ones, don't count.
+
+    Each task adds up the vectors of a group; what is shuffled is a row for each group and task, first to several
+    partial sums of a group, then to one, so that a group that most rows share is no single task's.
+    """
+    kind = vectors.schema[by].dataType.simpleString()
+    members = vectors.filter(F.col("embedding").isNotNull() & F.col(by).isNotNull()).select(F.col(by).alias("group"), "embedding")
+    schema = f"group {kind}, n long, total array<double>"
+    parts = members.mapInArrow(_added(unit_members), schema).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(PARTIAL_SUMS)))
+    for keys in (("group", "part"), ("group",)):
+        parts = parts.repartition(*keys).select("group", "n", "total").mapInArrow(_added(), schema)
+        parts = parts.withColumn("part", F.lit(0)) if len(keys) == 2 else parts
+    return parts.select(F.col("group").alias(by), l2_normalize(F.transform("total", lambda x: x / F.col("n"))).alias("embedding"))
+
+
+def _added(unit_members: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(group, n, total): sums of (group, embedding), or of such sums, for each group that a task meets. With more than GROUPS groups in hand, what there is goes out and counting begins anew."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def out() -> pa.RecordBatch:
+            rows = list(held.values())
+            return pa.RecordBatch.from_arrays([pa.array(list(held), kind), pa.array([n for n, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.list_(pa.float64()))], ["group", "n", "total"])
+
+        for batch in batches:
+            kind, summed = batch.column("group").type, "total" in batch.schema.names
+            for low in range(0, batch.num_rows, TILE_ROWS):
+                part = batch.slice(low, TILE_ROWS)
+                m = matrix_of(part.column("total" if summed else "embedding"), unit=unit_members)
+                n = part.column("n").to_numpy() if summed else np.ones(len(m), np.int64)
+                code = part.column("group").dictionary_encode()
+                order = np.argsort(code.indices.to_numpy(), kind="stable")
+                first = np.flatnonzero(np.diff(code.indices.to_numpy()[order], prepend=-1))
+                for group, count, total in zip(code.dictionary.to_pylist(), np.add.reduceat(n[order], first), np.add.reduceat(m[order], first, axis=0)):
+                    before = held.get(group, (0, 0.0))
+                    held[group] = int(before[0] + count), before[1] + total
+                if len(held) > GROUPS:
+                    yield out()
+                    held.clear()
+        if held:
+            yield out()
+
+    return add
 
 
 def prompt_centroid(vectors: DataFrame, group: str) -> DataFrame:
@@ -58,11 +98,11 @@ def classify_binary(vectors: DataFrame, anchor_a: list[float], anchor_b: list[fl
 
 
 def classify(vectors: DataFrame, centroids: DataFrame, threshold: float = 0.25) -> DataFrame:
-    """Id, category, similarity of the nearest of centroids(category, ord, embedding); the first wins ties; null under the threshold or without centroids."""
+    """Id, category, similarity of the nearest of centroids(category, ord, embedding); the first wins ties; null under the threshold, without centroids or without a vector."""
     unit = vectors.select("id", l2_normalize("embedding").alias("embedding"))
-    best = score_against(unit, centroids.withColumn("place", F.struct(F.col("ord"), F.col("category"))), "place").withColumn("rank", best_first("place")).filter("rank = 1")
-    named = best.filter(F.col("score") >= threshold).select("id", F.col("place.category").alias("category"), F.col("score").alias("similarity"))
-    return vectors.select("id").join(named.hint("merge"), "id", "left")
+    named = centroids.select(F.struct("ord", "category").alias("place"), "embedding")
+    best = F.get("found", F.lit(0))
+    return nearest_anchors(unit, named, "place", 1, threshold).select("id", best["place"]["category"].alias("category"), best["score"].alias("similarity"))
 
 
 def gate(df: DataFrame, style: str, scorer: Callable[[DataFrame], DataFrame], wanted: str = "illustration") -> DataFrame:
