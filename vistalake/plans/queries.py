@@ -411,7 +411,7 @@ def t5_train_centroids(spark, sf_dir):
     return tagging.train_centroids(vectors(spark, sf_dir), "label").select(F.col("label").alias("category"), vector_sum("embedding").alias("weight"))
 
 
-@query(f"""with c as (select * from {LABELS}), s as (select vec_id as id, category, {DOT.format(a='e.embedding', b='c.embedding')} as score from embeddings e, c),
+@query(f"""with c as (select * from {LABELS}), e as (select vec_id, {UNIT.format(v='embedding')} as embedding from embeddings), s as (select vec_id as id, category, {DOT.format(a='e.embedding', b='c.embedding')} as score from e, c),
   r as (select * from s qualify row_number() over (partition by id order by score desc, category) = 1)
   select id, case when score >= 0.25 then category end as category, case when score >= 0.25 then round(score, 6) end as similarity from r""")
 def t6_classify(spark, sf_dir):
