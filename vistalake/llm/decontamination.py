@@ -221,7 +221,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs` without the rows that hold a copy of an item; rows that share a doc_id go together."""
     gone = written(contaminated(docs, benchmark).select(F.col("doc_id").alias("_gone")).distinct(), "contaminated")
-    return docs.join(sized(gone), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"))  # whatever the names of other columns
+    return rows.join(sized(gone), F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -404,21 +404,20 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     found = written(_classified(docs, 5, 80).filter("doc_id is not null"), "jaccard-found")
     gone = written(found.filter("component_id < doc_id").select("doc_id", "tag").distinct(), "jaccard-gone")
-    rows = docs.withColumn("_tag", _tag())
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text").withColumn("_tag", _tag()).select("_row", "doc_id", "_tag")  # whatever the names of other columns
     key = [F.col("doc_id").cast("long") == F.col("_gone_id"), F.col("_tag") == F.col("_gone_tag")]
     without = lambda rows, gone, how="left_anti": rows.join(gone.select(F.col("doc_id").alias("_gone_id"), F.col("tag").alias("_gone_tag")).hint("merge"), key, how)
     many = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("doc_id")
     if many.isEmpty():
-        return rows.join(sized(gone.select(F.col("doc_id").alias("_gone_id"), F.col("tag").alias("_gone_tag"))), key, "left_anti").select(*docs.columns)
+        return rows.join(sized(gone.select(F.col("doc_id").alias("_gone_id"), F.col("tag").alias("_gone_tag"))), key, "left_anti").select("_row.*")
     # Of namesakes in one component the one with the least tag stays, of equal rows any.
     named = found.filter("component_id = doc_id and n_shingles > 0")
     least = named.groupBy("doc_id").agg(F.min("tag").alias("least"))
     gone = gone.unionByName(named.join(least.hint("merge"), "doc_id").filter("tag > least").select("doc_id", "tag")).distinct()
     equal = found.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("doc_id", "tag")
     left = written(without(rows, gone), "jaccard-left")
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    one = without(left, equal, "left_semi").groupBy("doc_id", "_tag").agg(F.first(whole).alias("_row")).select("_row.*")
-    return without(left, equal).select(*docs.columns).unionByName(one)
+    one = without(left, equal, "left_semi").groupBy("doc_id", "_tag").agg(F.first("_row").alias("_row"))
+    return without(left, equal).select("_row").unionByName(one.select("_row")).select("_row.*")
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

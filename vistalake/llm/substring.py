@@ -224,10 +224,12 @@ def repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
 
 def remove_passages(docs: DataFrame, window: int = 50) -> DataFrame:
     """`docs` with the repeated words gone and the kept words joined by one space; doc_id must be a key."""
-    found = repeated_passages(docs, window).filter(F.size("removed") > 0).select("doc_id", "removed")
-    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    found = repeated_passages(docs, window).filter(F.size("removed") > 0).select(F.col("doc_id").alias("_id"), "removed")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"))  # whatever the names of other columns
+    words = F.array_remove(F.split("_row.text", r"[\x20\x09-\x0D]+"), "")
     kept = F.filter(words, lambda w, i: ~F.exists("removed", lambda s: (s["start"] <= i) & (i < s["end"])))
-    return docs.join(found, "doc_id", "left").withColumn("text", F.when(F.col("removed").isNotNull(), F.array_join(kept, " ")).otherwise(F.col("text"))).select(*docs.columns)
+    cut = F.when(F.col("removed").isNotNull(), F.col("_row").withField("text", F.array_join(kept, " "))).otherwise(F.col("_row"))
+    return rows.join(found.hint("merge"), "_id", "left").select(cut.alias("_row")).select("_row.*")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
