@@ -364,9 +364,9 @@ def test_licenses_wrapped_embedded_and_similar(spark):
     gpl = "you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version {} of the License, or"
     conditions = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code\n\n2. Redistributions in binary form\n\n"
     filler = " ".join(["plain", "words", "of", "a", "long", "line"] * 200)
-    data = [(mit, {"mit"}), (f"{filler} Licensed under the Apache License, Version 2.0. {filler}", {"apache-2.0"}), (gpl.format(3), {"gpl-3.0"}), (gpl.format(2), set()),
-            (gpl.format(3).replace("General", "Lesser General"), set()), ("Licensed under CC BY-SA 4.0.", set()), ("Licensed under CC BY-NC-ND 4.0.", set()), ("Licensed under CC BY 4.0.", {"cc-by-4.0"}),
-            ("This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License.", {"cc-by-nc-4.0"}), ("Licensed under the GPL v2.", set()), (conditions, set()),
+    data = [(mit, {"mit"}), (f"{filler} Licensed under the Apache License, Version 2.0. {filler}", {"apache-2.0"}), (gpl.format(3), {"gpl-3.0"}), (gpl.format(2), {"gpl-2.0"}),
+            (gpl.format(3).replace("General", "Lesser General"), {"lgpl-3.0"}), ("Licensed under CC BY-SA 4.0.", {"cc-by-sa-4.0"}), ("Licensed under CC BY-NC-ND 4.0.", {"cc-by-nc-nd-4.0"}), ("Licensed under CC BY 4.0.", {"cc-by-4.0"}),
+            ("This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License.", {"cc-by-nc-4.0"}), ("Licensed under the GPL v2.", {"gpl-2.0"}), (conditions, set()),
             (conditions + "3. Neither the name of the copyright holder", {"bsd-3-clause"}), ("MIT License or Apache License, Version 2.0", {"mit", "apache-2.0"}), (filler, set())]
     df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(data)], "doc_id long, text string")
     rows = licenses.scan_licenses(df).collect()
