@@ -102,7 +102,7 @@ class Blocks:
             return
         wanted = pivots or min(PIVOTS, 4 * n)
         sample = vectors.filter(F.col("embedding").isNotNull()).select("id", "embedding").orderBy(F.xxhash64("id", F.lit(7)), "id").limit(8 * wanted)
-        matrix = _spread(matrix_of(sample.select("embedding").toArrow().column("embedding")), wanted)  # of at most 8 * PIVOTS rows
+        matrix = spread_rows(matrix_of(sample.select("embedding").toArrow().column("embedding")), wanted)  # of at most 8 * PIVOTS rows
         sent = self.spark.sparkContext.broadcast(matrix)
         cell = written(vectors.select("id", "embedding").mapInArrow(_nearest(sent), "id long, cell int, angle double"), "pivot-cells")
         sizes = cell.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).orderBy("cell").collect()  # at most PIVOTS rows
@@ -130,12 +130,16 @@ class Blocks:
         return out.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).drop("other", "cell")
 
 
-def _spread(rows: np.ndarray, n: int) -> np.ndarray:
+def spread_rows(rows: np.ndarray, n: int) -> np.ndarray:
     """`n` of the rows, each the farthest from those before it, so that cells are small."""
-    chosen, nearest = [0] if len(rows) else [], rows @ rows[0] if len(rows) else np.zeros(0)
+    if not len(rows):
+        return rows
+    sizes = (rows * rows).sum(axis=1)
+    away = lambda k: sizes + sizes[k] - 2 * rows @ rows[k]  # noqa: E731 - squared distances
+    chosen, nearest = [0], away(0)
     while len(chosen) < min(n, len(rows)):
-        chosen.append(int(nearest.argmin()))
-        nearest = np.maximum(nearest, rows @ rows[chosen[-1]])
+        chosen.append(int(nearest.argmax()))
+        nearest = np.minimum(nearest, away(chosen[-1]))
     return rows[chosen]
 
 

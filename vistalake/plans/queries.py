@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vistalake.functions.hashes import dhash, hamming
 from vistalake.functions.vectors import l2_normalize, norm
-from vistalake.operators import clustering, duplicates, frames, listing, organize, progress, scoring, similarity, tagging, text, text_index
+from vistalake.operators import clustering, duplicates, frames, listing, organize, progress, scoring, similarity, tagging, text, text_index, vector_index
 from vistalake.plans.views import catalog, table, view, with_views
 from vistalake.sources import catalog as sources
 from vistalake.sources import folders, tables
@@ -325,6 +325,16 @@ def v2_top_k(spark, sf_dir):
     return similarity.top_k_similar(vectors(spark, sf_dir), query_vector(spark, sf_dir), 20, view(spark, sf_dir, "media")).select("id", rounded("score").alias("score"), "file_path")
 
 
+@query(f"""select id, round(score, 6) as score, file_path from (select id, {DOT.format(a='j.embedding', b='(select ' + UNIT.format(v='embedding') + ' from embeddings where vec_id = 9)')} as score
+  from (select id, {UNIT.format(v='embedding')} as embedding from jit) j order by score desc, id limit 20) join (select id, file_path from media) using (id)""", "jit", "media")
+def v2_indexed_top_k(spark, sf_dir):
+    rows = view(spark, sf_dir, "jit").select("id", "embedding")
+    index = vector_index.VectorIndex.build(rows.filter("id < 1000000").withColumn("embedding", F.transform("embedding", lambda x: -x)), cell_rows=256)
+    index.append(rows.withColumn("success", F.lit(True)).withColumn("seq", F.lit(1)), cell_rows=256)  # the first vectors are replaced
+    asked = table(spark, sf_dir, "embeddings").filter("vec_id = 9").first()["embedding"]
+    return index.top_k(asked, 20, view(spark, sf_dir, "media")).select("id", rounded("score").alias("score"), "file_path")
+
+
 @query(f"""select query_id, id, round(score, 6) as score, rank from (select q.vec_id as query_id, v.vec_id as id, {DOT.format(a='q.u', b='v.embedding')} as score,
   row_number() over (partition by q.vec_id order by {DOT.format(a='q.u', b='v.embedding')} desc, v.vec_id) as rank from (select vec_id, {UNIT.format(v='embedding')} as u from embeddings where vec_id % 20 = 0) q, embeddings v) where rank <= 10""")
 def v2_top_k_batch(spark, sf_dir):
