@@ -55,6 +55,7 @@ def recommend() -> Column:
     size = lambda s: F.col(f"file_size_{s}")
     dims = lambda s: F.concat(F.coalesce(F.col(f"width_{s}").cast("string"), F.lit("None")), F.lit("x"), F.coalesce(F.col(f"height_{s}").cast("string"), F.lit("None")))
     kb = lambda s: F.concat(F.floor(size(s) / 1024).cast("string"), F.lit("KB"))
+    # Actions and the wording of reasons.
     pick = lambda action, reason: F.struct(F.lit(action).alias("action"), reason.alias("reason"))
     by = lambda what, s, o, text: F.concat(F.lit(f"{what} {s.upper()} ("), text(s), F.lit(f") > {o.upper()} ("), text(o), F.lit(")"))
     return (F.when(area("a") > area("b") * MARGIN, pick("keep_a", by("Resolution", "a", "b", dims)))

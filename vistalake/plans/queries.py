@@ -302,7 +302,7 @@ def f5_pre_filter(spark, sf_dir):
   (select id, row_number() over (order by created_at desc, id) - 100 as rank from media where is_processed) where rank between 1 and 50""", "media")
 def f6_page(spark, sf_dir):
     rows = view(spark, sf_dir, "media").filter("is_processed")
-    return listing.page(rows, [F.desc("created_at"), F.col("id")], 50, 100).select("id", F.col("rank").cast("bigint").alias("rank"), "has_more")
+    return listing.Pages(rows, ranges=16).page(50, 100).select("id", F.col("rank").cast("bigint").alias("rank"), "has_more")
 
 
 @query("select a.id, file_path, media_type, m.id is not null as found from (select distinct conv_id as id from conversations) a left join media m on a.id = m.id", "media")
@@ -366,9 +366,16 @@ def v4_similar_pairs(spark, sf_dir):
     return similarity.similar_pairs(view(spark, sf_dir, "jit")).withColumn("similarity", rounded("similarity"))
 
 
-@query()
+@query(f"select count(*) as exact_pairs, 0::bigint as wrong_pairs, true as recall_reached from ({PAIRS}) where similarity > 0.95 and similarity <= 0.9999", "jit")
 def v4_similar_pairs_approximate(spark, sf_dir):
-    return similarity.similar_pairs_approximate(view(spark, sf_dir, "jit"), rows=256).withColumn("similarity", rounded("similarity"))
+    """Of the approximate mode: pairs that the exact one lacks or scores otherwise, and whether it finds 99 % of its pairs."""
+    rows = view(spark, sf_dir, "jit")
+    exact = tables.written(similarity.similar_pairs(rows), "exact-pairs")
+    near = similarity.similar_pairs_approximate(rows, rows=256).withColumnRenamed("similarity", "near")
+    both = exact.join(near.hint("merge"), ["id_a", "id_b"], "full_outer")
+    found = F.count_if(F.col("near").isNotNull() & F.col("similarity").isNotNull())
+    wrong = F.count_if(F.col("near").isNotNull() & (F.col("similarity").isNull() | (F.abs(F.col("near") - F.col("similarity")) > 1e-9)))
+    return both.agg(F.count("similarity").alias("exact_pairs"), wrong.alias("wrong_pairs"), (found >= 0.99 * F.count("similarity")).alias("recall_reached"))
 
 
 @query(f"select id_a, id_b, round(similarity, 6) as similarity from ({PAIRS}) where similarity > 0.9999", "jit")
@@ -585,7 +592,7 @@ def d1_is_sequential(spark, sf_dir):
 def media_of_jit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """media for the ids of jit, with names that form no series; copies differ in size and time."""
     copies = view(spark, sf_dir, "jit").select(F.col("id").alias("jid"))
-    rows = copies.join(view(spark, sf_dir, "media").withColumnRenamed("id", "mid"), F.col("jid") % 1000000 == F.col("mid"))
+    rows = copies.join(view(spark, sf_dir, "media").withColumnRenamed("id", "mid").hint("merge"), F.col("jid") % 1000000 == F.col("mid"))
     k = F.floor(F.col("jid") / 1000000)
     grid = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: (F.col("mid") * 37 + i * i) % 256)
     return rows.select(
@@ -696,6 +703,14 @@ def o3_organize(spark, sf_dir):
     return organize.organize(catalog(spark, sf_dir), "tag", "document", "/dest", "docs", existing)[1]
 
 
+@query("""with m as (select id, file_path, created_at, split_part(split_part(file_path, '/', -1), '.', 1) as stem, split_part(file_path, '.', -1) as ext, id % 4 = 0 as held from catalog
+   where is_processed and error_msg is null and created_at >= epoch(timestamp '2024-01-01') and created_at <= epoch(timestamp '2024-12-31 23:59:59'))
+  select id, file_path as source, concat('/dest/2024/', stem, case when held then concat('_', floor(created_at)::bigint::varchar) else '' end, '.', ext) as dest, 'move' as operation, true as success from m""", "catalog")
+def o3_plan(spark, sf_dir):
+    existing = view(spark, sf_dir, "media").filter("id % 4 = 0").select(F.concat(F.lit("/dest/2024/"), F.regexp_extract("file_path", "([^/]*)$", 1)).alias("path"))
+    return organize.organize(catalog(spark, sf_dir), "year", "2024", "/dest", "2024", existing, "move")[0]
+
+
 @query("select media_type as category, count(*) as n, sum(file_size)::bigint as bytes from media group by 1", "media")
 def o4_write_by_category(spark, sf_dir):
     path = tables.fresh_path(spark, "by-category")

@@ -185,7 +185,7 @@ def load_labelled(manifest: DataFrame) -> DataFrame:
 
 def update_centroids(old: DataFrame, new: DataFrame) -> DataFrame:
     """New categories replace those of the same name."""
-    return old.join(new.select("category"), "category", "left_anti").unionByName(new)
+    return old.join(new.select("category").hint("merge"), "category", "left_anti").unionByName(new)
 
 
 def lookup(catalog: DataFrame, ids: DataFrame) -> DataFrame:

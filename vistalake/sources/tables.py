@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,11 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Paths of `written` by application, oldest first.
+_written: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (spark.checkpoint.dir); a scratch folder of our own only where it is unset and Spark runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -41,14 +46,30 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return out
 
 
+def _remove(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    found = _written.get(spark.sparkContext.applicationId, [])
+    if name in found:
+        found.remove(name)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of `written` that nothing reads any more: what was made of them must be written itself."""
     for df in tables:
-        spark, path = df.sparkSession, df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _remove(df.sparkSession, df.written_to)
+
+
+def clean(spark: SparkSession, *keep: DataFrame) -> int:
+    """Delete all tables that `written` has made in this application but those of `keep`; results that still read them can't be used after it. Gives their number."""
+    gone = [x for x in _written.get(spark.sparkContext.applicationId, []) if x not in {df.written_to for df in keep}]
+    for name in gone:
+        _remove(spark, name)
+    return len(gone)
 
 
 def sized(keys: DataFrame, most: int = 1 << 20) -> DataFrame:
