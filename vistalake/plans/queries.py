@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vistalake.functions.hashes import dhash, hamming
 from vistalake.functions.vectors import l2_normalize, norm
-from vistalake.operators import clustering, duplicates, frames, listing, organize, progress, scoring, similarity, tagging, text, text_index, vector_index
+from vistalake.operators import clustering, duplicates, frames, listing, organize, progress, scoring, similarity, tag_index, tagging, text, text_index, vector_index
 from vistalake.plans.views import catalog, table, view, with_views
 from vistalake.sources import catalog as sources
 from vistalake.sources import folders, tables
@@ -250,7 +250,9 @@ def f1_list_media(spark, sf_dir):
 
 @query("select id, coalesce(len(list_filter(tags, lambda x: lower(x) = 'sky')) > 0, false) as has_sky, coalesce(len(list_filter(character_tags, lambda x: lower(x) = 'alice%')) > 0, false) as has_wild from tags", "tags")
 def f2_has_tag(spark, sf_dir):
-    return view(spark, sf_dir, "tags").select("id", listing.has_tag("tags", "SKY").alias("has_sky"), listing.has_tag("character_tags", "alice%").alias("has_wild"))
+    index = tag_index.TagIndex.build(catalog(spark, sf_dir))
+    out = index.has_tag(index.has_tag(view(spark, sf_dir, "tags").select("id"), "tag", "SKY", "has_sky"), "character", "alice%", "has_wild")
+    return out.select("id", "has_sky", "has_wild")
 
 
 @query("""select kind, id from (
@@ -261,8 +263,9 @@ def f2_has_tag(spark, sf_dir):
   select 'series', id from catalog where is_processed and error_msg is null and len(list_filter(series_tags, lambda x: contains(lower(x), 'zero'))) > 0)""", "catalog")
 def f3_match_condition(spark, sf_dir):
     rows, out = catalog(spark, sf_dir), None
+    index = tag_index.TagIndex.build(rows)
     for kind, value in (("tag", "SK"), ("year", "2024"), ("media_type", "Movies"), ("character", "Alice"), ("series", "zero")):
-        found = listing.match_condition(rows, kind, value).select(F.lit(kind).alias("kind"), "id")
+        found = index.match_condition(rows, kind, value).select(F.lit(kind).alias("kind"), "id")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -270,7 +273,7 @@ def f3_match_condition(spark, sf_dir):
 @query("""select facet, value, count(*) as n from (select 'character' as facet, unnest(character_tags) as value from catalog where is_processed
   union all select 'series', unnest(series_tags) from catalog where is_processed) group by all""", "catalog")
 def f4_facets(spark, sf_dir):
-    return listing.facets(catalog(spark, sf_dir))
+    return tag_index.TagIndex.build(catalog(spark, sf_dir)).facets()
 
 
 TOP = f"select id, {DOT.format(a='embedding', b='(select ' + UNIT.format(v='embedding') + ' from embeddings where vec_id = 0)')} as score from (select vec_id as id, embedding from embeddings)"
