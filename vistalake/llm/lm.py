@@ -14,6 +14,7 @@ joined with the word table.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -30,6 +31,8 @@ from vistalake.llm.words import chunks, mix, powers, split_words
 FREQUENT_BITS, EM_ROUNDS, SPACE = 18, 4, "▁"
 _CHAR_BASE = 0x9FB21C651E98DF25
 LN10 = float(np.log(10.0))
+#: With fewer words of one length each is taken by itself, all of its edges at once; nodes of such a word whose edges are Python numbers at a time.
+FEW_WORDS, _NODES = 64, 50_000
 
 
 def vocabulary_pieces(path: str) -> list[str]:
@@ -109,17 +112,79 @@ class Lattice:
             alpha[j, rows] = np.logaddexp(alpha[j, rows], alpha[i, rows] + self._weights(codes, i, rows, found))
         return alpha
 
+    def _edges_of_one(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ends, pieces, log probabilities) of one word's edges by end and then start; all edges of one length are looked up at once."""
+        n = len(codes)
+        sums, back = self._sums(codes[None])[0], powers(pow(_CHAR_BASE, -1, 1 << 64), n + 1)
+        starts, sizes, pieces = [], [], []
+        for size in range(1, min(self.longest, n) + 1):
+            h = mix((sums[size:] - sums[:-size]) * back[: n - size + 1])
+            at = np.flatnonzero(self.maybe[h >> np.uint64(44)])
+            place = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
+            hit = self.keys[place] == h[at]
+            found, piece = at[hit], self.order[place[hit]]
+            if size == 1:
+                none = np.ones(n, bool)
+                none[found] = False
+                found, piece = np.concatenate([found, np.flatnonzero(none)]), np.concatenate([piece, np.full(int(none.sum()), self.byte)])
+            starts.append(found)
+            sizes.append(np.full(len(found), size))
+            pieces.append(piece)
+        start, size, piece = (np.concatenate(x) for x in (starts, sizes, pieces))
+        order = np.lexsort((start, start + size))
+        start, end, piece = start[order], (start + size)[order], piece[order]
+        weight = self.log_p[piece]
+        return start, end, piece, np.where(piece == self.byte, weight * self._n_bytes(codes[start]), weight)
+
+    @staticmethod
+    def _pass(n: int, groups: np.ndarray, other: np.ndarray, weight: np.ndarray, backward: bool = False) -> np.ndarray:
+        """The recursion along one word: node by node the logarithm of the sum over its edges (groups[j] to groups[j + 1]), each from the node `other`."""
+        values = [0.0] * (n + 1)
+        for high in range(n, 0, -_NODES) if backward else range(0, n, _NODES):  # edges become Python numbers a stretch of nodes at a time
+            nodes = range(high - 1, max(-1, high - 1 - _NODES), -1) if backward else range(high + 1, min(n, high + _NODES) + 1)
+            first, last = min(nodes[0], nodes[-1]), max(nodes[0], nodes[-1])
+            base = int(groups[first])
+            at, far, w = (groups[first : last + 2] - base).tolist(), other[base : groups[last + 1]].tolist(), weight[base : groups[last + 1]].tolist()
+            for j in nodes:
+                a, b = at[j - first], at[j - first + 1]
+                found = [values[far[e]] + w[e] for e in range(a, b)]
+                top = max(found)
+                values[j] = top if b - a == 1 else top + math.log(math.fsum([math.exp(x - top) for x in found]))
+        return np.array(values)
+
+    def _forward_of_one(self, n: int, edges) -> np.ndarray:
+        start, end, _, weight = edges
+        return self._pass(n, np.searchsorted(end, np.arange(n + 2)), start, weight)
+
     def log_likelihood(self, words: list[str]) -> np.ndarray:
         """Natural logarithm of each word's marginal probability."""
         out = np.zeros(len(words))
         for mine, codes in self._by_length(words):
-            out[mine] = self._forward(codes, self._spans(codes))[-1]
+            if len(mine) < FEW_WORDS:
+                for k, row in zip(mine, codes):
+                    out[k] = self._forward_of_one(len(row), self._edges_of_one(row))[-1]
+            else:
+                out[mine] = self._forward(codes, self._spans(codes))[-1]
         return out
 
+    def _expected_of_one(self, codes: np.ndarray) -> np.ndarray:
+        """Expected uses in one word."""
+        edges, n = self._edges_of_one(codes), len(codes)
+        start, end, piece, weight = edges
+        alpha = self._forward_of_one(n, edges)
+        order = np.lexsort((end, start))
+        beta = self._pass(n, np.searchsorted(start[order], np.arange(n + 2)), end[order], weight[order], backward=True)
+        share = np.exp(alpha[start] + weight + beta[end] - alpha[-1])
+        return np.bincount(piece, np.where(piece == self.byte, share * self._n_bytes(codes[start]), share), len(self.log_p))
+
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
         """Expected uses of each piece, and of bytes, over the words as often as `counts` says."""
         total = np.zeros(len(self.log_p))
         for mine, codes in self._by_length(words, 4096):
+            if len(mine) < FEW_WORDS:
+                for k, row in zip(mine, codes):
+                    total += self._expected_of_one(row) * counts[k]
+                continue
             spans = list(self._spans(codes))
             alpha = self._forward(codes, spans)
             beta = np.full(alpha.shape, -np.inf)
