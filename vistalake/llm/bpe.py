@@ -153,6 +153,7 @@ class Automaton:
                 made[c], column[c], row[c] = number, a, b
                 known.add(c)
                 self.in_use.append(c)
+        self._plain: tuple | None = None  # the same tables as Python numbers, made when a long word is met
         self.made, self.column, self.row = (np.array(x, np.int64) for x in (made, column, row))
         self.taken = np.array(sorted(taken), np.int64)
         self.taker = np.array([taken[k] for k in self.taken.tolist()], np.int64)
@@ -284,8 +285,30 @@ class Automaton:
                 at, turn = at[~open_], turn[~open_] + 1
         return last
 
+    def _reader_of_one(self):
+        """_read_arcs for one entry, on plain numbers: a long word asks for one entry after another."""
+        if self._plain is None:
+            self._plain = dict(zip(self.taken.tolist(), self.taker.tolist())), self.made.tolist(), self.row.tolist(), self.column.tolist()
+        (taker, made, row, column), n, never = self._plain, self.n, int(_NEVER)
+
+        def read(state: int, label: int) -> bool:
+            state_until = label_until = never
+            while True:
+                by = taker.get(state * n + label, never)
+                if by < state_until and by <= label_until:
+                    return False
+                of_state, of_label = made[state], made[label]
+                if of_label >= of_state:
+                    if of_label <= 0:
+                        return True
+                    label_until, label = of_label, column[label]
+                else:
+                    state_until, state = of_state, row[state]
+
+        return read
+
     def _last_of_one(self, first: list, sizes: list, labels: list, n: int) -> np.ndarray:
-        last, known = [], {}
+        last, known, read = [], {}, self._reader_of_one()
         for k in range(n):
             for turn in range(first[k], first[k + 1]):
                 size, label = sizes[turn], labels[turn]
@@ -293,7 +316,7 @@ class Automaton:
                     break
                 key = (last[k - size], label)
                 if (open_ := known.get(key)) is None:
-                    open_ = known[key] = bool(self.arcs(np.array([key[0]]), np.array([label]))[0])
+                    open_ = known[key] = read(*key)
                 if open_:
                     break
             last.append(label)
