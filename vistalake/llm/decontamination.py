@@ -11,7 +11,7 @@ No copy is missed. An alignment of m words of an item of n reaches the share t i
 2m - 2tn. Of its m - 1 steps from one matching word to the next, those with two edits or more are then
 at most m - tn, so at least ceil(tn) - 1 have no edit or one: there, both sides have the pair next to
 each other or one word apart. Any n - ceil(tn) + 1 of the n - 1 places where a pair may begin hold one of
-them, the rarest as well; and the alignment has at most m + 2m - 2tn words, which says how far a passage goes.
+them, the rarest as well, and any r more of them r more: only passages with r + 1 = HITS of an item's seed places are aligned with it. The alignment has at most m + 2m - 2tn words, which says how far a passage goes.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from vistalake.llm.words import BYTE_BASE, WORD_BASE, Words, chunks, mix, split_
 
 FILTER_BITS, ITEMS = 22, 1024
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Seed places of an item that a passage must have, as far as copies are sure to have so many.
+HITS = 3
 #: Least score as a share of a full copy's.
 THRESHOLD = 0.5
 #: From a pair's first word to its second; 0 is a word alone, the seed of items that one word makes a copy of.
@@ -203,12 +205,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     counts = docs.mapInArrow(_count(table, steps), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     places = grams.join(counts.hint("merge"), "gram", "left").groupBy("item_id", "item", "keep", "at").agg(F.sum("n").alias("n"), F.collect_set("gram").alias("grams"))
     rank = Window.partitionBy("item_id", "item").orderBy(F.coalesce("n", F.lit(0)), "at")
-    seeds = places.withColumn("rank", F.row_number().over(rank)).filter("rank <= keep")
-    seeds = written(seeds.select("item_id", F.explode("grams").alias("gram")).distinct(), "benchmark-seeds")
+    seeds = places.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= F.col("keep") + HITS - 1)
+    # Of keep + HITS - 1 places a copy has HITS, of fewer (all that the item has) as many fewer.
+    need = F.least(F.lit(HITS), F.col("all") - F.col("keep") + 1)
+    all_places = grams.groupBy("item_id", "item").agg(F.countDistinct("at").alias("all"))
+    seeds = seeds.join(all_places.hint("merge"), ["item_id", "item"]).select("item_id", "item", "at", need.alias("need"), F.explode("grams").alias("gram"))
+    seeds = written(seeds, "benchmark-seeds")
     table = spark.sparkContext.broadcast(_bit_table(seeds))
     around = int(np.ceil((longest or 0) * max(1, 3 - 2 * threshold)))
     passages = written(docs.mapInArrow(_passages(table, steps, around), _PASSAGES), "passages")
-    hits = passages.select("passage", F.explode("grams").alias("gram")).join(seeds.hint("merge"), "gram").select("passage", "item_id").distinct()
+    # Only passages with enough of an item's places are aligned with it; seeds are sent to all tasks if they are few, so that one that many passages have is no single key.
+    met = passages.select("passage", F.explode("grams").alias("gram")).join(sized(seeds), "gram").select("passage", "item_id", "item", "need", "at").distinct()
+    hits = met.groupBy("passage", "item_id", "item", "need").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= F.col("need")).select("passage", "item_id").distinct()
     # Items go to the passages, at most ITEMS of them in one row: passages move once, whatever the number of their items.
     part = F.pmod(F.xxhash64("item_id"), F.lit(max(1, -(-n_items // ITEMS))))
     asked = hits.join(items.select("item_id", "words").hint("merge"), "item_id").repartition("passage").groupBy("passage", part.alias("part")).agg(F.collect_list(F.struct("item_id", "words")).alias("items"))
