@@ -112,12 +112,12 @@ class Blocks:
         apart = np.arccos(np.clip(matrix[names] @ matrix[names].T, -1, 1)) - radius[:, None] - radius[None, :]
         near = apart <= math.acos(min(1.0, low)) + 1e-6
         np.fill_diagonal(near, True)
-        others = [np.concatenate([np.arange(first[j], first[j] + parts[j]) for j in np.flatnonzero(row)]).tolist() for row in near]
+        others = [[(int(first[j]), int(parts[j])) for j in np.flatnonzero(row)] for row in near]  # cells, not blocks: their number doesn't grow with the rows
         self.n = int(parts.sum())
-        self.kept = sum(len(o) * int(k) for o, k in zip(others, parts)) // 2 + (self.n + 1) // 2
+        self.kept = sum(sum(k for _, k in o) * int(own) for o, own in zip(others, parts)) // 2 + (self.n + 1) // 2
         table = [(int(c), int(f), int(k)) for c, f, k in zip(names, first, parts)]
         places = self.spark.createDataFrame(table, "cell int, first int, parts int").hint("broadcast")
-        self.partners = written(self.spark.createDataFrame([(int(c), o) for c, o in zip(names, others)], "cell int, others array<int>"), "block-partners").hint("broadcast")
+        self.partners = written(self.spark.createDataFrame([(int(c), o) for c, o in zip(names, others)], "cell int, others array<struct<first:int,parts:int>>"), "block-partners").hint("broadcast")
         placed = vectors.join(cell.select("id", "cell").hint("merge"), "id").join(places, "cell")
         self.rows = placed.withColumn("own", F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("first", "parts")
 
@@ -126,7 +126,8 @@ class Blocks:
         if self.partners is None:
             out = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(self.n - 1))))
         else:
-            out = rows.join(self.partners, "cell").withColumn("other", F.explode("others")).drop("others")
+            blocks = F.flatten(F.transform("others", lambda x: F.sequence(x["first"], x["first"] + x["parts"] - 1)))
+            out = rows.join(self.partners, "cell").withColumn("other", F.explode(blocks)).drop("others")
         return out.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).drop("other", "cell")
 
 
