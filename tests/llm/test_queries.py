@@ -12,7 +12,8 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    for name_of in ("documents", "benchmark", "labels"):
+        con.sql(f"create view {name_of} as select * from '{SF}/{name_of}.parquet'")
     want = con.sql(queries.ORACLE[name])
     got = entry.queries()[name](spark, SF)
     assert sorted(got.columns) == sorted(want.columns)
