@@ -73,3 +73,17 @@ def test_pooled_frames(spark, tables):
     clips = vectors.withColumn("video_id", F.floor(F.col("id") / 10)).withColumn("frame_no", F.col("id") % 10)
     got = {r["video_id"]: r["embedding"] for r in frames.pool_frames(spark.range(40).withColumnRenamed("id", "video_id"), clips, 20).collect()}
     assert np.allclose(got[3], x[30:40].mean(0) / np.linalg.norm(x[30:40].mean(0))) and got[35] == [0.0] * 20 and len(got) == 40
+
+
+def test_more_groups_than_a_task_holds(spark):
+    rng, groups = np.random.default_rng(8), 2 * tagging.GROUPS + 500
+    x, by = rng.normal(size=(3 * groups, 4)), np.tile(np.arange(groups), 3)
+    vectors = spark.createDataFrame([(int(g), v.tolist()) for g, v in zip(by, x)], "g long, embedding array<double>").repartition(6)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # all groups' sums come to one task
+    try:
+        got = [(r["g"], r["embedding"]) for r in tagging.mean_vectors(vectors, "g").collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want = x.reshape(3, groups, 4).sum(axis=0)
+    assert sorted(g for g, _ in got) == list(range(groups))
+    np.testing.assert_allclose(np.array([v for _, v in sorted(got)]), want / np.linalg.norm(want, axis=1, keepdims=True), atol=1e-9)

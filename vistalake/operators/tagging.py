@@ -39,20 +39,21 @@ def mean_vectors(vectors: DataFrame, by: str, unit_members: bool = False) -> Dat
     """Mean of embeddings by group, normalised. Vectors without a group, and null ones, don't count.
 
     Each task adds up the vectors of a group; what is shuffled is a row for each group and task, first to several
-    partial sums of a group, then to one, so that a group that most rows share is no single task's.
+    partial sums of a group, then to one, so that a group that most rows share is no single task's. The sums that are
+    put together last are sorted by group, so that no group is handed out before all of it is seen.
     """
     kind = vectors.schema[by].dataType.simpleString()
     members = vectors.filter(F.col("embedding").isNotNull() & F.col(by).isNotNull()).select(F.col(by).alias("group"), "embedding")
     schema = f"group {kind}, n long, total array<double>"
     parts = members.mapInArrow(_added(unit_members), schema).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(PARTIAL_SUMS)))
     for keys in (("group", "part"), ("group",)):
-        parts = parts.repartition(*keys).select("group", "n", "total").mapInArrow(_added(), schema)
+        parts = parts.repartition(*keys).sortWithinPartitions("group").select("group", "n", "total").mapInArrow(_added(), schema)
         parts = parts.withColumn("part", F.lit(0)) if len(keys) == 2 else parts
     return parts.select(F.col("group").alias(by), l2_normalize(F.transform("total", lambda x: x / F.col("n"))).alias("embedding"))
 
 
 def _added(unit_members: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(group, n, total): sums of (group, embedding), or of such sums, for each group that a task meets. With more than GROUPS groups in hand, what there is goes out and counting begins anew."""
+    """(group, n, total): sums of (group, embedding), or of such sums, for each group that a task meets. With more than GROUPS groups in hand, all but the newest, which sorted rows may go on with, go out and counting begins anew."""
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
 
@@ -73,8 +74,10 @@ def _added(unit_members: bool = False) -> Callable[[Iterator[pa.RecordBatch]], I
                     before = held.get(group, (0, 0.0))
                     held[group] = int(before[0] + count), before[1] + total
                 if len(held) > GROUPS:
+                    newest, value = held.popitem()
                     yield out()
                     held.clear()
+                    held[newest] = value
         if held:
             yield out()
 
