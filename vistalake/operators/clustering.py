@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vistalake.operators.similarity import BLOCK_ROWS, Blocks, close_tiles
-from vistalake.sources.tables import written
+from vistalake.operators.similarity import BLOCK_ROWS, Blocks, gathered, met_rows
+from vistalake.sources.tables import discard, written
+
+#: Numbers of places that a block has at most.
+PLACES = 1 << 31
 
 
 def connected(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -23,42 +28,43 @@ def connected(labels: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _degrees(low: float):
-    def count(table: pa.Table) -> pa.Table:
-        """Close rows of each row in this pair of blocks."""
-        n = np.zeros(table.num_rows, np.int64)
-        for x, y, ok, _ in close_tiles(table, low, low_open=False):
-            n[x] += ok.sum(axis=1)
-            n[y] += ok.sum(axis=0)
-        some = np.flatnonzero(n)
-        return pa.table({"id": table.column("id").to_numpy()[some], "n": n[some]})
+def _degrees(low: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Close rows of each row in a pair of blocks, with its block and its place there."""
+        for column, tiles in met_rows(batches, low, low_open=False):
+            ids, place = column("id"), column("place")
+            n = np.zeros(len(ids), np.int64)
+            for i, j, _ in tiles:
+                n += np.bincount(i, minlength=len(n)) + np.bincount(j, minlength=len(n))
+            some = pa.array(np.flatnonzero(n))
+            yield pa.RecordBatch.from_arrays([ids.take(some), place.take(some), pa.array(n).take(some)], ["id", "place", "n"])
 
     return count
 
 
-def _bonds(low: float):
-    def bind(table: pa.Table) -> pa.Table:
-        """(a, b, core): the least core point that each core point reaches in a tile, and the core points beside a border point, which are few."""
-        ids, core = table.column("id").to_numpy(), np.asarray(table.column("core"))
-        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]]
-        for x, y, ok, _ in close_tiles(table, low, low_open=False):
-            both = ok & core[x][:, None] & core[y][None, :]
-            i, j = np.flatnonzero(both.any(axis=1)), np.flatnonzero(both.any(axis=0))
-            both, u, v = both[np.ix_(i, j)], x[i], y[j]
-            least, far = ids.copy(), np.iinfo(np.int64).max
-            while both.any():
-                before = least.copy()
-                least[u] = np.minimum(least[u], np.where(both, least[v][None, :], far).min(axis=1))
-                least[v] = np.minimum(least[v], np.where(both, least[u][:, None], far).min(axis=0))
-                if (least == before).all():
-                    break
-            moved = np.flatnonzero(least != ids)
-            i, j = np.nonzero(ok & (core[x][:, None] != core[y][None, :]))
-            u, v = x[i], y[j]
-            border, beside = np.where(core[u], v, u), np.where(core[u], u, v)
-            for column, value in zip(out, (np.concatenate([ids[moved], ids[border]]), np.concatenate([least[moved], ids[beside]]), np.repeat([True, False], [len(moved), len(border)]))):
-                column.append(value)
-        return pa.table({c: np.concatenate(v) for c, v in zip(("a", "b", "core"), out)})
+def _bonds(low: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def bind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(a, b, core): the least core point that each core point reaches in a pair of blocks, two million close pairs at a time, and the core points beside a border point, which are few."""
+        for column, tiles in met_rows(batches, low, low_open=False):
+            ids, place = column("id").to_numpy(), column("place").to_numpy()
+            core = np.isin(place, column("cores").to_numpy())
+            out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]]
+            for i, j, _ in gathered(tiles, 1 << 21):
+                both = core[i] & core[j]
+                u, v, least = i[both], j[both], ids.copy()
+                while len(u):
+                    before = least.copy()
+                    np.minimum.at(least, u, before[v])
+                    np.minimum.at(least, v, least[u])
+                    if (least == before).all():
+                        break
+                moved = np.flatnonzero(least != ids)
+                one = core[i] != core[j]
+                u, v = i[one], j[one]
+                border, beside = np.where(core[u], v, u), np.where(core[u], u, v)
+                for values, value in zip(out, (np.concatenate([ids[moved], ids[border]]), np.concatenate([least[moved], ids[beside]]), np.repeat([True, False], [len(moved), len(border)]))):
+                    values.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out], ["a", "b", "core"])
 
     return bind
 
@@ -77,18 +83,24 @@ def dbscan(vectors: DataFrame, eps: float = 0.65, min_samples: int = 4, rows: in
 
     Clusters are numbered from 0 by their least core id; a border point takes the lowest number next to
     it; noise is -1. Neighbours are counted and joined where blocks meet: pairs are never written, only
-    one row for each point and tile. Pairs of blocks that are too far apart are not made, and points
-    without a neighbour are dealt once only.
+    one row for each point and pair of blocks that holds neighbours of it. Pairs of blocks that are too far apart are not made.
     """
     low, points = 1 - eps * eps / 2, vectors.select("id", "embedding")
     blocks = Blocks(points, low, rows, pivots)
-    degree = blocks.deal(blocks.rows).groupBy("p", "q").applyInArrow(_degrees(low), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    counted = blocks.rows.join(degree.hint("merge"), "id", "left")
-    marked = written(counted.select("id", "embedding", "cell", "own", F.col("n").isNotNull().alias("beside_others"), (F.coalesce("n", F.lit(0)) + 1 >= min_samples).alias("core")), "core-points")
-    bonds = written(blocks.deal(marked.filter("beside_others").drop("beside_others")).groupBy("p", "q").applyInArrow(_bonds(low), "a long, b long, core boolean").distinct(), "cluster-bonds")
+    packed = blocks.pack()
+    placed = packed.withColumn("place", F.transform("id", lambda _, k: F.col("own").cast("long") * PLACES + k))
+    degree = written(blocks.meet(placed, _degrees(low), "id long, place long, n long").groupBy("id", "place").agg(F.sum("n").alias("n")), "degrees")
+    enough = F.coalesce("n", F.lit(0)) + 1 >= min_samples
+    cored = degree.filter(enough).groupBy(F.floor(F.col("place") / PLACES).cast("int").alias("own")).agg(F.collect_list("place").alias("cores"))  # a row for each block
+    known = written(packed.join(cored.hint("merge"), "own", "left").withColumn("cores", F.coalesce("cores", F.array().cast("array<long>"))), "core-blocks")
+    discard(packed)
+    placed = known.withColumn("place", F.transform("id", lambda _, k: F.col("own").cast("long") * PLACES + k))
+    bonds = written(blocks.meet(placed, _bonds(low), "a long, b long, core boolean").distinct(), "cluster-bonds")
+    discard(known)
     inner = bonds.filter("core")
     edges = inner.select("a", "b").unionByName(inner.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = connected(marked.filter("core").select("id", F.col("id").alias("label")), edges)
+    core = points.select("id").join(degree.hint("merge"), "id", "left").filter(enough)
+    labels = connected(core.select("id", F.col("id").alias("label")), edges)
     numbers = numbered(labels.select("label").distinct(), "label").withColumnRenamed("number", "cluster")
     cores = written(labels.join(numbers.hint("merge"), "label").select("id", "cluster"), "core-clusters")
     border = bonds.filter("not core").join(cores.select(F.col("id").alias("b"), "cluster").hint("merge"), "b").groupBy("a").agg(F.min("cluster").alias("beside"))
