@@ -73,11 +73,17 @@ def with_sides(pairs: DataFrame, catalog: DataFrame) -> DataFrame:
     return pairs.join(side("a").hint("merge"), "id_a").join(side("b").hint("merge"), "id_b")
 
 
+def similar_with_sides(vectors: DataFrame, catalog: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """J4 on V4: similar_pairs with both files' columns. Columns go to the vectors before they are compared, and pairs come with them: no pair is shuffled."""
+    rows = catalog.filter("is_processed").select("id", *SIDES)
+    return similar_pairs(vectors.select("id", "embedding").join(rows.hint("merge"), "id"), threshold, beside=SIDES)
+
+
 def find_duplicates(catalog: DataFrame, vectors: DataFrame, threshold_image: float = 0.95, threshold_video: float = 0.98, pass_missing: bool = False) -> DataFrame:
     """id_a, id_b, similarity, action, reason of duplicate files; catalog has a dhash column, computed once per file."""
-    pairs = with_sides(similar_pairs(vectors, threshold_image), catalog)
-    pairs = pairs.filter(~is_sequential(F.col("file_path_a"), F.col("file_path_b")))
+    pairs = similar_with_sides(vectors, catalog, threshold_image)
     pairs = pairs.filter(pair_compatible(F.col("similarity"), threshold_video))
     pairs = pairs.filter(hash_gate(F.col("dhash_a"), F.col("dhash_b"), pass_missing=pass_missing))
+    pairs = pairs.filter(~is_sequential(F.col("file_path_a"), F.col("file_path_b")))
     advice = pairs.withColumn("advice", recommend())
     return advice.select("id_a", "id_b", "similarity", "advice.action", "advice.reason")

@@ -613,7 +613,7 @@ SIDE_BY_SIDE = f"""{MEDIA_OF_JIT}, pairs as materialized ({PAIRS}), near as (sel
 
 
 def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.with_sides(similarity.similar_pairs(view(spark, sf_dir, "jit")), media_of_jit(spark, sf_dir))
+    return duplicates.similar_with_sides(view(spark, sf_dir, "jit"), media_of_jit(spark, sf_dir))
 
 
 @query(f"""select * from (with {SIDE_BY_SIDE} select id_a, id_b, ta = tb and (ta <> 'video' or (abs(coalesce(da, 0) - coalesce(db, 0)) <= 2 and similarity >= 0.98)) as compatible from both_sides)""", "media", "jit")
