@@ -80,3 +80,9 @@ def test_snippet_prefers_speech(spark):
     data = [(1, "video", 0, 0.5, "a Cat"), (1, "audio", 3, 7.5, "cat!"), (2, "video", 1, 2.0, "catalog"), (3, "audio", 0, 0.0, "dog")]
     segments = spark.createDataFrame(data, "id long, kind string, pos int, start_s double, text string")
     assert dict(map(tuple, text.snippets(segments, "CAT").collect())) == {1: "[Audio @7.5s] cat!", 2: "[Video @2.0s] catalog"}
+
+
+def test_length_is_computed_once(spark):
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<float>").select(l2_normalize("v").alias("u"))
+    assert [r["u"] for r in df.collect()] == [[0.6, 0.8], [0.0, 0.0], None]
+    assert df._jdf.queryExecution().analyzed().toString().count("aggregate(") == 1

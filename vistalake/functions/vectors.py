@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vistalake.functions.hashes import once
+
 
 def as_double(v: Column | str) -> Column:
     return (F.col(v) if isinstance(v, str) else v).cast("array<double>")
@@ -19,7 +21,6 @@ def norm(v: Column | str) -> Column:
 
 
 def l2_normalize(v: Column | str) -> Column:
-    """V1: unit length; a zero vector stays as it is."""
+    """V1: unit length; a zero vector stays as it is. The length is computed once, not for each component."""
     v = as_double(v)
-    length = norm(v)
-    return F.when(length == 0, v).otherwise(F.transform(v, lambda x: x / length))
+    return once(norm(v), lambda length: F.when(length == 0, v).otherwise(F.transform(v, lambda x: x / length)))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from vistalake.functions.vectors import dot
 from vistalake.operators.similarity import BLOCK_ROWS, TILE_ROWS, matrix_of, spread_rows
 from vistalake.sources.catalog import latest_vectors
-from vistalake.sources.tables import fresh_path, sized, written
+from vistalake.sources.tables import discard, fresh_path, sized, written
 
 #: Cells of a generation at most, rows of a sample from which centres are chosen for each cell, and cells that a search opens first.
 CELLS, SAMPLE, FIRST = 1024, 8, 4
@@ -68,15 +68,18 @@ class VectorIndex:
         """Store vectors in cells of about `cell_rows` rows around centres chosen far apart from a sample. An id has one row in `vectors`; it replaces the id's older ones. Rows without a vector are left out."""
         generation = max(self._generations(), default=-1) + 1
         rows = vectors.filter(F.col("embedding").isNotNull()).select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+        rows = written(rows, "vectors-to-index")  # it is counted, sampled and dealt to cells
         n = min(CELLS, max(1, -(-rows.count() // cell_rows)))
         sample = rows.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(SAMPLE * n).toArrow()  # at most SAMPLE * CELLS rows
         centres = spread_rows(matrix_of(sample.column("embedding"), unit=False), n)
         if not len(centres):
+            discard(rows)
             return
         sent = self.spark.sparkContext.broadcast(centres)
         celled = rows.mapInArrow(_celled(sent), "id long, embedding array<double>, cell int, away double, size double")
         # Large cells have several files; rows of one are sorted by distance, the ids' statistics stay in the files' footers.
         celled.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{self.path}/vectors-{generation}")
+        discard(rows)
         stored = self.spark.read.parquet(f"{self.path}/vectors-{generation}")
         facts = stored.groupBy("cell").agg(F.max("away").alias("radius"), F.max("size").alias("longest"), F.count(F.lit(1)).alias("n"))
         names = self.spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centres)], "cell int, centre array<double>")
