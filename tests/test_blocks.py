@@ -79,3 +79,66 @@ def test_approximate_pairs_come_once_without_a_shuffle_of_pairs(clustered):
     assert len(found) == len({(r["id_a"], r["id_b"]) for r in found})
     got, want = {(r["id_a"], r["id_b"]): round(r["similarity"], 9) for r in found}, pairs(similarity.similar_pairs(known))
     assert got.items() <= want.items() and len(got) >= 0.97 * len(want) > 0
+
+
+def jittered(n, size=64, copies=4, scale=0.015, seed=3):
+    """Unrelated directions with a few near copies each, and a large group of rows that are all close but stand in no one ball."""
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(n, size))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    m = np.concatenate([base + rng.normal(scale=scale * (k > 0), size=base.shape) for k in range(copies)])
+    return np.concatenate([m, base[0] + rng.normal(scale=0.05, size=(n // 4, size))])
+
+
+def unit(m):
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("low", [0.95, 0.79, 0.3])
+def test_balls_lose_no_pair(low):
+    x = unit(jittered(300))
+    x[5] = 0
+    x[6] = np.nan
+    (a, m), (b, n) = ((part[o], s) for part in (x[:800], x[800:]) for o, s in [similarity.balls(part, (1 + low) / 2)])
+    assert sorted(map(bytes, a)) == sorted(map(bytes, x[:800])) and m.sum() == len(a) and m.max() > 1
+    for y, k, same in ((a, m, True), (b, n, False)):
+        got = [p for i, j, _ in similarity.close_rows(a, y, same, low, sizes=(m, k)) for p in zip(i.tolist(), j.tolist())]
+        assert len(got) == len(set(got)) and set(got) == {(i, j) for i, j in zip(*np.nonzero(a @ y.T > low)) if i < j or not same}
+
+
+def test_near_copies_are_compared_once_for_all():
+    """Rows of a ball are looked at by its mean: of 4 000 rows in balls of four only means meet."""
+    x = unit(np.random.default_rng(1).normal(size=(1000, 64)))
+    m = unit(np.concatenate([x + np.random.default_rng(k).normal(scale=0.01 * k, size=x.shape) for k in range(4)]))
+    order, sizes = similarity.balls(m, 0.9)
+    assert len(sizes) < 1100 and sorted(order) == list(range(4000))
+
+
+def test_whole_cells_are_put_together_where_pivots_rule_out_little(spark):
+    """Far fewer blocks than cells, near copies in one block, every pair of blocks counts."""
+    m = jittered(300, scale=0.004)[:1200]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, embedding array<double>")
+    blocks = similarity.Blocks(rows, 0.79, 100, 60)
+    assert blocks.partners is None and 12 <= blocks.n <= 24 and blocks.kept == blocks.n * (blocks.n + 1) // 2
+    assert blocks.rows.groupBy("own").count().agg({"count": "max"}).first()[0] <= 100
+    own = {r["id"]: r["own"] for r in blocks.rows.select("id", "own").collect()}
+    assert sum(own[i] == own[i + 300] for i in range(300)) > 200
+    assert len(blocks.pack().selectExpr("explode(sizes)").collect()) < 800
+
+
+@pytest.mark.parametrize("pivots", [None, 30])
+def test_blocks_meet_again_only_where_they_are_dense(spark, monkeypatch, pivots):
+    """The same clusters as by definition; one meeting of all blocks, a second one of dense pairs of blocks only."""
+    from tests.test_operators import reference_dbscan
+
+    met = []
+    meet = similarity.Blocks.meet
+    monkeypatch.setattr(similarity.Blocks, "meet", lambda self, packed, *a: met.append("only" in packed.columns) or meet(self, packed, *a))
+    sparse = jittered(80, scale=0.03)[:320]
+    for m, want in ((sparse, [False]), (np.concatenate([sparse, jittered(1000)[4000:]]), [False, True])):
+        m = unit(m)
+        rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, embedding array<double>")
+        met.clear()
+        got = dict(map(tuple, clustering.dbscan(rows, 0.65, 4, 100, pivots).collect()))
+        assert [got[i] for i in range(len(m))] == reference_dbscan(m, 0.65, 4).tolist()
+        assert met == want and len(set(got.values())) > 20

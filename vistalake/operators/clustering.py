@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 from vistalake.operators.similarity import BLOCK_ROWS, Blocks, gathered, met_rows
 from vistalake.sources.tables import discard, written
 
-#: Numbers of places that a block has at most.
-PLACES = 1 << 31
+#: Close pairs for each row that a block may give of itself; two blocks may give one for each of their rows.
+INSIDE = 16
 
 
 def connected(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -28,26 +29,39 @@ def connected(labels: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _degrees(low: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Close rows of each row in a pair of blocks, with its block and its place there."""
-        for column, tiles in met_rows(batches, low, low_open=False):
-            ids, place = column("id"), column("place")
-            n = np.zeros(len(ids), np.int64)
+def _near(low: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(p, q, own, a, b, n): the close pairs a (in block own, which is p) and b (in q) of a pair of blocks, if they are no more than its rows (INSIDE times as many in one block); else how many each row a (in block own) is in."""
+        for column, tiles, (p, q, first) in met_rows(batches, low, low_open=False):
+            ids = column("id").to_numpy()
+            most = len(ids) * (INSIDE if p == q else 1)
+            pairs: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, int), np.zeros(0, int))]
+            n, total = np.zeros(len(ids), np.int64), 0
             for i, j, _ in tiles:
-                n += np.bincount(i, minlength=len(n)) + np.bincount(j, minlength=len(n))
-            some = pa.array(np.flatnonzero(n))
-            yield pa.RecordBatch.from_arrays([ids.take(some), place.take(some), pa.array(n).take(some)], ["id", "place", "n"])
-
-    return count
+                total += len(i)
+                pairs.append((i, j))
+                if total > most:
+                    for k in (x for pair in pairs for x in pair):
+                        n += np.bincount(k, minlength=len(n))
+                    pairs = []
+            if total <= most:
+                i, j = (np.concatenate(x) for x in zip(*pairs))
+                b, times = pa.array(ids[j]), pa.nulls(total, pa.int64())
+            else:
+                i = np.flatnonzero(n)
+                b, times = pa.nulls(len(i), pa.int64()), pa.array(n[i])
+            blocks = [pa.array(x, pa.int32()) for x in (np.full(len(i), p), np.full(len(i), q), np.where(i < first, p, q))]
+            yield pa.RecordBatch.from_arrays([*blocks, pa.array(ids[i]), b, times], ["p", "q", "own", "a", "b", "n"])
+
+    return near
 
 
 def _bonds(low: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def bind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(a, b, core): the least core point that each core point reaches in a pair of blocks, two million close pairs at a time, and the core points beside a border point, which are few."""
-        for column, tiles in met_rows(batches, low, low_open=False):
-            ids, place = column("id").to_numpy(), column("place").to_numpy()
-            core = np.isin(place, column("cores").to_numpy())
+        for column, tiles, _ in met_rows(batches, low, low_open=False):
+            ids = column("id").to_numpy()
+            core = np.isin(ids, column("cores").to_numpy())
             out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]]
             for i, j, _ in gathered(tiles, 1 << 21):
                 both = core[i] & core[j]
@@ -69,6 +83,14 @@ def _bonds(low: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return bind
 
 
+def _sparse_bonds(near: DataFrame, cores: DataFrame) -> DataFrame:
+    """(a, b, core) of the written pairs of `near`: pairs of core points, and the core points beside a border point."""
+    flag = lambda c: cores.select(F.col("id").alias(c), F.lit(True).alias(f"core_{c}")).hint("merge")
+    both = near.filter("b is not null").select("a", "b").join(flag("a"), "a", "left").join(flag("b"), "b", "left").filter("core_a or core_b")
+    turned = F.col("core_a").isNotNull() & F.col("core_b").isNull()  # the border point comes first
+    return both.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"), (F.col("core_a").isNotNull() & F.col("core_b").isNotNull()).alias("core"))
+
+
 def numbered(names: DataFrame, column: str) -> DataFrame:
     """`names` with a gapless number from 0 in the order of `column`: rows are dealt by ranges, each range is numbered by itself."""
     dealt = written(names.repartitionByRange(column).withColumn("_part", F.spark_partition_id()), "ranges")
@@ -82,21 +104,29 @@ def dbscan(vectors: DataFrame, eps: float = 0.65, min_samples: int = 4, rows: in
     """Id, cluster_id of vectors(id, embedding) by Euclidean distance of unit vectors, a point counting itself.
 
     Clusters are numbered from 0 by their least core id; a border point takes the lowest number next to
-    it; noise is -1. Neighbours are counted and joined where blocks meet: pairs are never written, only
-    one row for each point and pair of blocks that holds neighbours of it. Pairs of blocks that are too far apart are not made.
+    it; noise is -1. Blocks meet once: a pair of blocks gives its close pairs, or, if they are more than its rows, a count for each
+    point. Only such dense pairs of blocks meet again, when the core points are known, and are joined there. So what is
+    written of a pair of blocks is never more than its rows (INSIDE times as many of a block with itself). Pairs of blocks that are too far apart are not made.
     """
     low, points = 1 - eps * eps / 2, vectors.select("id", "embedding")
     blocks = Blocks(points, low, rows, pivots)
     packed = blocks.pack()
-    placed = packed.withColumn("place", F.transform("id", lambda _, k: F.col("own").cast("long") * PLACES + k))
-    degree = written(blocks.meet(placed, _degrees(low), "id long, place long, n long").groupBy("id", "place").agg(F.sum("n").alias("n")), "degrees")
+    near = written(blocks.meet(packed, _near(low), "p int, q int, own int, a long, b long, n long"), "near-points")
+    ends = F.array(F.struct("own", F.col("a").alias("id"), F.coalesce("n", F.lit(1)).alias("n")), F.struct(F.col("q").alias("own"), F.col("b").alias("id"), F.lit(1).cast("long").alias("n")))
+    degree = written(near.select(F.inline(ends)).filter("id is not null").groupBy("id", "own").agg(F.sum("n").alias("n")), "degrees")
     enough = F.coalesce("n", F.lit(0)) + 1 >= min_samples
-    cored = degree.filter(enough).groupBy(F.floor(F.col("place") / PLACES).cast("int").alias("own")).agg(F.collect_list("place").alias("cores"))  # a row for each block
-    known = written(packed.join(cored.hint("merge"), "own", "left").withColumn("cores", F.coalesce("cores", F.array().cast("array<long>"))), "core-blocks")
-    discard(packed)
-    placed = known.withColumn("place", F.transform("id", lambda _, k: F.col("own").cast("long") * PLACES + k))
-    bonds = written(blocks.meet(placed, _bonds(low), "a long, b long, core boolean").distinct(), "cluster-bonds")
-    discard(known)
+    parts, known = [_sparse_bonds(near, degree.filter(enough).select("id"))], packed
+    dense = near.filter("b is null").select("p", "q").distinct()
+    if not dense.isEmpty():
+        only = dense.groupBy(F.col("p").alias("own")).agg(F.collect_list("q").alias("only"))  # a row for each block
+        asked = dense.select(F.explode(F.array("p", "q")).alias("own")).distinct()
+        cored = degree.filter(enough).groupBy("own").agg(F.collect_list("id").alias("cores"))  # a row for each block
+        beside = asked.join(cored.hint("merge"), "own", "left").join(only.hint("merge"), "own", "left").withColumn("cores", F.coalesce("cores", F.array().cast("array<long>")))
+        known = written(packed.join(beside.hint("merge"), "own"), "core-blocks")
+        discard(packed)
+        parts.append(blocks.meet(known, _bonds(low), "a long, b long, core boolean").distinct())
+    bonds = written(reduce(DataFrame.unionByName, parts), "cluster-bonds")
+    discard(known, near)
     inner = bonds.filter("core")
     edges = inner.select("a", "b").unionByName(inner.select(F.col("b").alias("a"), F.col("a").alias("b")))
     core = points.select("id").join(degree.hint("merge"), "id", "left").filter(enough)
