@@ -142,3 +142,11 @@ def test_blocks_meet_again_only_where_they_are_dense(spark, monkeypatch, pivots)
         got = dict(map(tuple, clustering.dbscan(rows, 0.65, 4, 100, pivots).collect()))
         assert [got[i] for i in range(len(m))] == reference_dbscan(m, 0.65, 4).tolist()
         assert met == want and len(set(got.values())) > 20
+
+
+def test_a_block_is_a_file(spark):
+    """A reader holds the rows of a file at a time: one block, not all that a task has packed."""
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(jittered(40))], "id long, embedding array<double>")
+    blocks = similarity.Blocks(rows, 0.79, 20)
+    packed = blocks.pack()
+    assert len(packed.inputFiles()) == packed.count() == blocks.n > 4

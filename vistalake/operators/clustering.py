@@ -122,7 +122,7 @@ def dbscan(vectors: DataFrame, eps: float = 0.65, min_samples: int = 4, rows: in
         asked = dense.select(F.explode(F.array("p", "q")).alias("own")).distinct()
         cored = degree.filter(enough).groupBy("own").agg(F.collect_list("id").alias("cores"))  # a row for each block
         beside = asked.join(cored.hint("merge"), "own", "left").join(only.hint("merge"), "own", "left").withColumn("cores", F.coalesce("cores", F.array().cast("array<long>")))
-        known = written(packed.join(beside.hint("merge"), "own"), "core-blocks")
+        known = written(packed.join(beside.hint("merge"), "own"), "core-blocks", rows_a_file=1)
         discard(packed)
         parts.append(blocks.meet(known, _bonds(low), "a long, b long, core boolean").distinct())
     bonds = written(reduce(DataFrame.unionByName, parts), "cluster-bonds")

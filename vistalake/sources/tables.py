@@ -39,11 +39,11 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """`df` written to the shared folder and read back: lineage is cut, and a lost executor costs no recomputation."""
+def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), rows_a_file: int = 0) -> DataFrame:
+    """`df` written to the shared folder and read back: lineage is cut, and a lost executor costs no recomputation. With `rows_a_file`, files have so many rows at most."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    df.write.options(compression="zstd", maxRecordsPerFile=rows_a_file).partitionBy(*partition_by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
